@@ -12,11 +12,12 @@ from assayline.functions.nulls import paste
 from assayline.operators.lookups import attach, attach_instrument, keep_listed
 
 VIRAL_LOAD_AND_EID = ("EID", "EID/VL", "VL")
-STYLES = {"upper": text.model_upper, "ascii": text.model_ascii}
+# ``caps`` only changes case; ``upper`` also drops the trademark sign; ``ascii`` is lower-case ASCII.
+STYLES = {"caps": F.upper, "upper": text.model_upper, "ascii": text.model_ascii}
 
 
 def normalise_model(df: DataFrame, style: str = "upper") -> DataFrame:
-    """Instrument names in one spelling: ``upper`` or ``ascii``."""
+    """Instrument names in one spelling: ``caps``, ``upper`` or ``ascii``."""
     return df.withColumn("instrument_model", STYLES[style](F.col("instrument_model")))
 
 
@@ -31,12 +32,7 @@ def instruments(master: DataFrame, style: str = "upper") -> DataFrame:
 
 def referenced_instruments(master: DataFrame, activity: DataFrame) -> DataFrame:
     """The instruments that some activity row mentions."""
-    cleaned = master.select(
-        F.col("instrument_id").try_cast("bigint").alias("instrument_id"),
-        F.upper("instrument_model").alias("instrument_model"),
-        "supplier_site_id",
-    )
-    return keep_listed(cleaned, activity, "instrument_id")
+    return keep_listed(instruments(master, "caps"), activity, "instrument_id")
 
 
 def enrich_activity(activity: DataFrame, master: DataFrame) -> DataFrame:

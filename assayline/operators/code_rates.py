@@ -27,6 +27,10 @@ MODEL_LEVEL = ("country_code", "instrument_model")
 SITE_LEVEL = ("country_code", "supplier_site_id")
 
 
+def _family(master: DataFrame) -> DataFrame:
+    return model_family(instruments(master, "caps"))
+
+
 def explode_codes(df: DataFrame, max_codes: int = MAX_CODES, keep_empty: bool = False, column: str = CODE) -> DataFrame:
     """One row per code of a comma list, with its ``slot`` from 0; codes beyond ``max_codes`` are cut off.
 
@@ -79,7 +83,7 @@ def countries_sites(activity: DataFrame, master: DataFrame) -> DataFrame:
 def error_codes_long(activity: DataFrame, master: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
     """One row per reported code with country, site and instrument; tests without codes drop out."""
     coded = activity.filter(F.col(CODE).isNotNull()).select("country_code", "instrument_id", CODE)
-    placed = attach_instrument(coded, instruments(master))
+    placed = attach_instrument(coded, instruments(master, "caps"))
     return explode_codes(placed, max_codes).select(
         "country_code", "supplier_site_id", "instrument_id", "instrument_model", CODE
     )
@@ -90,7 +94,7 @@ def top_codes(activity: DataFrame, master: DataFrame, by: Sequence[str], k: int
     coded = activity.filter(F.col(CODE).isNotNull())
     if "instrument_model" in by:
         tally = code_tally(coded, key_columns("country_code", "instrument_id")).drop("tests")
-        tally = attach_instrument(tally, instruments(master).drop("supplier_site_id"), counted=True)
+        tally = attach_instrument(tally, instruments(master, "caps").drop("supplier_site_id"), counted=True)
         counts = tally.groupBy(*by, CODE).agg(F.sum("n").alias("n"))
     else:
         # Without the model the activity table alone decides, and one grouping is enough.
@@ -106,7 +110,7 @@ def top_codes_series(activity: DataFrame, master: DataFrame, by: Sequence[str] =
 def codes_nearest_month(activity: DataFrame, master: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
     """One row per code slot of the tests on ``00`` models, with the nearest month."""
     placed = attach_instrument(
-        activity.select("country_code", "instrument_id", "test_date", CODE), model_family(instruments(master)), how="inner"
+        activity.select("country_code", "instrument_id", "test_date", CODE), _family(master), how="inner"
     )
     return explode_codes(placed, max_codes, keep_empty=True).select(
         "country_code",
@@ -124,7 +128,7 @@ def monthly_code_rate(
     """Codes per group and nearest month as a percentage of its code slots (or of its tests)."""
     keys = key_columns("country_code", "instrument_id") | {"month": dates.month_nearest(F.col("test_date"))}
     tally = code_tally(activity, keys)
-    placed = attach_instrument(tally, model_family(instruments(master)), how="inner", counted=True)
+    placed = attach_instrument(tally, _family(master), how="inner", counted=True)
     counts = placed.groupBy(*by, "month", CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
     # One row per code and group reaches this window, whatever the number of tests.
     in_group = F.sum("tests").over(Window.partitionBy(*by, "month"))
@@ -216,7 +220,7 @@ def months_seen(activity: DataFrame, master: DataFrame, after: str) -> DataFrame
     seen = activity.select("instrument_id", dates.month_nearest(F.col("test_date")).alias("month")).filter(
         F.col("month") > F.lit(after).cast("date")
     )
-    placed = attach_instrument(seen.distinct(), model_family(instruments(master)), how="inner", counted=True)
+    placed = attach_instrument(seen.distinct(), _family(master), how="inner", counted=True)
     return placed.select("month").distinct()
 
 

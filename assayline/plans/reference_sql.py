@@ -86,8 +86,10 @@ _SHARED = {
       from tas_clean) group by all""",
     "roche": f"select a.*, m.instrument_model, m.supplier_site_id from test_activity_roche a"
     f" left join models_upper m on a.instrument_id {_SAME} m.instrument_id",
+    "roche_caps": f"select a.*, upper(m.instrument_model) instrument_model, m.supplier_site_id from test_activity_roche a"
+    f" left join instrument_master m on a.instrument_id {_SAME} m.instrument_id",
     "slots15": f"""select r.* exclude (error_code_list), string_split(error_code_list, ',')[i + 1] error_code_list,
-      {_nearest_month('test_date')} "month" from roche r cross join range(15) s(i)""",
+      {_nearest_month('test_date')} "month" from roche_caps r cross join range(15) s(i)""",
     "family15": "select * from slots15 where contains(instrument_model, '00')",
     "monthly": f"""select c.*, t.tests, c.n * 100 / t.tests error_percent from
       (select country_code, instrument_model, "month", error_code_list, count(*) n from family15 group by all) c

@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that is unset, as in tests on one machine, a temporary folder is made and remembered
     in the session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     folder = spark.conf.get("assayline.scratch.dir", None)

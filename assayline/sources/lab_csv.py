@@ -78,9 +78,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
 
 
 def write_site_errors(site_rates: DataFrame, path: str) -> None:
-    """The per-site error tables: one folder per site, rows by falling percentage."""
+    """The per-site error tables: one folder with one file per site, rows by falling percentage."""
+    # A fixed number of tasks, so that they are not merged into one: the work is in the files, not the rows.
+    tasks = int(site_rates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        site_rates.repartition("supplier_site_id")
+        site_rates.repartition(tasks, "supplier_site_id")
         .sortWithinPartitions("supplier_site_id", F.desc("percent"), "error_code_list")
         .write.mode("overwrite")
         .option("header", True)
