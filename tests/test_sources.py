@@ -1,0 +1,94 @@
+"""CSV in and out, and the options of database scans (there is no database to scan)."""
+
+import pathlib
+
+import pytest
+
+from assayline.schemas import SCHEMAS
+from assayline.sources import jdbc, lab_csv
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "test_type.csv").write_text('test_type_psm,unknown,test_type_id,test_type\nVL,1,7,"a, ""b"""\nNA,2,,\n')
+    got = [tuple(r) for r in lab_csv.read_lab_csv(spark, str(tmp_path), "test_type").collect()]
+    assert got == [("7", 'a, "b"', "VL"), (None, None, None)]
+
+
+def test_numbers_that_are_none(spark, tmp_path):
+    (tmp_path / "instrument_master.csv").write_text("instrument_id,instrument_model,supplier_site_id\n12.0,m,x\nNA,m,7\n")
+    got = [tuple(r) for r in lab_csv.read_lab_csv(spark, str(tmp_path), "instrument_master").collect()]
+    assert got == [(12, "m", None), (None, "m", 7)]
+
+
+def test_codes_stay_text(spark, tmp_path):
+    (tmp_path / "error_type.csv").write_text(
+        "error_type_id,error_type_name,error_type_description,supplier_id\n6282.10,n,d,1000\n"
+    )
+    assert lab_csv.read_lab_csv(spark, str(tmp_path), "error_type").first()["error_type_id"] == "6282.10"
+
+
+def test_newest_export_wins(spark, tmp_path):
+    head = "country_code,country_name\n"
+    (tmp_path / "country_20210101.csv").write_text(head + "C1,Old\n")
+    (tmp_path / "country_20220724.csv").write_text(head + "C1,New\n")
+    (tmp_path / "notes.csv").write_text("a\n1\n")
+    (tmp_path / "site_20220724.csv").mkdir()
+    (tmp_path / "site_20220724.csv" / "part-0.csv").write_text(",".join(SCHEMAS["site"].names) + "\n1,N,C1,T,5,V\n")
+    found = lab_csv.newest_exports(spark, str(tmp_path))
+    assert {t: pathlib.PurePath(p).name for t, p in found.items()} == {
+        "country": "country_20220724.csv",
+        "notes": "notes.csv",
+        "site": "site_20220724.csv",
+    }
+    tables = lab_csv.read_lab_folder(spark, str(tmp_path))
+    assert set(tables) == {"country", "site"}
+    assert tables["country"].first()["country_name"] == "New"
+    assert tuple(tables["site"].first()) == (1, "N", "C1", "T", 5, "V")
+
+
+def test_written_missing_value(spark, rows, tmp_path):
+    lab_csv.write_table(rows("a bigint, b string", (1, None), (None, "x")).coalesce(1), str(tmp_path / "out.csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "out.csv").glob("part-*"))
+    assert text.splitlines() == ["a,b", "1,NA", "NA,x"]
+
+
+def test_one_folder_per_key(spark, rows, tmp_path):
+    df = rows("k bigint, b string", (1, "x"), (2, "y"), (1, "z"))
+    lab_csv.write_table(df, str(tmp_path / "out"), ["k"])
+    assert sorted(p.name for p in (tmp_path / "out").glob("k=*")) == ["k=1", "k=2"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+
+
+def test_site_files_hold_one_file_each(spark, rows, tmp_path):
+    df = rows(
+        "supplier_site_id bigint, error_code_list string, n bigint, tests bigint, percent double",
+        (1, "a", 1, 10, 10.0),
+        (1, "b", 2, 10, 20.0),
+        (2, "a", 1, 10, 10.0),
+    )
+    lab_csv.write_site_errors(df, str(tmp_path / "sites"))
+    files = sorted((tmp_path / "sites").glob("supplier_site_id=*/*.csv"))
+    assert len(files) == 2
+    assert files[0].read_text().splitlines() == ["error_code_list,n,tests,percent", "b,2,10,20.0", "a,1,10,10.0"]
+
+
+def test_database_options():
+    scan = jdbc.scan_options("jdbc:x", "lab", "test", {"user": "u"})
+    assert scan == {"url": "jdbc:x", "dbtable": "lab.test", "fetchsize": "10000", "user": "u"}
+    assert jdbc.range_options("test_id", 5, 104, 32) == {
+        "partitionColumn": "test_id",
+        "lowerBound": "5",
+        "upperBound": "105",
+        "numPartitions": "32",
+    }
+    assert jdbc.range_options("test_id", 5, 6, 32)["numPartitions"] == "2"
+    query = jdbc.catalog_query(["lab", "o'x"])
+    assert query.endswith("WHERE table_schema IN ('lab', 'o''x')")
+
+
+@pytest.mark.parametrize("table", sorted(SCHEMAS))
+def test_views_have_the_fixed_columns(spark, table):
+    from assayline.plans.lab_views import LabViews
+
+    view = getattr(LabViews(spark, "/root/testdata/sf0.001"), table)()
+    assert dict(view.dtypes) == {f.name: f.dataType.simpleString() for f in SCHEMAS[table]}
