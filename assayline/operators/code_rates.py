@@ -54,7 +54,8 @@ def code_tally(activity: DataFrame, keys: dict[str, Column], max_codes: int = MA
     if once_per_test:
         codes = F.array_distinct(codes)
     named = [column.alias(name) for name, column in keys.items()]
-    exploded = activity.select(*named, F.posexplode_outer(codes).alias("slot", CODE))
+    # Keys are computed per test, before its codes become rows.
+    exploded = activity.select(*named, codes.alias("codes")).select(*keys, F.posexplode_outer("codes").alias("slot", CODE))
     first = F.when(F.coalesce(F.col("slot"), F.lit(0)) == 0, 1).otherwise(0)
     return exploded.groupBy(*keys, CODE).agg(
         F.count(CODE).alias("n"), F.sum(first.cast("bigint")).alias("tests")
@@ -188,9 +189,7 @@ def top_errors_country(monthly: DataFrame, excluded_country: str, k: int = 3) ->
 
 def _with_bar(df: DataFrame) -> DataFrame:
     """Centre of the bar on a time axis, and its label."""
-    return df.withColumns(
-        {"x": F.date_add("month", 14), "label": labels.percent_label(F.col("error_percent"))}
-    )
+    return labels.with_percent_label(df.withColumn("x", F.date_add("month", 14)), "error_percent")
 
 
 def country_error_series(monthly: DataFrame, excluded_country: str) -> DataFrame:
@@ -241,9 +240,5 @@ def gap_fill(rows: DataFrame, months: DataFrame, codes: Sequence[str] = SERIES_C
     filled = spine.select("supplier_site_id", CODE, "month", F.explode_outer(own).alias("hit")).select(
         "supplier_site_id", CODE, "month", F.coalesce("hit.percent", F.lit(0.0)).alias("percent")
     )
-    return filled.withColumns(
-        {
-            "x": F.date_add("month", 14),
-            "label": F.when(F.col("percent") > 0, labels.percent_label(F.col("percent"))).otherwise(F.lit("")),
-        }
-    )
+    labelled = labels.with_percent_label(filled.withColumn("x", F.date_add("month", 14)), "percent")
+    return labelled.withColumn("label", F.when(F.col("percent") > 0, F.col("label")).otherwise(F.lit("")))

@@ -14,10 +14,11 @@ from assayline.operators.lookups import attach, is_small, keep_listed
 # Countries from which suppliers send data, as fixed values.
 SUPPLIER_COUNTRIES = ("Eswatini", "Kenya", "Nigeria", "Uganda", "Zambia", "Zimbabwe", "Mozambique")
 
-# The search grid: the cube around the unit sphere is cut by 8 along each axis, five times over,
-# down to cells of some 400 m. Its first two levels cannot have more than 8**3 and 64**3 cells.
-LEVELS = 5
-BITS = 3
+# The search grid: the cube around the unit sphere is cut by 16 along each axis, four times over,
+# down to cells of some 200 m. The sphere meets about 1,200 cells of the first level and 310,000 of the
+# second, however many labs there are.
+LEVELS = 4
+BITS = 4
 BOUNDED_LEVELS = 2
 # Rounding allowance for straight-line distances on the unit sphere (some micrometres on the ground).
 SLACK = 1e-12

@@ -123,7 +123,7 @@ def test_date_labels(rows):
     ],
 )
 def test_two_digit_labels(rows, x, label):
-    assert values(rows("x double", (x,)).select(labels.percent_label(F.col("x")))) == [(label,)]
+    assert values(labels.with_percent_label(rows("x double", (x,)), "x")) == [(x, label)]
 
 
 def test_report_numbers(rows):
