@@ -20,9 +20,9 @@ BROADCAST_ROWS = 500_000
 
 
 def planned_bytes(df: DataFrame) -> int | None:
-    """Size the optimizer expects, from file sizes and column widths; None if the session has no say."""
+    """Size Spark expects, from file sizes and column widths; None if the session does not tell."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except AttributeError:
         return None
 

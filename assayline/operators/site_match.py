@@ -14,11 +14,11 @@ from assayline.operators.lookups import attach, is_small, keep_listed
 # Countries from which suppliers send data, as fixed values.
 SUPPLIER_COUNTRIES = ("Eswatini", "Kenya", "Nigeria", "Uganda", "Zambia", "Zimbabwe", "Mozambique")
 
-# The search grid: the cube around the unit sphere is cut by 16 along each axis, four times over,
-# down to cells of some 200 m. The sphere meets about 1,200 cells of the first level and 310,000 of the
+# The search grid: the cube around the unit sphere is cut along each axis by 8, then three times by 16,
+# down to cells of some 400 m. The sphere meets about 300 cells of the first level and 77,000 of the
 # second, however many labs there are.
-LEVELS = 4
-BITS = 4
+STEPS = (3, 4, 4, 4)
+DEPTH = sum(STEPS)
 BOUNDED_LEVELS = 2
 # Rounding allowance for straight-line distances on the unit sphere (some micrometres on the ground).
 SLACK = 1e-12
@@ -69,7 +69,7 @@ _PARENT = ("px", "py", "pz")
 
 
 def _grid(v: Column) -> Column:
-    cells = 1 << (LEVELS * BITS)
+    cells = 1 << DEPTH
     return F.least(F.floor((v + 1.0) * (cells / 2)), F.lit(cells - 1)).cast("int")
 
 
@@ -78,14 +78,20 @@ def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.withColumns(dict(zip(_AXES, vector)))
 
 
+def _parents(bits: int) -> list[Column]:
+    """The cell one level up, which is ``bits`` coarser."""
+    return [F.shiftright(c, bits).alias(p) for p, c in zip(_PARENT, _CELL)]
+
+
 def _boxes(points: DataFrame) -> list[DataFrame]:
-    """Per level, from coarse to fine: the cells that hold a lab, with the box around their labs."""
+    """Per level, from coarse to fine: the cells that hold a lab, their parent cell, and the box around their labs."""
     bounds = [f(a).alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
-    levels = [points.groupBy(*_CELL).agg(*bounds)]
     merged = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
-    for _ in range(LEVELS - 1):
-        up = levels[0].withColumns({c: F.shiftright(c, BITS) for c in _CELL})
-        levels.insert(0, up.groupBy(*_CELL).agg(*merged))
+    level = points.groupBy(*_CELL).agg(*bounds)
+    levels = []
+    for bits in reversed(STEPS):
+        levels.insert(0, level.select("*", *_parents(bits)))
+        level = levels[0].groupBy(*[F.col(p).alias(c) for p, c in zip(_PARENT, _CELL)]).agg(*merged)
     return levels
 
 
@@ -113,47 +119,48 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
     along the straight line through the sphere, where longitudes do not wrap and poles are no
     special case.
     """
+    small = is_small(labs, may_count=False)
     places = (
         labs.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         .groupBy("latitude", "longitude")
         .agg(F.min(F.struct("id", "name")).alias("lab"))
     )
     points = _on_sphere(places, "latitude", "longitude")
-    points = points.withColumns({c: _grid(F.col(a)) for c, a in zip(_CELL, _AXES)})
+    points = points.select("*", *[_grid(F.col(a)).alias(c) for c, a in zip(_CELL, _AXES)])
 
-    known = sites.filter(F.col("candidate_lat").isNotNull() & F.col("candidate_lon").isNotNull())
-    frontier = _on_sphere(known.select("candidate_lat", "candidate_lon").distinct(), "candidate_lat", "candidate_lon")
-    frontier = frontier.withColumns({p: F.shiftright(_grid(F.col(a)), LEVELS * BITS) for p, a in zip(_PARENT, _AXES)})
+    # The place as text is an exact key by which rows stay partitioned through all levels.
+    placed = sites.withColumn("_place", F.concat("candidate_lat", F.lit(" "), "candidate_lon"))
+    searched = placed.filter(F.col("_place").isNotNull()).groupBy("_place").agg(
+        F.first("candidate_lat").alias("lat"), F.first("candidate_lon").alias("lon")
+    )
+    frontier = _on_sphere(searched, "lat", "lon")
+    carried = ["_place", "lat", "lon", *_AXES]
+    frontier = frontier.select("*", *[F.shiftright(_grid(F.col(a)), DEPTH).alias(p) for p, a in zip(_PARENT, _AXES)])
 
-    small = is_small(labs, may_count=False)
     near, far = _near_and_far()
-    site_place = Window.partitionBy("candidate_lat", "candidate_lon")
-    for level, boxes in enumerate(_boxes(points), start=1):
-        children = boxes.withColumns({p: F.shiftright(c, BITS) for p, c in zip(_PARENT, _CELL)})
+    for level, children in enumerate(_boxes(points), start=1):
         if small or level <= BOUNDED_LEVELS:
             children = F.broadcast(children)
-        met = frontier.join(children, list(_PARENT)).withColumns({"near": near, "far": far})
-        kept = met.withColumn("reach", F.min("far").over(site_place)).filter(F.col("near") <= F.col("reach") + SLACK)
-        frontier = kept.select(
-            "candidate_lat", "candidate_lon", *_AXES, *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)]
+        met = frontier.join(children, list(_PARENT)).select(
+            *carried,
+            *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)],
+            near.alias("near"),
+            F.min(far).over(Window.partitionBy("_place")).alias("reach"),
         )
+        frontier = met.filter(F.col("near") <= F.col("reach") + SLACK).drop("near", "reach")
 
     leaves = points.select("latitude", "longitude", "lab", *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)])
-    measured = frontier.join(F.broadcast(leaves) if small else leaves, list(_PARENT)).withColumn(
-        "metres",
-        geo.haversine_m(F.col("candidate_lat"), F.col("candidate_lon"), F.col("latitude"), F.col("longitude")),
-    )
+    metres = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     best = (
-        measured.groupBy("candidate_lat", "candidate_lon")
-        .agg(F.min(F.struct("metres", "lab.id", "lab.name", "latitude", "longitude")).alias("best"))
-        .select(
-            "candidate_lat",
-            "candidate_lon",
-            F.col("best.name").alias("datim_name"),
-            F.col("best.id").alias("id"),
-            F.round(F.col("best.metres") / 1000, 2).alias("distance_nearest_datim_loc_km"),
-            F.col("best.latitude").alias("datim_lat"),
-            F.col("best.longitude").alias("datim_lon"),
-        )
+        frontier.join(F.broadcast(leaves) if small else leaves, list(_PARENT))
+        .groupBy("_place")
+        .agg(F.min(F.struct(metres.alias("metres"), "lab.id", "lab.name", "latitude", "longitude")).alias("best"))
+    )
+    return placed.join(best, "_place", "left").select(
+        *sites.columns,
+        F.col("best.name").alias("datim_name"),
+        F.col("best.id").alias("id"),
+        F.round(F.col("best.metres") / 1000, 2).alias("distance_nearest_datim_loc_km"),
+        F.col("best.latitude").alias("datim_lat"),
+        F.col("best.longitude").alias("datim_lon"),
     )
-    return sites.join(best, ["candidate_lat", "candidate_lon"], "left").select(*sites.columns, *best.columns[2:])
