@@ -96,8 +96,12 @@ def attach_instrument(
         return _chain(attach(fact, master, "instrument_id", how, small=True), site, country, small=True)
     if counted:
         return _chain(attach(fact, master, "instrument_id", how, small=False), site, country)
-    profile = _chain(keep_listed(master, fact, "instrument_id"), site, country)
-    return attach(fact, profile, "instrument_id", how, small=profile.count() <= BROADCAST_ROWS)
+    mentioned = _chain(keep_listed(master, fact, "instrument_id"), site, country)
+    if mentioned.count() <= BROADCAST_ROWS:
+        return attach(fact, mentioned, "instrument_id", how, small=True)
+    # The whole chain, as its last join leaves it partitioned by another key: a hot instrument can be
+    # split only where both sides are shuffled for this very join.
+    return attach(fact, _chain(master, site, country), "instrument_id", how, small=False)
 
 
 def attach_names(counts: DataFrame, master: DataFrame, site: DataFrame) -> DataFrame:

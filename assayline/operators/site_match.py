@@ -156,7 +156,7 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
         .groupBy("_place")
         .agg(F.min(F.struct(metres.alias("metres"), "lab.id", "lab.name", "latitude", "longitude")).alias("best"))
     )
-    return placed.join(best, "_place", "left").select(
+    return attach(placed, best, "_place", small=False).select(
         *sites.columns,
         F.col("best.name").alias("datim_name"),
         F.col("best.id").alias("id"),
