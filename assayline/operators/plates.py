@@ -149,41 +149,75 @@ def total_at(total: DataFrame, level: str) -> DataFrame:
     return total.groupBy(*LEVELS[level]).agg(sum_skip("plates").alias("plates"))
 
 
-def percent_plates(
-    activity: DataFrame,
-    master: DataFrame,
-    test_type: DataFrame,
-    site: DataFrame,
-    level: str = "my_country",
-    groups: Sequence[str] = VIRAL_LOAD_AND_EID,
-) -> DataFrame:
-    """Percentage of the plates of a level that each code affects.
+def _marked_counts(activity: DataFrame, test_type: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Plates per month, country and instrument (``hit`` false), and those among them per code (``hit`` true).
 
-    Numerator and denominator come from one pass: each well gives one row for its plate and, if it
+    Numerators and denominators come from one pass: each well gives one row for its plate and, if it
     has an error, a second one for its plate and code; one distinct then serves both counts.
     """
-    wells = _wells(activity, test_type, groups)
     plain = F.struct(F.lit(False).alias("hit"), F.lit(None).cast("double").alias("error_type_id"))
     coded = F.struct(F.lit(True).alias("hit"), F.col("error_type_id").cast("double").alias("error_type_id"))
     marks = F.when(F.col("error_count") > 0, F.array(plain, coded)).otherwise(F.array(plain))
-    counts = (
-        wells.select(*_FACT_KEYS, "plate_id", F.inline(marks))
+    return (
+        _wells(activity, test_type, groups)
+        .select(*_FACT_KEYS, "plate_id", F.inline(marks))
         .distinct()
         .groupBy(*_FACT_KEYS, "hit", "error_type_id")
         .agg(F.count(F.lit(1)).alias("plates"))
     )
-    keys = LEVELS[level]
-    rolled = _named(counts, master, site).groupBy(*keys, "hit", "error_type_id").agg(F.sum("plates").alias("n"))
+
+
+def _shares(rolled: DataFrame, keys: Sequence[str], shown: Sequence[str]) -> DataFrame:
+    """Affected plates, all plates and percentage per code, from summed marked counts ``n``."""
     # The window runs over the rolled-up rows: one per code and level key.
     all_plates = F.max(F.when(~F.col("hit"), F.col("n"))).over(Window.partitionBy(*keys))
     return (
         rolled.withColumn("plates", all_plates)
         .filter("hit")
         .select(
-            *keys,
+            *shown,
             text.code_text(F.col("error_type_id")).alias("error_type_id"),
             F.col("n").alias("plates_affected"),
             "plates",
             percent("n", "plates").alias("percent"),
         )
     )
+
+
+def percent_plates(
+    activity: DataFrame,
+    master: DataFrame,
+    test_type: DataFrame,
+    site: DataFrame,
+    level: str = "my_country",
+    groups: Sequence[str] = VIRAL_LOAD_AND_EID,
+) -> DataFrame:
+    """Percentage of the plates of a level that each code affects."""
+    keys = LEVELS[level]
+    named = _named(_marked_counts(activity, test_type, groups), master, site)
+    rolled = named.groupBy(*keys, "hit", "error_type_id").agg(F.sum("plates").alias("n"))
+    return _shares(rolled, keys, keys)
+
+
+def percent_plates_levels(
+    activity: DataFrame,
+    master: DataFrame,
+    test_type: DataFrame,
+    site: DataFrame,
+    groups: Sequence[str] = VIRAL_LOAD_AND_EID,
+) -> DataFrame:
+    """``percent_plates`` of all levels from one reading of the fact, told apart by column ``level``.
+
+    Columns that a level does not have are NULL there; a real missing country or site is NULL too,
+    so only ``level`` tells them apart.
+    """
+    finest = LEVELS["my_country_site"]
+    named = _named(_marked_counts(activity, test_type, groups), master, site)
+    columns = [F.col(c) for c in (*finest, "hit", "error_type_id")]
+    sets = [[F.col(c) for c in (*keys, "hit", "error_type_id")] for keys in LEVELS.values()]
+    rolled = named.groupingSets(sets, *columns).agg(
+        F.sum("plates").alias("n"), F.grouping("country_code").alias("_c"), F.grouping("supplier_site_name").alias("_s")
+    )
+    level = F.when(F.col("_c") == 1, "my").when(F.col("_s") == 1, "my_country").otherwise("my_country_site")
+    keys = ("level", *finest)
+    return _shares(rolled.withColumn("level", level).drop("_c", "_s"), keys, keys)

@@ -295,6 +295,9 @@ _BODIES = {
     "affected_plates": "select * from affected",
     "total_plates": "select * from total",
     **{f"{kind}_{level}": sql for level, keys in _LEVELS.items() for kind, sql in _plates_at(keys).items()},
+    "percent_plates_levels": " union all by name ".join(
+        f"select '{level}' as level, * from ({_plates_at(keys)['percent_plates']})" for level, keys in reversed(_LEVELS.items())
+    ),
     "tests_per_date": "select test_date, count(*) n from test where supplier_id = 1000 group by all",
     "countries_sites": """select country_code, supplier_site_id,
       cast(count(distinct instrument_id) + max(case when instrument_id is null then 1 else 0 end) as bigint) instruments,

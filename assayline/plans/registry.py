@@ -212,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "affected_plates": _on(_affected),
     "total_plates": _on(_total),
     **_plate_levels(),
+    "percent_plates_levels": _on(lambda v: plates.percent_plates_levels(*_plate_tables(v))),
     "tests_per_date": _on(lambda v: code_rates.tests_per_date(v.test())),
     "countries_sites": _on(lambda v: code_rates.countries_sites(*_roche(v))),
     "error_codes_long": _on(lambda v: code_rates.error_codes_long(*_roche(v))),
