@@ -1,7 +1,7 @@
 """Errors per test, first generation: code lists of up to 15 codes, nearest-month buckets.
 
-Every report counts codes by the columns of the activity table first (``code_tally``: one pass, one
-shuffle of already combined rows) and joins model and site to that tally.
+Every report is made from a tally of codes (``placed_tally``): one pass over the activity table and one
+shuffle of rows that are already combined.
 
 The first generation divides by code *slots*: each test counts 15 times in a denominator, empty
 slots included. ``denominator="tests"`` divides by tests instead.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from assayline.functions import dates, labels, text
 from assayline.functions.nulls import max_na, n_unique, percent, sum_skip
 from assayline.operators.cleaning import instruments, model_family
-from assayline.operators.lookups import attach_instrument, keep_listed
+from assayline.operators.lookups import attach_instrument, dims_small, keep_listed
 from assayline.operators.ranking import display_rank, top_with_ties
 
 MAX_CODES = 15
@@ -66,6 +66,33 @@ def key_columns(*names: str) -> dict[str, Column]:
     return {name: F.col(name) for name in names}
 
 
+def placed_tally(
+    activity: DataFrame,
+    by: Sequence[str],
+    master: DataFrame,
+    site: DataFrame | None = None,
+    how: str = "left",
+    month: Column | None = None,
+    max_codes: int = MAX_CODES,
+    once_per_test: bool = False,
+) -> DataFrame:
+    """``code_tally`` by columns of the activity table, its ``month``, its instrument and its site.
+
+    With small dimensions the tests get them by broadcast and are counted once, by the columns asked
+    for. With large ones the tests are first counted by instrument, and the counts are joined.
+    """
+    keys = key_columns(*[c for c in by if c in activity.columns], "instrument_id")
+    if month is not None:
+        keys["month"] = month
+    if dims_small((master, site)):
+        tests = activity.select(*[column.alias(name) for name, column in keys.items()], CODE)
+        placed = attach_instrument(tests, master, site, how=how)
+        return code_tally(placed, key_columns(*by), max_codes, once_per_test)
+    tally = code_tally(activity, keys, max_codes, once_per_test)
+    placed = attach_instrument(tally, master, site, how=how, counted=True)
+    return placed.groupBy(*by, CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
+
+
 def tests_per_date(test: DataFrame, supplier_id: int = 1000) -> DataFrame:
     """Number of tests of one supplier per date, most first."""
     counted = test.filter(F.col("supplier_id") == supplier_id).groupBy("test_date").agg(F.count(F.lit(1)).alias("n"))
@@ -94,12 +121,10 @@ def top_codes(activity: DataFrame, master: DataFrame, by: Sequence[str], k: int
     """The ``k`` most frequent codes per group, ties kept; ``by`` may be empty."""
     coded = activity.filter(F.col(CODE).isNotNull())
     if "instrument_model" in by:
-        tally = code_tally(coded, key_columns("country_code", "instrument_id")).drop("tests")
-        tally = attach_instrument(tally, instruments(master, "caps").drop("supplier_site_id"), counted=True)
-        counts = tally.groupBy(*by, CODE).agg(F.sum("n").alias("n"))
+        counts = placed_tally(coded, by, instruments(master, "caps").drop("supplier_site_id"))
     else:
-        # Without the model the activity table alone decides, and one grouping is enough.
-        counts = code_tally(coded, key_columns(*by)).drop("tests")
+        counts = code_tally(coded, key_columns(*by))
+    counts = counts.drop("tests")
     return top_with_ties(counts, by, "n", k)
 
 
@@ -127,10 +152,9 @@ def monthly_code_rate(
     activity: DataFrame, master: DataFrame, by: Sequence[str] = MODEL_LEVEL, denominator: str = "slots"
 ) -> DataFrame:
     """Codes per group and nearest month as a percentage of its code slots (or of its tests)."""
-    keys = key_columns("country_code", "instrument_id") | {"month": dates.month_nearest(F.col("test_date"))}
-    tally = code_tally(activity, keys)
-    placed = attach_instrument(tally, _family(master), how="inner", counted=True)
-    counts = placed.groupBy(*by, "month", CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
+    counts = placed_tally(
+        activity, [*by, "month"], _family(master), how="inner", month=dates.month_nearest(F.col("test_date"))
+    )
     # One row per code and group reaches this window, whatever the number of tests.
     in_group = F.sum("tests").over(Window.partitionBy(*by, "month"))
     weight = {"slots": MAX_CODES, "tests": 1}[denominator]

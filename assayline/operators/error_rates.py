@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.functions import dates, text
 from assayline.functions.nulls import percent
 from assayline.operators.cleaning import instruments, model_family
 from assayline.operators.lookups import attach, attach_instrument
-from assayline.operators.code_rates import CODE, code_tally, key_columns
+from assayline.operators.code_rates import CODE, placed_tally
 
 # Names of the code slots, as fixed values.
 SLOTS = "abcdefghi"
@@ -79,13 +79,26 @@ def test_errors(
     )
 
 
-def _tally(activity: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    return code_tally(activity, keys, len(SLOTS), once_per_test=True)
-
-
-def _rate(tally: DataFrame, by: Sequence[str], tests_by: Sequence[str], error_type: DataFrame, supplier_id: int) -> DataFrame:
+def _rate(
+    activity: DataFrame,
+    by: Sequence[str],
+    tests_by: Sequence[str],
+    master: DataFrame,
+    site: DataFrame | None,
+    error_type: DataFrame,
+    supplier_id: int,
+) -> DataFrame:
     """``n`` per ``by`` and code, as a percentage of the tests of its ``tests_by`` group."""
-    counts = tally.groupBy(*by, CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
+    counts = placed_tally(
+        activity,
+        by,
+        _family(master),
+        None if site is None else site_names(site),
+        how="inner",
+        month=dates.month_floor(F.col("test_date")) if "month" in by else None,
+        max_codes=len(SLOTS),
+        once_per_test=True,
+    )
     # Counted rows only: a group of this window holds one row per code and finer key.
     run = F.sum("tests").over(Window.partitionBy(*tests_by))
     rated = counts.withColumn("tests_run", run).drop("tests").filter(F.col(CODE).isNotNull())
@@ -97,8 +110,8 @@ def error_share_all(
 ) -> DataFrame:
     """Each code as a percentage of all tests, or of a given number of tests; largest first."""
     family = _family(master)
-    tally = attach_instrument(_tally(activity, key_columns("instrument_id")), family, how="inner", counted=True)
-    counts = tally.filter(F.col(CODE).isNotNull()).groupBy(CODE).agg(F.sum("n").alias("n"))
+    coded = activity.filter(F.col(CODE).isNotNull())
+    counts = placed_tally(coded, [], family, how="inner", max_codes=len(SLOTS), once_per_test=True).drop("tests")
     if total_tests is None:
         per_instrument = activity.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("tests"))
         total = attach_instrument(per_instrument, family, how="inner", counted=True).agg(F.sum("tests")).scalar()
@@ -112,9 +125,8 @@ def error_rate_site(
     activity: DataFrame, master: DataFrame, error_type: DataFrame, site: DataFrame, supplier_id: int = 1000
 ) -> DataFrame:
     """Each code per country and site name, as a percentage of the tests under that site name."""
-    tally = _tally(activity, key_columns("country_code", "instrument_id"))
-    placed = attach_instrument(tally, _family(master), site_names(site), how="inner", counted=True)
-    rates = _rate(placed, ["country_code", "supplier_site_name"], ["supplier_site_name"], error_type, supplier_id)
+    by, tests_by = ["country_code", "supplier_site_name"], ["supplier_site_name"]
+    rates = _rate(activity, by, tests_by, master, site, error_type, supplier_id)
     return rates.select(
         "country_code", "supplier_site_name", CODE, "error_type_description", "n", "tests_run", "error_percent"
     ).orderBy("supplier_site_name", F.desc("error_percent"), CODE)
@@ -124,10 +136,8 @@ def error_rate_instrument(
     activity: DataFrame, master: DataFrame, error_type: DataFrame, site: DataFrame, supplier_id: int = 1000
 ) -> DataFrame:
     """Each code per instrument, as a percentage of the tests of that instrument."""
-    tally = _tally(activity, key_columns("country_code", "instrument_id"))
-    placed = attach_instrument(tally, _family(master), site_names(site), how="inner", counted=True)
     by = ["instrument_id", "instrument_model", "country_code", "supplier_site_name"]
-    rates = _rate(placed, by, ["instrument_id"], error_type, supplier_id)
+    rates = _rate(activity, by, ["instrument_id"], master, site, error_type, supplier_id)
     return rates.select(*by, CODE, "error_type_description", "n", "tests_run", "error_percent").orderBy(
         "supplier_site_name", F.desc("error_percent"), CODE
     )
@@ -137,9 +147,8 @@ def error_rate_month(
     activity: DataFrame, master: DataFrame, error_type: DataFrame, supplier_id: int = 1000
 ) -> DataFrame:
     """Each code per country and month, as a percentage of the tests of that country and month."""
-    keys = key_columns("country_code", "instrument_id") | {"month": dates.month_floor(F.col("test_date"))}
-    placed = attach_instrument(_tally(activity, keys), _family(master), how="inner", counted=True)
-    rates = _rate(placed, ["country_code", "month"], ["country_code", "month"], error_type, supplier_id)
+    by = ["country_code", "month"]
+    rates = _rate(activity, by, by, master, None, error_type, supplier_id)
     return rates.orderBy("month", F.desc("error_percent"), CODE).select(
         "country_code",
         dates.month_name_label(F.col("month")).alias("test_month_year"),

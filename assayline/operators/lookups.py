@@ -75,6 +75,11 @@ def keep_listed(df: DataFrame, listed: DataFrame, on: str | Sequence[str | tuple
     return df.join(ids, _match(df, pairs, ids, keys), how)
 
 
+def dims_small(dims: Sequence[DataFrame | None], may_count: bool = False) -> bool:
+    """Whether all of the dimensions (None: not used) are within the broadcast bound."""
+    return all(is_small(d, may_count) for d in dims if d is not None)
+
+
 def attach_instrument(
     fact: DataFrame,
     master: DataFrame,
@@ -92,7 +97,7 @@ def attach_instrument(
 
     ``counted`` says that ``fact`` is already aggregated: then larger tables are simply joined.
     """
-    if _all_small((master, site, country), may_count=not counted):
+    if dims_small((master, site, country), may_count=not counted):
         return _chain(attach(fact, master, "instrument_id", how, small=True), site, country, small=True)
     if counted:
         return _chain(attach(fact, master, "instrument_id", how, small=False), site, country)
@@ -109,7 +114,7 @@ def attach_names(counts: DataFrame, master: DataFrame, site: DataFrame) -> DataF
 
     Unlike ``attach_instrument``, entries of one instrument that carry the same names are one group.
     """
-    if _all_small((master, site), may_count=False):
+    if dims_small((master, site), may_count=False):
         names = _chain(master, site, None, small=True)
         names = names.select("instrument_id", "instrument_model", "supplier_site_name").distinct()
         return attach(counts, names, "instrument_id", small=True)
@@ -117,10 +122,6 @@ def attach_names(counts: DataFrame, master: DataFrame, site: DataFrame) -> DataF
     return named.drop("supplier_site_id").distinct()
 
 
-def _all_small(dims: Sequence[DataFrame | None], may_count: bool) -> bool:
-    return all(is_small(d, may_count) for d in dims if d is not None)
-
-
 def _chain(df: DataFrame, site: DataFrame | None, country: DataFrame | None, small: bool = False) -> DataFrame:
     if site is not None:
         df = attach(df, site, "supplier_site_id", small=small)

@@ -44,14 +44,19 @@ TEST = {
     "tot_patient_error": "o_custkey % 7",
     "supplier_id": "1000 + o_orderkey % 2",
 }
-ACTIVITY_ABBOTT = {
+# The part of a record id that comes from the order, and the part that comes from the line.
+RECORD_PLATE = (
+    "concat(cast(cast(o_orderdate as date) as string),'|',substr(o_orderpriority,1,1),'|BC',"
+    "cast(o_orderkey as string),'|',o_orderstatus)"
+)
+RECORD_WELL = "case when o_orderkey % 211 = 0 then '' else concat('|',cast(l_linenumber as string)) end"
+ACTIVITY_ABBOTT_ORDER = {
     "instrument_id": "o_orderkey % 2100",
     "test_type_id": "o_orderpriority",
-    "test_record_id": "concat(cast(cast(o_orderdate as date) as string),'|',substr(o_orderpriority,1,1),'|BC',"
-    "cast(o_orderkey as string),'|',o_orderstatus,"
-    "case when o_orderkey % 211 = 0 then '' else concat('|',cast(l_linenumber as string)) end)",
     "country_code": "case when o_orderkey % 13 = 0 then null else concat('C',cast(o_custkey % 25 as string)) end",
     "test_date": "cast(o_orderdate as date)",
+}
+ACTIVITY_ABBOTT_LINE = {
     "error_type_id": "case when l_discount > 0.075 then cast(4440 + l_linenumber as double) else null end",
     "error_count": "cast(case when l_discount > 0.065 then 1 + l_linenumber % 3 else 0 end as bigint)",
     "is_patient_test": "case when l_returnflag = 'N' then 0 else 1 end",
@@ -60,6 +65,11 @@ ACTIVITY_ABBOTT = {
     "control_test_error_flag": "case when l_discount > 0.075 and l_returnflag = 'N' then 1 else 0 end",
     "excluded_tests": "0",
 }
+ACTIVITY_ABBOTT = {
+    **ACTIVITY_ABBOTT_ORDER,
+    "test_record_id": f"concat({RECORD_PLATE},{RECORD_WELL})",
+    **ACTIVITY_ABBOTT_LINE,
+}
 ACTIVITY_ROCHE = {
     "record_key": "o_orderkey",
     "instrument_id": "o_orderkey % 2100",
@@ -162,8 +172,14 @@ class LabViews:
         return self._bound("orders", TEST)
 
     def test_activity_abbott(self) -> DataFrame:
-        joined = self._base("lineitem").join(self._base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.selectExpr(*columns(ACTIVITY_ABBOTT))
+        # What depends on the order alone is derived once per order, not once per line.
+        orders = self._base("orders").selectExpr(
+            "o_orderkey", *columns(ACTIVITY_ABBOTT_ORDER), f"{RECORD_PLATE} as record_plate"
+        )
+        joined = self._base("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return joined.selectExpr(
+            *ACTIVITY_ABBOTT_ORDER, f"concat(record_plate,{RECORD_WELL}) as test_record_id", *columns(ACTIVITY_ABBOTT_LINE)
+        )
 
     def test_activity_roche(self) -> DataFrame:
         return self._bound("orders", ACTIVITY_ROCHE)
