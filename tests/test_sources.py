@@ -86,6 +86,61 @@ def test_database_options():
     assert query.endswith("WHERE table_schema IN ('lab', 'o''x')")
 
 
+class StandInDatabase:
+    """Answers the scans and queries that the source sends, and notes their options."""
+
+    def __init__(self, tables, catalog):
+        self.tables, self.catalog, self.asked = tables, catalog, []
+
+    @property
+    def read(self):
+        return _StandInReader(self)
+
+    def answer(self, options):
+        self.asked.append(options)
+        if "query" not in options:
+            return self.tables[options["dbtable"]]
+        if "information_schema" in options["query"]:
+            return self.catalog
+        table = self.tables[options["query"].rsplit(" ", 1)[1]]
+        return table.selectExpr("min(id) low", "max(id) high")
+
+
+class _StandInReader:
+    def __init__(self, database):
+        self.database, self.chosen = database, {}
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **more):
+        self.chosen.update(more)
+        return self
+
+    def load(self):
+        return self.database.answer(self.chosen)
+
+
+def test_database_scan_is_split_and_blanks_are_missing(rows):
+    tables = {"lab.site": rows("id bigint, city string", (3, ""), (40, "x")), "lab.empty": rows("id bigint, city string")}
+    database = StandInDatabase(tables, None)
+    got = jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "site", "id", 8)
+    assert [tuple(r) for r in got.collect()] == [(3, None), (40, "x")]
+    scan = database.asked[-1]
+    assert (scan["partitionColumn"], scan["lowerBound"], scan["upperBound"], scan["numPartitions"]) == ("id", "3", "41", "8")
+    assert jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "empty", "id").count() == 0
+    assert "partitionColumn" not in database.asked[-1]
+
+
+def test_exported_catalog_keeps_schemas_apart(spark, rows, tmp_path):
+    tables = {"lab.site": rows("id bigint", (1,)), "stage.site": rows("id bigint", (2,))}
+    catalog = rows("table_schema string, table_name string", ("stage", "site"), ("lab", "site"))
+    paths = jdbc.export_catalog(StandInDatabase(tables, catalog), "jdbc:x", ["lab", "stage"], str(tmp_path))
+    assert paths == [f"{tmp_path}/lab/site.csv", f"{tmp_path}/stage/site.csv"]
+    assert [spark.read.option("header", True).csv(p).first()["id"] for p in paths] == ["1", "2"]
+
+
 @pytest.mark.parametrize("table", sorted(SCHEMAS))
 def test_views_have_the_fixed_columns(spark, table):
     from assayline.plans.lab_views import LabViews
