@@ -11,7 +11,8 @@ the executors; their size is that of the vocabulary.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -83,9 +84,9 @@ class PairTable:
         return out.reshape(shape)
 
 
-def _merge_matrix(ids: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
-    """Final ids of each row of a padded matrix."""
-    result: list[np.ndarray] = [np.empty(0, np.int32)] * len(ids)
+def _merge_matrix(ids: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Final ids of each row of a padded matrix, as the bytes of an int32 array."""
+    result = [b""] * len(ids)
     rows, lengths = np.arange(len(ids)), (ids >= 0).sum(1)
     ids = np.hstack([ids, np.full((len(ids), 1), -1, np.int32)])
     ranks = pairs.lookup(ids[:, :-1], ids[:, 1:])
@@ -95,8 +96,9 @@ def _merge_matrix(ids: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
         best = ranks[line, place]
         live = best < NO_RANK
         if not live.all():
-            for i in np.flatnonzero(~live):
-                result[rows[i]] = ids[i, : lengths[i]].copy()
+            done, step = ids[~live].tobytes(), ids.shape[1] * 4
+            for i, (row, length) in enumerate(zip(rows[~live].tolist(), lengths[~live].tolist(), strict=True)):
+                result[row] = done[i * step : i * step + 4 * length]
             width = int(lengths[live].max(initial=1)) + 1
             rows, lengths, ids, ranks = rows[live], lengths[live], ids[live, :width], ranks[live, : width - 1]
             place, best, line = place[live], best[live], np.arange(int(live.sum()))
@@ -122,25 +124,23 @@ def _merge_matrix(ids: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
     return result
 
 
-def merge_pieces(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable) -> list[np.ndarray]:
-    """Ids of each byte string. Strings of similar length share a matrix of at most MATRIX_CELLS cells."""
-    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-    result: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+def merge_pieces(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable) -> dict[bytes, bytes]:
+    """Ids, as the bytes of an int32 array, of each byte string. Strings of similar length share a matrix of at most
+    MATRIX_CELLS cells."""
+    pieces = sorted(pieces, key=len)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    merged: dict[bytes, bytes] = {}
     start = 0
-    while start < len(order):
-        least = max(4, len(pieces[order[start]]))
-        end = start
-        while end < len(order) and len(pieces[order[end]]) <= 1.5 * least and (end - start) * 2 * least < MATRIX_CELLS:
-            end += 1
+    while start < len(pieces):
+        least = max(4, int(lengths[start]))
+        end = min(int(np.searchsorted(lengths, 1.5 * least, "right")), start + MATRIX_CELLS // (2 * least))
         end = max(end, start + 1)
-        bucket = [pieces[i] for i in order[start:end]]
-        ids = np.full((len(bucket), max(map(len, bucket))), -1, np.int32)
-        lengths = np.array([len(p) for p in bucket])
-        ids[np.arange(ids.shape[1]) < lengths[:, None]] = byte_ids[np.frombuffer(b"".join(bucket), np.uint8)]
-        for i, merged in zip(order[start:end], _merge_matrix(ids, pairs), strict=True):
-            result[i] = merged
+        bucket, size = pieces[start:end], lengths[start:end]
+        ids = np.full((len(bucket), int(size[-1])), -1, np.int32)
+        ids[np.arange(ids.shape[1]) < size[:, None]] = byte_ids[np.frombuffer(b"".join(bucket), np.uint8)]
+        merged.update(zip(bucket, _merge_matrix(ids, pairs), strict=True))
         start = end
-    return result
+    return merged
 
 
 def _library_class(char: str) -> str:
@@ -161,26 +161,39 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.memo: dict[str, bytes] = {}
-
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids, as the bytes of an int32 array, of pre-tokens not met before; the long ones are returned and not kept."""
-        new = [(p, p.encode()) for p in pieces]
-        known = {p: np.int32(self.ranks[b]).tobytes() for p, b in new if b in self.ranks}
-        rest = [(p, b) for p, b in new if b not in self.ranks]
-        merged = merge_pieces([b for _, b in rest], self.byte_ids, self.pairs)
-        known |= {p: ids.astype(np.int32).tobytes() for (p, _), ids in zip(rest, merged, strict=True)}
-        if len(self.memo) + len(known) > MEMO_ENTRIES:
-            self.memo = {}
-        self.memo |= {p: ids for p, ids in known.items() if len(p) <= MEMO_BYTES}
-        return known
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def ids_of(self, split: list[list[str]]) -> list[bytes]:
+        """Ids, as the bytes of an int32 array, of lists of pre-tokens; those not met before are merged together."""
+        raw = [[p.encode() for p in pieces] for pieces in split]
+        wanted = set(chain.from_iterable(raw))
+        have = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        new = wanted - have.keys()
+        known = {p: np.int32(self.ranks[p]).tobytes() for p in new if p in self.ranks}
+        known |= merge_pieces([p for p in new if p not in known], self.byte_ids, self.pairs)
+        if len(self.pieces) + len(known) > MEMO_ENTRIES:
+            self.pieces = {}
+        self.pieces |= {p: ids for p, ids in known.items() if len(p) <= MEMO_BYTES}
+        have |= known
+        return [b"".join(map(have.__getitem__, pieces)) for pieces in raw]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) if t else [] for t in texts]
-        wanted = set().union(*split) if split else set()
-        have = {p: self.memo[p] for p in wanted if p in self.memo}
-        have |= self.learn(wanted - have.keys())
-        return [np.frombuffer(b"".join(map(have.__getitem__, pieces)), np.int32) for pieces in split]
+        """Ids of each text. The first word of a text stands alone, the others follow a blank and are looked up by word."""
+        cut = [self.split.words(t) for t in texts]
+        wanted = set(chain.from_iterable(cut))
+        have = {w: self.words[w] for w in wanted if w in self.words}
+        new = list(wanted - have.keys())
+        ids = self.ids_of([self.split(" " + w) for w in new] + [self.split(words[0]) for words in cut])
+        known = dict(zip(new, ids[: len(new)], strict=True))
+        if len(self.words) + len(known) > MEMO_ENTRIES:
+            self.words = {}
+        self.words |= {w: x for w, x in known.items() if len(w) <= MEMO_BYTES}
+        have |= known
+        return [
+            np.frombuffer(b"".join([first, *map(have.__getitem__, words[1:])]), np.int32)
+            for first, words in zip(ids[len(new) :], cut, strict=True)
+        ]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -3,6 +3,9 @@
 The `regex` module knows a newer Unicode version than the tokenizer libraries. Characters that a library classes
 differently are replaced, for the split only, by a character of the class the library gives them; the pre-tokens are
 then cut from the original text. Below U+0530 all versions agree.
+
+Where every blank stands between two characters that are not white space, no pre-token of these patterns reaches over a
+blank except by beginning with it. Such texts are cut at blanks, and the work on a word is done once per distinct word.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ class Splitter:
         self.pattern = regex.compile(pattern)
         self.library_class = library_class
         self.changed: dict[str, str] = {}
+        self.blank_run = regex.compile(r" \s|\s ")
 
     def own_class(self, char: str) -> str:
         return next((m for m in CLASS_MARKS if len(self.pattern.findall(m + char)) == 1), " ")
@@ -41,6 +45,11 @@ class Splitter:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(swaps))]
 
+    def words(self, text: str) -> list[str]:
+        """The text cut at its blanks: the first part stands alone, the others follow a blank. One part only if some blank
+        stands beside other white space."""
+        return [text] if self.blank_run.search(text) else text.split(" ")
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""

@@ -2,7 +2,7 @@
 
 Before the job starts, `prove_whole_tokens` encodes every string of the vocabulary alone and keeps those that the library
 splits into one pre-token and encodes as one token. In the tasks a pre-token of that set counts as one; only the others are
-merged, once per distinct pre-token of a task. Rows are independent: there is no shuffle, and a lost task is computed again.
+merged, once per distinct pre-token of a task, up to a bound of memory. Rows are independent: there is no shuffle, and a lost task is computed again.
 
 The vocabulary file and the proven strings are sent to the executors; their size is that of the vocabulary, not of the data.
 """
@@ -61,6 +61,22 @@ class PieceCounts(dict):
         return count
 
 
+class WordCounts(dict):
+    """Tokens by word behind a blank."""
+
+    def __init__(self, split: Splitter, pieces: PieceCounts):
+        super().__init__()
+        self.split, self.pieces = split, pieces
+
+    def __missing__(self, word: str) -> int:
+        count = sum(map(self.pieces.__getitem__, self.split(" " + word)))
+        if len(word) <= MEMO_CHARS:
+            if len(self) > MEMO_ENTRIES:
+                self.clear()
+            self[word] = count
+        return count
+
+
 def _library_class(tokenizer: Tokenizer) -> Callable[[str], str]:
     split = tokenizer.pre_tokenizer.pre_tokenize_str
     return lambda char: next((m for m in CLASS_MARKS if len(split(m + char)) == 1), " ")
@@ -74,14 +90,19 @@ def text_counter(vocabulary: str, proven: set[str], pattern: str) -> Callable[[s
         raise ValueError("added tokens that look at their neighbours are not supported")
     contents = sorted((t["content"] for t in special), key=len, reverse=True)
     at_special = regex.compile("|".join(map(regex.escape, contents))) if contents else None
-    counts = PieceCounts(tokenizer, proven)
+    pieces = PieceCounts(tokenizer, proven)
     split = Splitter(pattern, _library_class(tokenizer))
+    words = WordCounts(split, pieces)
+
+    def plain(text: str) -> int:
+        first, *others = split.words(text)
+        return sum(map(pieces.__getitem__, split(first))) + sum(map(words.__getitem__, others))
 
     def count(text: str) -> int:
         if at_special is None or not any(c in text for c in contents):
-            return sum(map(counts.__getitem__, split(text))) if text else 0
+            return plain(text)
         parts = at_special.split(text)
-        return len(parts) - 1 + sum(sum(map(counts.__getitem__, split(p))) for p in parts if p)
+        return len(parts) - 1 + sum(map(plain, parts))
 
     return count
 
