@@ -220,17 +220,22 @@ def encode_decode(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
     ranks_path: str | None = None,
     pattern: str | None = None,
 ) -> DataFrame:
     """Ids of every whole text, and the bytes that decoding those ids gives.
 
-    Returns id_col, ids array<int> and decoded binary, a row per row of docs: repeated rows and null ids are kept, a null or
+    Returns id_col, the columns to carry, ids array<int> and decoded binary, a row per row of docs: repeated rows and null ids are kept, a null or
     empty text has no ids and decodes to no bytes, other columns are left out, an empty table gives an empty one.
     """
     codec = _sent_codec(docs, ranks_path, pattern)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = rows.select("id", F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("decoded")).schema
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(F.lit(True).alias("_"), *carry).alias("carried"),
+    )
+    schema = rows.select("id", "carried", F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("decoded")).schema
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
@@ -242,9 +247,13 @@ def encode_decode(
                     pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
                 )
                 decoded = pa.array([own.decode(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id")[part], lists, decoded], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id")[part], batch.column("carried")[part], lists, decoded], names=["id", "carried", "ids", "decoded"]
+                )
 
-    return rows.mapInArrow(coded, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(coded, schema).select(
+        F.col("id").alias(id_col), *[F.col("carried")[c].alias(c) for c in carry], "ids", "decoded"
+    )
 
 
 def decode(

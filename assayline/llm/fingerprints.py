@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 63
 
 
-def with_sketch(df: DataFrame, text: str, name: str, *, words: int = 5, one_in: int = 8) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, name: str, *, words: int = 5, one_in: int = 4) -> DataFrame:
     """Adds the sketch of a text column: ascending distinct hashes. A text of fewer words is one shingle of all its words, one
     without words (or null) has an empty sketch."""
     word, hashed, all_ = f"_{name}_words", f"_{name}_shingles", f"_{name}_kept"
@@ -53,7 +53,7 @@ def with_sketch(df: DataFrame, text: str, name: str, *, words: int = 5, one_in:
     )
 
 
-def merged(one: Column, other: Column, *, one_in: int = 8) -> Column:
+def merged(one: Column, other: Column, *, one_in: int = 4) -> Column:
     """The sketch of two texts' shingles together, from their sketches."""
     union = F.array_sort(F.array_union(one, other))
     kept = F.filter(union, lambda h: h < (1 << HASH_BITS) // one_in)
@@ -106,7 +106,7 @@ def with_next_text(docs: DataFrame, ranges: int) -> tuple[DataFrame, W]:
 
 
 def fingerprint_edits(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, one_in: int = 8, ranges: int | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, one_in: int = 4, ranges: int | None = None
 ) -> DataFrame:
     """Fingerprints of every whole text, of its edit, and how alike they are.
 

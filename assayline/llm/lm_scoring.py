@@ -148,17 +148,15 @@ def build_level_1(counts: DataFrame, folder: str) -> Level1:
     """Writes level 1 from hash and n. Hashes are unsigned; the files are ranges of them."""
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     files = max(1, -(-words // LEVEL_ROWS))
-    # Hashes are uniform, so equal ranges of them are equal shares; with the sign bit turned, signed order is unsigned order.
-    turned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    width = (1 << 64) // files + 1
-    number = F.floor((turned.cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+    # Hashes are uniform, so equal ranges of them (by their upper half, unsigned) are equal shares.
+    number = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * files, 32)
 
     def built(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         hashes = table.column("hash").to_numpy().view(np.uint64)
         order = np.argsort(hashes)
         arrays = named("hashes", encode(hashes[order])) | {"counts": table.column("n").to_numpy()[order]}
         place = save(folder, "words", arrays)
-        return pa.table({"file": [key[0].as_py()], "place": [place], "least": [int(hashes.min().view(np.int64))], "words": [len(hashes)]})
+        return pa.table({"file": pa.array([key[0].as_py()], pa.int32()), "place": [place], "least": [int(hashes.min().view(np.int64))], "words": [len(hashes)]})
 
     dealt = counts.withColumn("file", number.cast("int"))
     done = dealt.groupBy("file").applyInArrow(built, "file int, place string, least long, words long")

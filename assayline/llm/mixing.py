@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayline.llm.storage import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_DIGITS = 16
 
@@ -24,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def random_key(id_col: str, seed: str) -> Column:
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.substring(F.md5(F.concat(ident, F.lit(":"), F.lit(seed))), 1, KEY_DIGITS)
+
+
 def source_targets(
     sources: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2
 ) -> DataFrame:
@@ -65,7 +72,7 @@ def mix(
 ) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns id_col, source_col, key, size (words), source_size, target (of its source, in words), copies and taken (copies x
+    Returns id_col, source_col, key, size (words), source_size, target and epochs (of its source), copies and taken (copies x
     size), a row per row of docs. Copies are the source's whole epochs, and one more for the documents whose middle lies before the
     rest of the budget in the order of the keys: a source's taken words miss its target by at most half its largest document.
     Ties of the key go by id (null first), then by size; rows equal in these are alike. A null text has size 0, null is a source
@@ -74,12 +81,11 @@ def mix(
     digits = len(f"{ranges:x}") - 1
     if 16**digits != ranges:
         raise ValueError("ranges must be a power of 16")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        F.substring(F.md5(F.concat(ident, F.lit(":"), F.lit(seed))), 1, KEY_DIGITS).alias("key"),
+        random_key(id_col, seed).alias("key"),
     ).withColumn("range", F.substring("key", 1, digits))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(
@@ -109,6 +115,50 @@ def mix(
         "size",
         "source_size",
         "target",
+        "epochs",
         "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def take(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    max_epochs: int = 2,
+    seed: str = "mix",
+    ranges: int = 4096,
+) -> DataFrame:
+    """The mix itself: every row of docs, with all its columns, as often as the mix takes it.
+
+    The rows taken once more are the first of their source in the order of the keys, so that each source has a last one; rows are
+    compared with it where they lie, and texts are not shuffled. Rows alike in key, id and size are taken equally often.
+    """
+    mixed = mix(
+        docs,
+        id_col=id_col,
+        text_col=text_col,
+        source_col=source_col,
+        weights=weights,
+        share=share,
+        max_epochs=max_epochs,
+        seed=seed,
+        ranges=ranges,
+    )
+    place = F.struct("key", F.col(id_col).alias("id"), "size")
+    last = mixed.groupBy(F.col(source_col).alias("_source")).agg(
+        F.max("epochs").alias("_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("_last")
+    )
+    # A row per source; as a stored table its size is known to Spark, which broadcasts it only below its threshold.
+    last = stored(last, "cuts")
+    own = F.struct(
+        random_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")
+    )
+    copies = F.col("_epochs") + F.coalesce((own <= F.col("_last")).cast("long"), F.lit(0))
+    met = docs.join(last, F.col(source_col).eqNullSafe(F.col("_source")))
+    met = met.withColumn("_copies", copies).filter("_copies > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)

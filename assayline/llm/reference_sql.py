@@ -38,9 +38,9 @@ select doc_id, size, source_size, target, (copies * size)::bigint as taken, copi
 
 TOP_K = """
 with vectors as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v
+  select vec_id, [floor(256 * x::double) for x in embedding] as v
   from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
   from vectors q join vectors c on q.vec_id <> c.vec_id

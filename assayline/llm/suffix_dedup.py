@@ -371,11 +371,22 @@ def _covered(
     return np.concatenate(froms), np.concatenate(tos)
 
 
-def cut_repeats(rows: DataFrame, anchors: dict[int, list[str]], starts: dict[int, list[str]], shards: int, length: int) -> DataFrame:
-    """id, spans and kept of the rows (id, rank, text)."""
+def _whole_characters(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs without the parts of characters at their ends; runs that hold no whole character go."""
+    first = np.append((data & 0xC0) != 0x80, True)
+    for _ in range(3):  # a character has at most three bytes behind its first
+        left = np.where(first[left], left, left + 1)
+        right = np.where(first[right], right, right - 1)
+    return left[left < right], right[left < right]
+
+
+def cut_repeats(
+    rows: DataFrame, anchors: dict[int, list[str]], starts: dict[int, list[str]], shards: int, length: int, whole_characters: bool
+) -> DataFrame:
+    """id, carried, spans and kept of the rows (id, carried, rank, text)."""
     sent = rows.sparkSession.sparkContext.broadcast((anchors, starts))
     fields = {"spans": "array<struct<begin: bigint, end: bigint>>", "kept": "binary"}
-    schema = rows.select("id", *[F.lit(None).cast(t).alias(n) for n, t in fields.items()]).schema
+    schema = rows.select("id", "carried", *[F.lit(None).cast(t).alias(n) for n, t in fields.items()]).schema
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,14 +407,21 @@ def cut_repeats(rows: DataFrame, anchors: dict[int, list[str]], starts: dict[int
                 border = np.flatnonzero(border)
                 left, right = border[:-1], border[1:]
                 left, right = left[gone[left]], right[gone[left]]
+                data = np.frombuffer(raw, np.uint8)
+                if whole_characters:
+                    left, right = _whole_characters(data, left, right)
+                    cover = np.zeros(len(raw) + 1, np.int8)
+                    cover[left], cover[right] = 1, cover[right] - 1
+                    gone = np.cumsum(cover[:-1], dtype=np.int8) > 0
                 owner = np.searchsorted(ends, left, "right")
                 spans: list[list[dict[str, int]]] = [[] for _ in begins]
                 for a, b, d in zip(left.tolist(), right.tolist(), owner.tolist(), strict=True):
                     spans[d].append({"begin": a - int(begins[d]), "end": b - int(begins[d])})
-                data, keep = np.frombuffer(raw, np.uint8), ~gone
+                keep = ~gone
                 kept = [data[a:b][keep[a:b]].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["id", "spans", "kept"]
+                    [part.column("id"), part.column("carried"), pa.array(spans, span_type), pa.array(kept, pa.binary())],
+                    names=["id", "carried", "spans", "kept"],
                 )
 
     return rows.mapInArrow(cut, schema)
@@ -422,14 +440,16 @@ def remove_repeats(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
     length: int = 50,
+    whole_characters: bool = False,
     shard_bytes: int = SHARD_BYTES,
     hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
     """Whole texts as UTF-8 bytes without what a document of a smaller id has too.
 
-    Returns id_col, n_bytes, spans (the maximal removed runs: begin and end in bytes) and kept (the other bytes, joined), a row
-    per row of docs. Matches lie inside one document each, and are judged on the input. A null text is empty; texts shorter
+    Returns id_col, the columns to carry, n_bytes, spans (the maximal removed runs: begin and end in bytes) and kept (the other
+    bytes, joined), a row per row of docs. With whole_characters, runs end at characters, so that kept is UTF-8. Matches lie inside one document each, and are judged on the input. A null text is empty; texts shorter
     than length stay whole; rows of one id do not remove each other's text; a null id counts as larger than all others; other
     columns are left out; an empty table gives an empty one. length is from 31 to 65,000 bytes.
     """
@@ -438,12 +458,16 @@ def remove_repeats(
     folder = shared_folder(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), text.alias("text")
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"),
+        text.alias("text"),
+        F.struct(F.lit(True).alias("_"), *carry).alias("carried"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    anchors = _places(write_shared_anchors(anchor_documents(rows, shards, length), folder), "anchors-of")
-    distinct = stored(shared_segments(rows, anchors, shards, length), "segments")
+    texts = rows.select("rank", "text")
+    anchors = _places(write_shared_anchors(anchor_documents(texts, shards, length), folder), "anchors-of")
+    distinct = stored(shared_segments(texts, anchors, shards, length), "segments")
     # Few rows, one for each hot anchor; Spark knows the stored table's size.
     hot = stored(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "hot")
     done = write_first_starts(distinct.join(hot, "anchor", "left_anti"), folder, length)
@@ -451,6 +475,12 @@ def remove_repeats(
     if not hot.isEmpty():
         for shard, places in _places(write_hot_starts(distinct.join(hot, "anchor", "left_semi"), folder, length), "hot-of").items():
             starts.setdefault(shard, []).extend(places)
-    found = cut_repeats(rows, anchors, starts, shards, length)
-    sized = found.select("id", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("gone"), "spans", "kept")
-    return sized.select(F.col("id").alias(id_col), (F.octet_length("kept") + F.col("gone")).cast("long").alias("n_bytes"), "spans", "kept")
+    found = cut_repeats(rows, anchors, starts, shards, length, whole_characters)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        F.col("id").alias(id_col),
+        *[F.col("carried")[c].alias(c) for c in carry],
+        (F.octet_length("kept") + gone).cast("long").alias("n_bytes"),
+        "spans",
+        "kept",
+    )

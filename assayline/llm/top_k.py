@@ -48,6 +48,15 @@ class Tree:
         self.root = self._page(np.arange(len(vectors)), None)
         del self.points, self.lift
 
+    def to_bytes(self) -> bytes:
+        return pickle.dumps(self.__dict__)
+
+    @classmethod
+    def from_bytes(cls, stored_pages: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.__dict__.update(pickle.loads(stored_pages))
+        return tree
+
     def _distance(self, rows: np.ndarray, to: int) -> np.ndarray:
         gap = self.points[rows] - self.points[to]
         return np.sqrt((gap**2).sum(1) + (self.lift[rows] - self.lift[to]) ** 2)
@@ -135,7 +144,7 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def build_trees(vectors: DataFrame, trees: int, longest2: float, width: int, k: int) -> DataFrame:
-    """A row per tree: tree (number) and pages (the pickled tree)."""
+    """A row per tree: tree (number) and pages (the tree's state, pickled)."""
 
     def built(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -143,7 +152,7 @@ def build_trees(vectors: DataFrame, trees: int, longest2: float, width: int, k:
         order = np.argsort(of.ravel(), kind="stable")
         cuts = np.searchsorted(of.ravel()[order], np.arange(1, len(distinct)))
         ids = [np.unique(x)[: k + 1] for x in np.split(rows["id"].to_numpy()[order], cuts)]
-        return pd.DataFrame({"tree": [key[0]], "pages": [pickle.dumps(Tree(distinct, ids, longest2))]})
+        return pd.DataFrame({"tree": [key[0]], "pages": [Tree(distinct, ids, longest2).to_bytes()]})
 
     dealt = vectors.withColumn("tree", F.pmod(F.xxhash64("id"), F.lit(trees)).cast("int"))
     return dealt.groupBy("tree").applyInPandas(built, "tree int, pages binary")
@@ -155,7 +164,7 @@ def search_trees(trees: DataFrame, queries: DataFrame, n_trees: int, blocks: int
     def searched(_: tuple[int, int], tree: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(tree) and len(block):
-            index: Tree = pickle.loads(tree["pages"].iloc[0])
+            index = Tree.from_bytes(tree["pages"].iloc[0])
             for own, vector in zip(block["id"], _matrix(block["vector"], width), strict=True):
                 found += [(own, ident, -score) for score, ident in index.search(vector, k, own)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
