@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plate record id ends in "|" and the number of the well; the rest names the plate.
+# Fixed values of the record id: it ends in "|" and the number of the well; the rest names the plate by these parts.
 WELL_SUFFIX = r"\|\d+$"
 RECORD_PARTS = ("date", "test_type", "barcode", "log", "sample_number")
 
@@ -51,6 +51,7 @@ def code_text(c: Column) -> Column:
     return F.when(whole.cast("double") == c, whole.cast("string")).otherwise(c.cast("string"))
 
 
-def code_array(code_list: Column, max_codes: int) -> Column:
-    """The first ``max_codes`` codes of a comma list, blanks between commas included."""
-    return F.slice(F.split(code_list, ","), 1, max_codes)
+def code_array(code_list: Column, max_codes: int | None = None) -> Column:
+    """The codes of a comma list, blanks between commas included: all of them, or the first ``max_codes``."""
+    codes = F.split(code_list, ",")
+    return codes if max_codes is None else F.slice(codes, 1, max_codes)

@@ -1,9 +1,11 @@
-"""Errors per test, first generation: code lists of up to 15 codes, nearest-month buckets.
+"""Errors per test, first generation: lists of codes, nearest-month buckets.
 
 Every report is made from a tally of codes (``placed_tally``): one pass over the activity table and one
 shuffle of rows that are already combined.
 
-The first generation divides by code *slots*: each test counts 15 times in a denominator, empty
+All codes of a list count; ``max_codes`` cuts longer lists, as reports with 15 code columns did.
+
+The first generation divides by code *slots*: each test counts ``slots`` times in a denominator, empty
 slots included. ``denominator="tests"`` divides by tests instead.
 """
 
@@ -20,8 +22,9 @@ from assayline.operators.cleaning import instruments, model_family
 from assayline.operators.lookups import attach_instrument, dims_small, keep_listed
 from assayline.operators.ranking import display_rank, top_with_ties
 
-MAX_CODES = 15
 CODE = "error_code_list"
+# Code slots of a test in the first generation's denominators, and the codes of its site series, as fixed values.
+SLOTS = 15
 SERIES_CODES = ("6284.6", "6284.5", "6282.18", "6284.8")
 MODEL_LEVEL = ("country_code", "instrument_model")
 SITE_LEVEL = ("country_code", "supplier_site_id")
@@ -31,20 +34,23 @@ def _family(master: DataFrame) -> DataFrame:
     return model_family(instruments(master, "caps"))
 
 
-def explode_codes(df: DataFrame, max_codes: int = MAX_CODES, keep_empty: bool = False, column: str = CODE) -> DataFrame:
-    """One row per code of a comma list, with its ``slot`` from 0; codes beyond ``max_codes`` are cut off.
+def explode_codes(
+    df: DataFrame, max_codes: int | None = None, keep_empty: bool = False, column: str = CODE, slots: int = SLOTS
+) -> DataFrame:
+    """One row per code of a comma list, with its ``slot`` from 0; ``max_codes`` cuts longer lists.
 
-    ``keep_empty`` gives every test exactly ``max_codes`` rows, unused slots with a NULL code.
+    ``keep_empty`` gives every test at least ``slots`` rows, unused slots with a NULL code.
     """
     codes = text.code_array(F.col(column), max_codes)
     if keep_empty:
-        padding = F.array_repeat(F.lit(None).cast("string"), max_codes)
-        codes = F.slice(F.concat(F.coalesce(codes, padding), padding), 1, max_codes)
+        codes = F.coalesce(codes, F.array().cast("array<string>"))
+        unused = F.greatest(F.lit(slots) - F.size(codes), F.lit(0))
+        codes = F.concat(codes, F.array_repeat(F.lit(None).cast("string"), unused))
     others = [c for c in df.columns if c != column]
     return df.select(*others, F.posexplode(codes).alias("slot", column))
 
 
-def code_tally(activity: DataFrame, keys: dict[str, Column], max_codes: int = MAX_CODES, once_per_test: bool = False) -> DataFrame:
+def code_tally(activity: DataFrame, keys: dict[str, Column], max_codes: int | None = None, once_per_test: bool = False) -> DataFrame:
     """Per key columns and code: ``n`` codes, and the ``tests`` of which this row holds the first code.
 
     A test without codes counts under the NULL code, so ``tests`` summed over all codes of a key is
@@ -73,7 +79,7 @@ def placed_tally(
     site: DataFrame | None = None,
     how: str = "left",
     month: Column | None = None,
-    max_codes: int = MAX_CODES,
+    max_codes: int | None = None,
     once_per_test: bool = False,
 ) -> DataFrame:
     """``code_tally`` by columns of the activity table, its ``month``, its instrument and its site.
@@ -108,7 +114,7 @@ def countries_sites(activity: DataFrame, master: DataFrame) -> DataFrame:
     )
 
 
-def error_codes_long(activity: DataFrame, master: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
+def error_codes_long(activity: DataFrame, master: DataFrame, max_codes: int | None = None) -> DataFrame:
     """One row per reported code with country, site and instrument; tests without codes drop out."""
     coded = activity.filter(F.col(CODE).isNotNull()).select("country_code", "instrument_id", CODE)
     placed = attach_instrument(coded, instruments(master, "caps"))
@@ -117,28 +123,34 @@ def error_codes_long(activity: DataFrame, master: DataFrame, max_codes: int = MA
     )
 
 
-def top_codes(activity: DataFrame, master: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
+def top_codes(
+    activity: DataFrame, master: DataFrame, by: Sequence[str], k: int = 5, max_codes: int | None = None
+) -> DataFrame:
     """The ``k`` most frequent codes per group, ties kept; ``by`` may be empty."""
     coded = activity.filter(F.col(CODE).isNotNull())
     if "instrument_model" in by:
-        counts = placed_tally(coded, by, instruments(master, "caps").drop("supplier_site_id"))
+        counts = placed_tally(coded, by, instruments(master, "caps").drop("supplier_site_id"), max_codes=max_codes)
     else:
-        counts = code_tally(coded, key_columns(*by))
+        counts = code_tally(coded, key_columns(*by), max_codes)
     counts = counts.drop("tests")
     return top_with_ties(counts, by, "n", k)
 
 
-def top_codes_series(activity: DataFrame, master: DataFrame, by: Sequence[str] = MODEL_LEVEL, k: int = 5) -> DataFrame:
+def top_codes_series(
+    activity: DataFrame, master: DataFrame, by: Sequence[str] = MODEL_LEVEL, k: int = 5, max_codes: int | None = None
+) -> DataFrame:
     """Rows of the bar charts of ``top_codes``: a plot per leading key, a facet per group, and the bar's place."""
-    return display_rank(top_codes(activity, master, by, k), by[:-1], by, CODE, "n")
+    return display_rank(top_codes(activity, master, by, k, max_codes), by[:-1], by, CODE, "n")
 
 
-def codes_nearest_month(activity: DataFrame, master: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
-    """One row per code slot of the tests on ``00`` models, with the nearest month."""
+def codes_nearest_month(
+    activity: DataFrame, master: DataFrame, max_codes: int | None = None, slots: int = SLOTS
+) -> DataFrame:
+    """One row per code slot of the tests on ``00`` models (at least ``slots``), with the nearest month."""
     placed = attach_instrument(
         activity.select("country_code", "instrument_id", "test_date", CODE), _family(master), how="inner"
     )
-    return explode_codes(placed, max_codes, keep_empty=True).select(
+    return explode_codes(placed, max_codes, keep_empty=True, slots=slots).select(
         "country_code",
         "supplier_site_id",
         "instrument_model",
@@ -149,15 +161,25 @@ def codes_nearest_month(activity: DataFrame, master: DataFrame, max_codes: int =
 
 
 def monthly_code_rate(
-    activity: DataFrame, master: DataFrame, by: Sequence[str] = MODEL_LEVEL, denominator: str = "slots"
+    activity: DataFrame,
+    master: DataFrame,
+    by: Sequence[str] = MODEL_LEVEL,
+    denominator: str = "slots",
+    max_codes: int | None = None,
+    slots: int = SLOTS,
 ) -> DataFrame:
     """Codes per group and nearest month as a percentage of its code slots (or of its tests)."""
     counts = placed_tally(
-        activity, [*by, "month"], _family(master), how="inner", month=dates.month_nearest(F.col("test_date"))
+        activity,
+        [*by, "month"],
+        _family(master),
+        how="inner",
+        month=dates.month_nearest(F.col("test_date")),
+        max_codes=max_codes,
     )
     # One row per code and group reaches this window, whatever the number of tests.
     in_group = F.sum("tests").over(Window.partitionBy(*by, "month"))
-    weight = {"slots": MAX_CODES, "tests": 1}[denominator]
+    weight = {"slots": slots, "tests": 1}[denominator]
     return (
         counts.withColumn("tests", in_group * weight)
         .filter(F.col(CODE).isNotNull())
@@ -165,9 +187,12 @@ def monthly_code_rate(
     )
 
 
-def site_monthly_code_rate(activity: DataFrame, master: DataFrame, denominator: str = "slots") -> DataFrame:
+def site_monthly_code_rate(
+    activity: DataFrame, master: DataFrame, denominator: str = "slots", max_codes: int | None = None, slots: int = SLOTS
+) -> DataFrame:
     """``monthly_code_rate`` by country and site."""
-    return monthly_code_rate(activity, master, SITE_LEVEL, denominator).withColumnRenamed("error_percent", "percent")
+    rates = monthly_code_rate(activity, master, SITE_LEVEL, denominator, max_codes, slots)
+    return rates.withColumnRenamed("error_percent", "percent")
 
 
 def recent_sites(site_rate: DataFrame, after: str, excluded_country: str) -> DataFrame:
@@ -253,12 +278,14 @@ def months_seen(activity: DataFrame, master: DataFrame, after: str) -> DataFrame
 def gap_fill(rows: DataFrame, months: DataFrame, codes: Sequence[str] = SERIES_CODES) -> DataFrame:
     """Site rates for every site of ``rows``, listed code and month; 0 where there is no rate.
 
+    A missing site is no site whose rates could be found: its series is all 0.
+
     The list of months is one value (a calendar's length); sites are spread over it by an explode.
     """
     calendar = months.agg(F.sort_array(F.collect_set("month")).alias("months")).scalar()
     # Per site at most one entry per listed code, month and country: the input is not read again.
     per_site = rows.groupBy("supplier_site_id").agg(
-        F.collect_list(F.when(F.col(CODE).isin(*codes), F.struct(F.col(CODE).alias("code"), "month", "percent"))).alias("known")
+        F.collect_list(F.when(F.col("supplier_site_id").isNotNull() & F.col(CODE).isin(*codes), F.struct(F.col(CODE).alias("code"), "month", "percent"))).alias("known")
     )
     spine = per_site.select(
         "supplier_site_id", "known", F.explode(F.array(*[F.lit(c) for c in codes])).alias(CODE), calendar.alias("months")

@@ -1,4 +1,7 @@
-"""Errors per test, second generation: up to 9 codes, each counted once per test, divided by tests."""
+"""Errors per test, second generation: each code of a test counted once, divided by tests.
+
+All codes of a list count; ``max_codes`` cuts longer lists, as reports with 9 code columns did.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from assayline.operators.cleaning import instruments, model_family
 from assayline.operators.lookups import attach, attach_instrument
 from assayline.operators.code_rates import CODE, placed_tally
 
-# Names of the code slots, as fixed values.
+# Names of the first code slots, as fixed values; later slots are named by their number.
 SLOTS = "abcdefghi"
 # The one code whose description the reports replace, as fixed values.
 OVERRIDES = {"6282.36": "Pipetted volume was not sufficient. Sample was not transferred"}
@@ -46,7 +49,12 @@ def _described(df: DataFrame, error_type: DataFrame, supplier_id: int, counted:
 
 
 def test_errors(
-    activity: DataFrame, master: DataFrame, error_type: DataFrame, site: DataFrame, supplier_id: int = 1000
+    activity: DataFrame,
+    master: DataFrame,
+    error_type: DataFrame,
+    site: DataFrame,
+    supplier_id: int = 1000,
+    max_codes: int | None = None,
 ) -> DataFrame:
     """One row per test and different code, and one for each test without a code (``00`` models only).
 
@@ -54,10 +62,11 @@ def test_errors(
     are never shuffled. ``internal_id`` is built from the record key.
     """
     placed = attach_instrument(activity, _family(master), site_names(site), how="inner")
-    listed = placed.withColumn("codes", text.code_array(F.col(CODE), len(SLOTS))).drop(CODE)
+    listed = placed.withColumn("codes", text.code_array(F.col(CODE), max_codes)).drop(CODE)
     long = listed.withColumn(CODE, F.explode_outer(F.array_distinct("codes")))
     slot = F.coalesce(F.array_position(F.col("codes"), F.col(CODE)), F.lit(1)).cast("int")
-    named = _described(long.withColumn("name", F.substring(F.lit(SLOTS), slot, F.lit(1))), error_type, supplier_id, counted=False)
+    name = F.when(slot <= len(SLOTS), F.substring(F.lit(SLOTS), slot, F.lit(1))).otherwise(slot.cast("string"))
+    named = _described(long.withColumn("name", name), error_type, supplier_id, counted=False)
     return named.select(
         F.concat(F.lit("INTERNAL-"), F.col("record_key").cast("string")).alias("internal_id"),
         "name",
@@ -87,6 +96,7 @@ def _rate(
     site: DataFrame | None,
     error_type: DataFrame,
     supplier_id: int,
+    max_codes: int | None,
 ) -> DataFrame:
     """``n`` per ``by`` and code, as a percentage of the tests of its ``tests_by`` group."""
     counts = placed_tally(
@@ -96,7 +106,7 @@ def _rate(
         None if site is None else site_names(site),
         how="inner",
         month=dates.month_floor(F.col("test_date")) if "month" in by else None,
-        max_codes=len(SLOTS),
+        max_codes=max_codes,
         once_per_test=True,
     )
     # Counted rows only: a group of this window holds one row per code and finer key.
@@ -106,49 +116,64 @@ def _rate(
 
 
 def error_share_all(
-    activity: DataFrame, master: DataFrame, error_type: DataFrame, supplier_id: int = 1000, total_tests: int | None = None
+    activity: DataFrame,
+    master: DataFrame,
+    error_type: DataFrame,
+    supplier_id: int = 1000,
+    total_tests: int | None = None,
+    max_codes: int | None = None,
 ) -> DataFrame:
     """Each code as a percentage of all tests, or of a given number of tests; largest first."""
-    family = _family(master)
-    coded = activity.filter(F.col(CODE).isNotNull())
-    counts = placed_tally(coded, [], family, how="inner", max_codes=len(SLOTS), once_per_test=True).drop("tests")
-    if total_tests is None:
-        per_instrument = activity.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("tests"))
-        total = attach_instrument(per_instrument, family, how="inner", counted=True).agg(F.sum("tests")).scalar()
-    else:
-        total = F.lit(total_tests)
-    shares = _described(counts, error_type, supplier_id).withColumn("error_percent", percent(F.col("n"), total))
+    counts = placed_tally(activity, [], _family(master), how="inner", max_codes=max_codes, once_per_test=True)
+    # One row per code, tests without codes under the NULL code: all tests are their sum.
+    total = F.sum("tests").over(Window.partitionBy()) if total_tests is None else F.lit(total_tests)
+    counts = counts.withColumn("total", total).filter(F.col(CODE).isNotNull()).drop("tests")
+    shares = _described(counts, error_type, supplier_id).withColumn("error_percent", percent("n", "total"))
     return shares.select(CODE, "error_type_description", "n", "error_percent").orderBy(F.desc("error_percent"), CODE)
 
 
 def error_rate_site(
-    activity: DataFrame, master: DataFrame, error_type: DataFrame, site: DataFrame, supplier_id: int = 1000
+    activity: DataFrame,
+    master: DataFrame,
+    error_type: DataFrame,
+    site: DataFrame,
+    supplier_id: int = 1000,
+    max_codes: int | None = None,
 ) -> DataFrame:
     """Each code per country and site name, as a percentage of the tests under that site name."""
     by, tests_by = ["country_code", "supplier_site_name"], ["supplier_site_name"]
-    rates = _rate(activity, by, tests_by, master, site, error_type, supplier_id)
+    rates = _rate(activity, by, tests_by, master, site, error_type, supplier_id, max_codes)
     return rates.select(
         "country_code", "supplier_site_name", CODE, "error_type_description", "n", "tests_run", "error_percent"
     ).orderBy("supplier_site_name", F.desc("error_percent"), CODE)
 
 
 def error_rate_instrument(
-    activity: DataFrame, master: DataFrame, error_type: DataFrame, site: DataFrame, supplier_id: int = 1000
+    activity: DataFrame,
+    master: DataFrame,
+    error_type: DataFrame,
+    site: DataFrame,
+    supplier_id: int = 1000,
+    max_codes: int | None = None,
 ) -> DataFrame:
     """Each code per instrument, as a percentage of the tests of that instrument."""
     by = ["instrument_id", "instrument_model", "country_code", "supplier_site_name"]
-    rates = _rate(activity, by, ["instrument_id"], master, site, error_type, supplier_id)
+    rates = _rate(activity, by, ["instrument_id"], master, site, error_type, supplier_id, max_codes)
     return rates.select(*by, CODE, "error_type_description", "n", "tests_run", "error_percent").orderBy(
         "supplier_site_name", F.desc("error_percent"), CODE
     )
 
 
 def error_rate_month(
-    activity: DataFrame, master: DataFrame, error_type: DataFrame, supplier_id: int = 1000
+    activity: DataFrame,
+    master: DataFrame,
+    error_type: DataFrame,
+    supplier_id: int = 1000,
+    max_codes: int | None = None,
 ) -> DataFrame:
     """Each code per country and month, as a percentage of the tests of that country and month."""
     by = ["country_code", "month"]
-    rates = _rate(activity, by, by, master, None, error_type, supplier_id)
+    rates = _rate(activity, by, by, master, None, error_type, supplier_id, max_codes)
     return rates.orderBy("month", F.desc("error_percent"), CODE).select(
         "country_code",
         dates.month_name_label(F.col("month")).alias("test_month_year"),

@@ -27,7 +27,7 @@ INSTRUMENT_MASTER = {
     "instrument_id": "p_partkey",
     "instrument_model": "case p_size % 4 when 0 then 'm2000rt®' when 1 then 'Cobas®  4800,  x'"
     " when 2 then 'cobas 6800' else 'Alinity m' end",
-    "supplier_site_id": "p_partkey % 120",
+    "supplier_site_id": "case when p_partkey % 61 = 0 then null else p_partkey % 120 end",
 }
 TEST_TYPE = {
     "test_type_id": "o_orderpriority",

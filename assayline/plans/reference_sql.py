@@ -66,6 +66,16 @@ def _label(x: str) -> str:
       from (select v, cast(floor(log10(abs(case when v = 0 then 1 else v end))) as integer) e0 from (select cast({x} as double) v))))))"""
 
 
+def _monthly_rate(slots: str) -> str:
+    """Codes per month in these slots, as a percentage of 15 slots per test."""
+    return f"""select c.*, t.tests, c.n * 100 / t.tests error_percent from
+      (select country_code, instrument_model, "month", error_code_list, count(*) n from {slots} group by all) c
+      left join (select country_code, instrument_model, "month", count(*) filter (where slot < 15) tests
+       from {slots} group by all) t
+      on c.country_code {_SAME} t.country_code and c.instrument_model {_SAME} t.instrument_model
+      and c."month" {_SAME} t."month" where c.error_code_list is not null"""
+
+
 _SHARED = {
     "models_upper": "select try_cast(instrument_id as bigint) instrument_id, replace(upper(instrument_model), '®', '')"
     " instrument_model, supplier_site_id from instrument_master",
@@ -88,18 +98,16 @@ _SHARED = {
     f" left join models_upper m on a.instrument_id {_SAME} m.instrument_id",
     "roche_caps": f"select a.*, upper(m.instrument_model) instrument_model, m.supplier_site_id from test_activity_roche a"
     f" left join instrument_master m on a.instrument_id {_SAME} m.instrument_id",
-    "slots15": f"""select r.* exclude (error_code_list), string_split(error_code_list, ',')[i + 1] error_code_list,
-      {_nearest_month('test_date')} "month" from roche_caps r cross join range(15) s(i)""",
-    "family15": "select * from slots15 where contains(instrument_model, '00')",
-    "monthly": f"""select c.*, t.tests, c.n * 100 / t.tests error_percent from
-      (select country_code, instrument_model, "month", error_code_list, count(*) n from family15 group by all) c
-      left join (select country_code, instrument_model, "month", count(*) tests from family15 group by all) t
-      on c.country_code {_SAME} t.country_code and c.instrument_model {_SAME} t.instrument_model
-      and c."month" {_SAME} t."month" where c.error_code_list is not null""",
+    "code_slots": f"""select r.* exclude (error_code_list, codes), codes[slot + 1] error_code_list,
+      {_nearest_month('test_date')} "month" from (select r.*, string_split(error_code_list, ',') codes,
+      unnest(range(greatest(15, coalesce(len(string_split(error_code_list, ',')), 0)))) slot from roche_caps r) r""",
+    "family_slots": "select * from code_slots where contains(instrument_model, '00')",
+    "monthly": _monthly_rate("family_slots"),
     "site_monthly": f"""select c.*, t.tests, c.n * 100 / t.tests percent from
-      (select country_code, supplier_site_id, "month", error_code_list, count(*) n from family15
+      (select country_code, supplier_site_id, "month", error_code_list, count(*) n from family_slots
        where error_code_list is not null group by all) c
-      left join (select country_code, supplier_site_id, "month", count(*) tests from family15 group by all) t
+      left join (select country_code, supplier_site_id, "month", count(*) filter (where slot < 15) tests
+       from family_slots group by all) t
       on c.country_code {_SAME} t.country_code and c.supplier_site_id {_SAME} t.supplier_site_id
       and c."month" {_SAME} t."month" """,
     "recent": "select * from site_monthly where \"month\" > date '2000-11-01' and country_code <> 'C3'",
@@ -107,14 +115,17 @@ _SHARED = {
       rank() over (partition by country_code order by peak desc) r from
       (select country_code, error_code_list, max(error_percent) peak from monthly where country_code <> 'C3' group by all))
       where r <= 3""",
-    "slots9": """select r.* exclude (error_code_list), i slot, string_split(error_code_list, ',')[i + 1] error_code_list
-      from roche r cross join range(9) s(i) where contains(instrument_model, '00')""",
-    "second": f"""select 'INTERNAL-' || cast(record_key as varchar) internal_id, substr('abcdefghi', cast(slot + 1 as integer), 1) "name",
+    "long_slots": """select r.* exclude (error_code_list, codes), codes[slot + 1] error_code_list
+      from (select r.*, string_split(error_code_list, ',') codes,
+      unnest(range(greatest(1, coalesce(len(string_split(error_code_list, ',')), 0)))) slot from roche r) r
+      where contains(instrument_model, '00')""",
+    "second": f"""select 'INTERNAL-' || cast(record_key as varchar) internal_id, case when slot < 9 then
+      substr('abcdefghi', cast(slot + 1 as integer), 1) else cast(slot + 1 as varchar) end "name",
       l.error_code_list, case when l.error_code_list = '6282.36' then
       'Pipetted volume was not sufficient. Sample was not transferred' else e.error_type_description end error_type_description,
       instrument_id, instrument_model, l.supplier_site_id, s.supplier_site_name, l.country_code, test_type_id, test_date,
       is_patient_test, is_control_test, patient_test_error_flag, control_test_error_flag, excluded_test,
-      strftime(test_date, '%b %Y') test_month_year from slots9 l
+      strftime(test_date, '%b %Y') test_month_year from long_slots l
       left join (select error_type_id, error_type_description from error_type where supplier_id = 1000) e
         on l.error_code_list {_SAME} e.error_type_id
       left join site s on l.supplier_site_id {_SAME} s.supplier_site_id
@@ -215,7 +226,7 @@ def _quarter_counts(keys: str) -> str:
       (select distinct {keys}, quarter_year, instrument_id from df_instruments) group by all) group by {keys}"""
 
 
-def _top5(by: str, source: str = "slots15") -> str:
+def _top5(by: str, source: str = "code_slots") -> str:
     part = f"partition by {by} " if by else ""
     cols = f"{by}, " if by else ""
     return f"""select {cols}error_code_list, n from (select *, rank() over ({part}order by n desc) r from
@@ -302,7 +313,7 @@ _BODIES = {
     "countries_sites": """select country_code, supplier_site_id,
       cast(count(distinct instrument_id) + max(case when instrument_id is null then 1 else 0 end) as bigint) instruments,
       count(*) tests from roche group by all""",
-    "error_codes_long": "select country_code, supplier_site_id, instrument_id, instrument_model, error_code_list from slots15"
+    "error_codes_long": "select country_code, supplier_site_id, instrument_id, instrument_model, error_code_list from code_slots"
     " where error_code_list is not null",
     "top_codes_model": _top5("country_code, instrument_model"),
     "top_codes_instrument": _top5("country_code, instrument_id"),
@@ -310,8 +321,9 @@ _BODIES = {
     "top_codes_global": _top5(""),
     "top_codes_series": _top5_series("country_code, instrument_model", "country_code, "),
     "top_codes_country_series": _top5_series("country_code", ""),
-    "codes_nearest_month": 'select country_code, supplier_site_id, instrument_model, test_date, error_code_list, "month" from family15',
+    "codes_nearest_month": 'select country_code, supplier_site_id, instrument_model, test_date, error_code_list, "month" from family_slots',
     "monthly_code_rate": "select * from monthly",
+    "monthly_code_rate_15": _monthly_rate("(select * from family_slots where slot < 15)"),
     "monthly_code_rate_per_test": "select * replace (tests // 15 as tests, n * 100 / (tests // 15) as error_percent) from monthly",
     "site_monthly_code_rate": "select * from site_monthly",
     "site_code_rate": _SITE_CODE,
@@ -328,10 +340,11 @@ _BODIES = {
       (select s.supplier_site_id, c.error_code_list, m."month", coalesce(r.percent, 0) percent
        from (select distinct supplier_site_id from recent) s
        cross join (select unnest(['6284.6', '6284.5', '6282.18', '6284.8']) error_code_list) c
-       cross join (select distinct "month" from family15 where "month" > date '2000-11-01') m
+       cross join (select distinct "month" from family_slots where "month" > date '2000-11-01') m
        left join recent r on r.supplier_site_id = s.supplier_site_id and r.error_code_list = c.error_code_list
        and r."month" = m."month")""",
     "roche_errors": "select * from second",
+    "roche_errors_9": "select * from second where \"name\" between 'a' and 'i'",
     "error_share_all": """select error_code_list, error_type_description, count(*) n,
       count(*) * 100 / (select count(distinct internal_id) from second) error_percent
       from second where error_code_list is not null group by all""",

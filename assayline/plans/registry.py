@@ -224,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "top_codes_country_series": _on(lambda v: code_rates.top_codes_series(*_roche(v), ["country_code"])),
     "codes_nearest_month": _on(lambda v: code_rates.codes_nearest_month(*_roche(v))),
     "monthly_code_rate": _on(_monthly),
+    "monthly_code_rate_15": _on(lambda v: code_rates.monthly_code_rate(*_roche(v), max_codes=15)),
     "monthly_code_rate_per_test": _on(lambda v: code_rates.monthly_code_rate(*_roche(v), denominator="tests")),
     "site_monthly_code_rate": _on(lambda v: code_rates.site_monthly_code_rate(*_roche(v))),
     "site_code_rate": _on(_site_code_rate),
@@ -237,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "total_errors_by_site": _on(lambda v: code_rates.total_errors_by_site(_recent(v))),
     "site_error_series_filled": _on(_filled),
     "roche_errors": _on(lambda v: error_rates.test_errors(*_roche(v), v.error_type(), v.site())),
+    "roche_errors_9": _on(lambda v: error_rates.test_errors(*_roche(v), v.error_type(), v.site(), max_codes=9)),
     "error_share_all": _on(lambda v: error_rates.error_share_all(*_roche(v), v.error_type())),
     "error_rate_site": _on(lambda v: error_rates.error_rate_site(*_roche(v), v.error_type(), v.site())),
     "error_rate_instrument": _on(lambda v: error_rates.error_rate_instrument(*_roche(v), v.error_type(), v.site())),
