@@ -126,8 +126,11 @@ def error_share_all(
     """Each code as a percentage of all tests, or of a given number of tests; largest first."""
     counts = placed_tally(activity, [], _family(master), how="inner", max_codes=max_codes, once_per_test=True)
     # One row per code, tests without codes under the NULL code: all tests are their sum.
-    total = F.sum("tests").over(Window.partitionBy()) if total_tests is None else F.lit(total_tests)
-    counts = counts.withColumn("total", total).filter(F.col(CODE).isNotNull()).drop("tests")
+    listed = counts.agg(
+        F.collect_list(F.when(F.col(CODE).isNotNull(), F.struct(CODE, "n"))).alias("codes"),
+        (F.sum("tests") if total_tests is None else F.max(F.lit(total_tests))).alias("total"),
+    )
+    counts = listed.select(F.explode("codes").alias("c"), "total").select("c.*", "total")
     shares = _described(counts, error_type, supplier_id).withColumn("error_percent", percent("n", "total"))
     return shares.select(CODE, "error_type_description", "n", "error_percent").orderBy(F.desc("error_percent"), CODE)
 

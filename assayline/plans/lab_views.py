@@ -129,9 +129,16 @@ DATIM_LAB_SITES = {
     "latitude": "cast((c_custkey * 53) % 160 - 80 as double)",
     "longitude": "cast((c_custkey * 29) % 360 - 180 as double)",
 }
+# Texts with outer blanks, quotes, backslashes, commas and line breaks; empty ones, and the missing value's own token.
+ODD_TEXTS = {
+    "error_type_id": "cast(s_suppkey as string)",
+    "error_type_name": "case s_suppkey % 5 when 0 then ' lead' when 1 then 'trail ' when 2 then 'a, \"b\"'"
+    " when 3 then concat('one',chr(10),'two') else concat('back',chr(92),'slash',chr(92)) end",
+    "error_type_description": "case s_suppkey % 4 when 0 then '' when 1 then 'NA' when 2 then concat('\"',chr(13),chr(10)) else 'é ' end",
+    "supplier_id": "s_suppkey",
+}
 
 
-_SCHEMAS: dict[str, StructType] = {}
 
 
 def columns(binding: dict[str, str]) -> list[str]:
@@ -144,16 +151,17 @@ class LabViews:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.schemas: dict[str, StructType] = {}
 
-    def _base(self, table: str) -> DataFrame:
-        # Reading the schema from the files is a job; once per file is enough.
+    def base(self, table: str) -> DataFrame:
+        # Reading the schema from the files is a job; once per table and set of views is enough.
         path = f"{self.folder}/{table}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self.schemas:
+            self.schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[path]).parquet(path)
 
     def _bound(self, table: str, binding: dict[str, str]) -> DataFrame:
-        return self._base(table).selectExpr(*columns(binding))
+        return self.base(table).selectExpr(*columns(binding))
 
     def country(self) -> DataFrame:
         return self._bound("nation", COUNTRY)
@@ -166,17 +174,17 @@ class LabViews:
 
     def test_type(self) -> DataFrame:
         # Distinct on the one source column, so that only its few values get the derived columns.
-        return self._base("orders").select("o_orderpriority").distinct().selectExpr(*columns(TEST_TYPE))
+        return self.base("orders").select("o_orderpriority").distinct().selectExpr(*columns(TEST_TYPE))
 
     def test(self) -> DataFrame:
         return self._bound("orders", TEST)
 
     def test_activity_abbott(self) -> DataFrame:
         # What depends on the order alone is derived once per order, not once per line.
-        orders = self._base("orders").selectExpr(
+        orders = self.base("orders").selectExpr(
             "o_orderkey", *columns(ACTIVITY_ABBOTT_ORDER), f"{RECORD_PLATE} as record_plate"
         )
-        joined = self._base("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        joined = self.base("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.selectExpr(
             *ACTIVITY_ABBOTT_ORDER, f"concat(record_plate,{RECORD_WELL}) as test_record_id", *columns(ACTIVITY_ABBOTT_LINE)
         )
@@ -185,8 +193,8 @@ class LabViews:
         return self._bound("orders", ACTIVITY_ROCHE)
 
     def error_type(self) -> DataFrame:
-        lines = self._base("lineitem").filter("l_linenumber < 7").select("l_linenumber").distinct()
-        codes = self._base("customer").select(F.expr("c_custkey % 9").alias("c_custkey")).distinct()
+        lines = self.base("lineitem").filter("l_linenumber < 7").select("l_linenumber").distinct()
+        codes = self.base("customer").select(F.expr("c_custkey % 9").alias("c_custkey")).distinct()
         values = ", ".join(f"('{code}', '{name}', '{text}', {supplier}L)" for code, name, text, supplier in ERROR_TYPE_ROWS)
         rows = self.spark.sql(f"values {values}").toDF("error_type_id", "error_type_name", "error_type_description", "supplier_id")
         return (
@@ -196,21 +204,21 @@ class LabViews:
         )
 
     def kit_error_codes(self) -> DataFrame:
-        lines = self._base("lineitem").filter("l_linenumber in (1,2,5)").select("l_linenumber").distinct()
+        lines = self.base("lineitem").filter("l_linenumber in (1,2,5)").select("l_linenumber").distinct()
         return lines.selectExpr(*columns(KIT_ERROR_CODES))
 
     def place_candidates(self) -> DataFrame:
         # Region keys below s_suppkey % 3, as an equi-join: at most two per supplier.
-        numbered = self._base("supplier").filter("s_suppkey % 3 > 0").selectExpr(
+        numbered = self.base("supplier").filter("s_suppkey % 3 > 0").selectExpr(
             "s_suppkey", "explode(sequence(0, cast(s_suppkey % 3 as int) - 1)) as n"
         )
-        return numbered.join(self._base("region"), F.col("n") == F.col("r_regionkey")).selectExpr(*columns(PLACE_CANDIDATES))
+        return numbered.join(self.base("region"), F.col("n") == F.col("r_regionkey")).selectExpr(*columns(PLACE_CANDIDATES))
 
     def supplier_geo(self) -> DataFrame:
         return self._bound("supplier", SUPPLIER_GEO)
 
     def active_locations(self) -> DataFrame:
-        return self._base("supplier").filter(ACTIVE_LOCATIONS_ROWS).selectExpr(*columns(ACTIVE_LOCATIONS))
+        return self.base("supplier").filter(ACTIVE_LOCATIONS_ROWS).selectExpr(*columns(ACTIVE_LOCATIONS))
 
     def datim_lab_sites(self) -> DataFrame:
         return self._bound("customer", DATIM_LAB_SITES)

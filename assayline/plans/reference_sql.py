@@ -16,6 +16,7 @@ def _select(binding: dict[str, str], source: str, distinct: bool = False) -> str
 
 _BASE = {
     "country": _select(lv.COUNTRY, "nation"),
+    "odd_texts": _select(lv.ODD_TEXTS, "supplier"),
     "site": _select(lv.SITE, "supplier"),
     "instrument_master": _select(lv.INSTRUMENT_MASTER, "part"),
     "test_type": _select(lv.TEST_TYPE, "orders", distinct=True),
@@ -283,6 +284,8 @@ _BODIES = {
     "write_table_csv": "select "
     + ", ".join(f"coalesce(cast({c} as varchar), 'NA') {c}" for c in lv.TEST)
     + " from test",
+    "csv_round_trip": "select error_type_id, nullif(nullif(error_type_name, ''), 'NA') error_type_name,"
+    " nullif(nullif(error_type_description, ''), 'NA') error_type_description, supplier_id from odd_texts",
     "site_error_files": _SITE_CODE,
     "model_upper": "select instrument_id, replace(upper(instrument_model), '®', '') instrument_model, supplier_site_id from instrument_master",
     "model_ascii_lower": "select * from models_ascii",

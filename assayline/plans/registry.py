@@ -21,7 +21,7 @@ from assayline.operators import (
     site_match,
     test_summary,
 )
-from assayline.plans.lab_views import LabViews
+from assayline.plans.lab_views import ODD_TEXTS, LabViews, columns
 from assayline.schemas import SCHEMAS
 from assayline.session import shared_folder
 from assayline.sources import lab_csv
@@ -70,6 +70,13 @@ def _write_table_csv(v: LabViews) -> DataFrame:
     return v.spark.read.option("header", True).schema(", ".join(f"{c} string" for c in SCHEMAS["test"].names)).csv(path)
 
 
+def _csv_round_trip(v: LabViews) -> DataFrame:
+    """Texts that a careless writer or reader would change, written and read again."""
+    path = _new_path(v.spark, "error_type.csv")
+    lab_csv.write_table(v.base("supplier").selectExpr(*columns(ODD_TEXTS)), path)
+    return lab_csv.read_csv(v.spark, path, SCHEMAS["error_type"], line_breaks=True)
+
+
 def _site_error_files(v: LabViews) -> DataFrame:
     path = _new_path(v.spark, "errors_site")
     lab_csv.write_site_errors(_site_code_rate(v), path)
@@ -195,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "read_lab_folder": _on(_read_lab_folder),
     "blank_to_null": _on(_blank_to_null),
     "write_table_csv": _on(_write_table_csv),
+    "csv_round_trip": _on(_csv_round_trip),
     "site_error_files": _on(_site_error_files),
     "model_upper": _on(lambda v: cleaning.normalise_model(v.instrument_master(), "upper")),
     "model_ascii_lower": _on(lambda v: cleaning.normalise_model(v.instrument_master(), "ascii")),

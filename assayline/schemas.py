@@ -27,6 +27,10 @@ _FLAGS = {
     "control_test_error_flag": _INT,
 }
 
+# Tables whose texts may hold line breaks. Their files are read by one task each; those of the large tables
+# of numbers and codes are split.
+WITH_LINE_BREAKS = {"country", "site", "instrument_master", "test_type", "error_type", "kit_error_codes", "place_candidates", "datim_lab_sites"}
+
 # Table layouts, as fixed values.
 SCHEMAS: dict[str, StructType] = {
     "country": _schema(country_code=_TEXT, country_name=_TEXT),

@@ -1,16 +1,30 @@
-"""CSV tables: the missing value is ``NA`` on the way out, and ``NA`` or nothing on the way in."""
+"""CSV tables: the missing value is ``NA`` on the way out, and ``NA`` or nothing on the way in.
+
+Texts keep their blanks, quotes, backslashes and line breaks. What cannot be told apart in a file is read as missing: an
+empty text, and the text ``NA``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from assayline.schemas import SCHEMAS
+from assayline.schemas import SCHEMAS, WITH_LINE_BREAKS
 
 MISSING = "NA"
+# For reading and writing alike.
+TEXT_OPTIONS = {
+    "header": "true",
+    "nullValue": MISSING,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 # File or folder name of an export: the table, a date stamp or none, ".csv".
 STAMPED_NAME = r"^(.*?)(?:_?([0-9]{6,}))?\.csv$"
 
@@ -23,15 +37,36 @@ def _typed(name: str, kind: DataType) -> Column:
     return raw.try_cast(kind).alias(name)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
-    """A CSV table with the columns of ``schema``, found by name; text that does not fit a type is NULL."""
-    raw = spark.read.option("header", True).option("nullValue", MISSING).option("escape", '"').csv(path)
-    return raw.select(*[_typed(f.name, f.dataType) for f in schema])
+def read_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: StructType,
+    line_breaks: bool = False,
+    misfits: str | None = None,
+) -> DataFrame:
+    """A CSV table with the columns of ``schema``, found by name; text that does not fit a type is NULL.
+
+    ``line_breaks``: quoted text may hold line breaks; a file is then read by one task. ``misfits`` names an additional column
+    with the number of values of a row that did not fit. All files of a table must have the columns of the first one in its
+    order; reading fails at one that does not.
+    """
+    reader = spark.read.options(**TEXT_OPTIONS, emptyValue=MISSING, multiLine=str(line_breaks).lower())
+    layout = StructType([StructField(name, StringType()) for name in reader.csv(path).columns])
+    raw = reader.schema(layout).option("enforceSchema", False).csv(path)
+    values = [_typed(f.name, f.dataType) for f in schema]
+    if misfits is not None:
+        lost = [(F.col(f"`{f.name}`").isNotNull() & v.isNull()).cast("int") for f, v in zip(schema, values, strict=True)]
+        values.append(reduce(add, lost).alias(misfits))
+    return raw.select(*values)
+
+
+def _read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return read_csv(spark, path, SCHEMAS[table], line_breaks=table in WITH_LINE_BREAKS)
 
 
 def read_lab_csv(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One lab table from ``<folder>/<table>.csv``."""
-    return read_csv(spark, f"{folder}/{table}.csv", SCHEMAS[table])
+    return _read_table(spark, f"{folder}/{table}.csv", table)
 
 
 def newest_exports(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -54,14 +89,16 @@ def newest_exports(spark: SparkSession, folder: str) -> dict[str, str]:
         F.regexp_extract("file", STAMPED_NAME, 1).alias("table"),
         F.regexp_extract("file", STAMPED_NAME, 2).alias("stamp"),
     ).filter(F.col("table") != "")
-    newest = named.groupBy("table").agg(F.max(F.struct("stamp", "path"))["path"].alias("path"))
+    # Stamps of six digits are years from 2000 on: 220801 is 20220801.
+    day = F.when(F.length("stamp") == 6, F.concat(F.lit("20"), "stamp")).otherwise(F.col("stamp"))
+    newest = named.groupBy("table").agg(F.max(F.struct(day.alias("day"), "path"))["path"].alias("path"))
     return {row["table"]: row["path"] for row in newest.orderBy("table").collect()}
 
 
 def read_lab_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All lab tables of a folder of dated exports, the newest of each; other files are left alone."""
     found = newest_exports(spark, folder)
-    return {table: read_csv(spark, path, SCHEMAS[table]) for table, path in found.items() if table in SCHEMAS}
+    return {table: _read_table(spark, path, table) for table, path in found.items() if table in SCHEMAS}
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
@@ -71,7 +108,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", MISSING).option("escape", '"')
+    writer = df.write.mode("overwrite").options(**TEXT_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
@@ -85,8 +122,7 @@ def write_site_errors(site_rates: DataFrame, path: str) -> None:
         site_rates.repartition(tasks, "supplier_site_id")
         .sortWithinPartitions("supplier_site_id", F.desc("percent"), "error_code_list")
         .write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", MISSING)
+        .options(**TEXT_OPTIONS)
         .partitionBy("supplier_site_id")
         .csv(path)
     )

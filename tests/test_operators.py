@@ -103,10 +103,12 @@ def test_explode_keeps_blanks_and_cuts_off(code_tables):
     got = values(code_rates.explode_codes(activity.filter("record_key = 3").select("record_key", "error_code_list")))
     assert got == [(3, 0, ""), (3, 1, "y"), (3, 2, "")]
     long = activity.filter("record_key = 5")
-    assert code_rates.explode_codes(long).count() == 15
+    assert code_rates.explode_codes(long).count() == 17
+    assert code_rates.explode_codes(long, 15).count() == 15
     assert code_rates.explode_codes(long, 9).count() == 9
     padded = code_rates.explode_codes(activity, keep_empty=True)
-    assert {r["n"] for r in padded.groupBy("record_key").agg(F.count("*").alias("n")).collect()} == {15}
+    assert {r["n"] for r in padded.filter("record_key < 5").groupBy("record_key").agg(F.count("*").alias("n")).collect()} == {15}
+    assert padded.filter("record_key = 5").count() == 17
     assert padded.filter("record_key = 2 and error_code_list is not null").count() == 0
 
 
@@ -147,7 +149,9 @@ def test_second_generation_rows(code_tables, rows):
         ],
         key=str,
     )
-    assert got.filter("internal_id = 'INTERNAL-5'").count() == 9
+    assert got.filter("internal_id = 'INTERNAL-5'").count() == 17
+    cut = error_rates.test_errors(full, master, error_type, site, max_codes=9)
+    assert cut.filter("internal_id = 'INTERNAL-5'").count() == 9
 
     shares = {r["error_code_list"]: r for r in error_rates.error_share_all(full, master, error_type).collect()}
     assert (shares["y"]["n"], shares["y"]["error_percent"]) == (2, 200 / 5)

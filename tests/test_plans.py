@@ -6,11 +6,10 @@ from contextlib import redirect_stdout
 
 import pytest
 
-import __spark_entry__ as entry_point
+from assayline.plans.registry import QUERIES
 
 MEDIUM = "/root/testdata/sf0.01"
-QUERIES = entry_point.queries()
-WRITERS = {"read_lab_csv", "read_lab_folder", "write_table_csv", "site_error_files"}
+WRITERS = {"csv_round_trip", "read_lab_csv", "read_lab_folder", "write_table_csv", "site_error_files"}
 READERS = sorted(set(QUERIES) - WRITERS)
 
 

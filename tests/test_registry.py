@@ -4,11 +4,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_point
+from assayline.plans.reference_sql import REFERENCE_SQL as SQL
+from assayline.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
 
 # One query per join shape: they take the other way when no side may be broadcast.
 SHUFFLED = (

@@ -147,3 +147,50 @@ def test_views_have_the_fixed_columns(spark, table):
 
     view = getattr(LabViews(spark, "/root/testdata/sf0.001"), table)()
     assert dict(view.dtypes) == {f.name: f.dataType.simpleString() for f in SCHEMAS[table]}
+
+
+HEAD = "instrument_id,instrument_model,supplier_site_id\n"
+
+
+def test_values_that_do_not_fit_are_counted(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(HEAD + "1,m,x\nNA,m,7\nq,m,\n")
+    got = lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"], misfits="lost").collect()
+    assert [(r.instrument_id, r.supplier_site_id, r.lost) for r in got] == [(1, None, 1), (None, 7, 0), (None, None, 1)]
+
+
+def test_files_of_another_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "m.csv").mkdir()
+    (tmp_path / "m.csv" / "part-0.csv").write_text(HEAD + "1,m,2\n")
+    (tmp_path / "m.csv" / "part-1.csv").write_text("instrument_model,instrument_id,supplier_site_id\nm,1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"]).collect()
+
+
+def test_stamps_of_two_widths(spark, tmp_path):
+    for stamp in ("210101", "20220801", "220701"):
+        (tmp_path / f"country_{stamp}.csv").write_text("country_code,country_name\nC1,N\n")
+    found = lab_csv.newest_exports(spark, str(tmp_path))
+    assert pathlib.PurePath(found["country"]).name == "country_20220801.csv"
+
+
+def test_no_code_of_a_long_list_is_lost(spark, rows):
+    from assayline.operators import code_rates, error_rates
+
+    codes = ",".join(f"c{i}" for i in range(40))
+    activity = rows(
+        "record_key bigint, instrument_id bigint, country_code string, test_date date, test_type_id string, error_code_list string,"
+        " is_patient_test int, is_control_test int, patient_test_error_flag int, control_test_error_flag int, excluded_test int",
+        (1, 1, "C1", None, "t", codes, 0, 0, 0, 0, 0),
+    )
+    master = rows("instrument_id bigint, instrument_model string, supplier_site_id bigint", (1, "x 4800", 5))
+    errors = rows("error_type_id string, error_type_description string, supplier_id bigint", ("c39", "d", 1000))
+    sites = rows("supplier_site_id bigint, supplier_site_name string", (5, "s"))
+    assert code_rates.error_codes_long(activity, master).count() == 40
+    assert code_rates.codes_nearest_month(activity, master).count() == 40
+    assert code_rates.codes_nearest_month(activity, master, max_codes=9).count() == 15
+    assert code_rates.top_codes(activity, master, [], max_codes=3).count() == 3
+    rates = code_rates.monthly_code_rate(activity, master).collect()
+    assert (len(rates), {r.tests for r in rates}) == (40, {15})
+    found = error_rates.test_errors(activity, master, errors, sites).collect()
+    assert {r.name for r in found} == {*"abcdefghi", *map(str, range(10, 41))}
+    assert error_rates.error_share_all(activity, master, errors).count() == 40
