@@ -30,12 +30,6 @@ def max_na(c: Column | str) -> Column:
     return _if_complete(c, F.max(c))
 
 
-def min_na(c: Column | str) -> Column:
-    """Minimum of a group; NULL as soon as one value is NULL."""
-    c = _col(c)
-    return _if_complete(c, F.min(c))
-
-
 def sum_skip(c: Column | str) -> Column:
     """Sum of the values that are there; 0 if there is none."""
     return F.coalesce(F.sum(_col(c)), F.lit(0))

@@ -68,6 +68,22 @@ def code_tally(activity: DataFrame, keys: dict[str, Column], max_codes: int | No
     )
 
 
+def report_tally(
+    activity: DataFrame, month: Column | None = None, max_codes: int | None = None, once_per_test: bool = False
+) -> DataFrame:
+    """The one tally from which all counted reports can be made: by country, instrument, nearest month (or ``month``) and code.
+
+    Operators that count take it in place of the activity table; a set of reports then reads that once.
+    """
+    by = key_columns("country_code", "instrument_id")
+    by["month"] = dates.month_nearest(F.col("test_date")) if month is None else month
+    return code_tally(activity, by, max_codes, once_per_test)
+
+
+def _is_tally(df: DataFrame) -> bool:
+    return {"n", "tests", CODE} <= set(df.columns)
+
+
 def key_columns(*names: str) -> dict[str, Column]:
     return {name: F.col(name) for name in names}
 
@@ -86,7 +102,11 @@ def placed_tally(
 
     With small dimensions the tests get them by broadcast and are counted once, by the columns asked
     for. With large ones the tests are first counted by instrument, and the counts are joined.
+    ``activity`` may be a ``report_tally``, whose months, widths and repetitions are then given.
     """
+    if _is_tally(activity):
+        placed = attach_instrument(activity, master, site, how=how, counted=True)
+        return placed.groupBy(*by, CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
     keys = key_columns(*[c for c in by if c in activity.columns], "instrument_id")
     if month is not None:
         keys["month"] = month
@@ -107,7 +127,8 @@ def tests_per_date(test: DataFrame, supplier_id: int = 1000) -> DataFrame:
 
 def countries_sites(activity: DataFrame, master: DataFrame) -> DataFrame:
     """Different instruments and number of tests per country and site."""
-    counted = activity.groupBy("country_code", "instrument_id").agg(F.count(F.lit(1)).alias("tests"))
+    tests = F.sum("tests") if _is_tally(activity) else F.count(F.lit(1))
+    counted = activity.groupBy("country_code", "instrument_id").agg(tests.alias("tests"))
     placed = attach_instrument(counted, instruments(master).drop("instrument_model"), counted=True)
     return placed.groupBy(*SITE_LEVEL).agg(
         n_unique("instrument_id").alias("instruments"), F.sum("tests").alias("tests")
@@ -130,6 +151,8 @@ def top_codes(
     coded = activity.filter(F.col(CODE).isNotNull())
     if "instrument_model" in by:
         counts = placed_tally(coded, by, instruments(master, "caps").drop("supplier_site_id"), max_codes=max_codes)
+    elif _is_tally(activity):
+        counts = coded.groupBy(*by, CODE).agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
     else:
         counts = code_tally(coded, key_columns(*by), max_codes)
     counts = counts.drop("tests")
@@ -268,7 +291,8 @@ def error_country_series(monthly: DataFrame, excluded_country: str, after: str |
 
 def months_seen(activity: DataFrame, master: DataFrame, after: str) -> DataFrame:
     """The nearest months, after a date, in which a ``00`` model ran a test."""
-    seen = activity.select("instrument_id", dates.month_nearest(F.col("test_date")).alias("month")).filter(
+    month = F.col("month") if _is_tally(activity) else dates.month_nearest(F.col("test_date"))
+    seen = activity.select("instrument_id", month.alias("month")).filter(
         F.col("month") > F.lit(after).cast("date")
     )
     placed = attach_instrument(seen.distinct(), _family(master), how="inner", counted=True)

@@ -1,8 +1,8 @@
 """Joins in which a missing key matches a missing key, and the choice between broadcast and shuffle.
 
-A side is broadcast only when it is known to be small: by the size the optimizer derives from the
-files, or else by its counted rows. Beyond that bound the join is a shuffled one, in which adaptive
-execution splits the partition of a hot key (``session.SETTINGS``).
+A side is broadcast only when the size that the optimizer derives from its files is within a bound.
+Beyond it the join is a shuffled one, in which adaptive execution splits the partition of a hot key
+(``session.SETTINGS``), that of the missing key included. No job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 # Compressed bytes on disk; ten times that in memory is still easy to hold on every executor.
 BROADCAST_BYTES = 16 * 1024 * 1024
-# For a side whose size the files do not tell: counted rows (tables of a few narrow columns).
-BROADCAST_ROWS = 500_000
 
 
 def planned_bytes(df: DataFrame) -> int | None:
@@ -27,12 +25,10 @@ def planned_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, may_count: bool = True) -> bool:
-    """Whether ``df`` is within the broadcast bound; counts it only if its planned size is not."""
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is known to be within the broadcast bound."""
     size = planned_bytes(df)
-    if size is not None and size <= BROADCAST_BYTES:
-        return True
-    return may_count and df.count() <= BROADCAST_ROWS
+    return size is not None and size <= BROADCAST_BYTES
 
 
 def _pairs(on: str | Sequence[str | tuple[str, str]]) -> list[tuple[str, str]]:
@@ -75,9 +71,9 @@ def keep_listed(df: DataFrame, listed: DataFrame, on: str | Sequence[str | tuple
     return df.join(ids, _match(df, pairs, ids, keys), how)
 
 
-def dims_small(dims: Sequence[DataFrame | None], may_count: bool = False) -> bool:
+def dims_small(dims: Sequence[DataFrame | None]) -> bool:
     """Whether all of the dimensions (None: not used) are within the broadcast bound."""
-    return all(is_small(d, may_count) for d in dims if d is not None)
+    return all(is_small(d) for d in dims if d is not None)
 
 
 def attach_instrument(
@@ -92,18 +88,14 @@ def attach_instrument(
 
     ``site`` is keyed by ``supplier_site_id`` and holds ``site_country_code`` where ``country``
     (keyed by ``country_code``) is to follow. Small tables are broadcast one by one, so the fact is
-    not moved. Otherwise the chain is first built for the instruments that the fact mentions, and
-    that short table is broadcast if its count allows; else the fact is shuffled once.
+    not moved. Otherwise the chain is built first and the fact is shuffled once.
 
     ``counted`` says that ``fact`` is already aggregated: then larger tables are simply joined.
     """
-    if dims_small((master, site, country), may_count=not counted):
+    if dims_small((master, site, country)):
         return _chain(attach(fact, master, "instrument_id", how, small=True), site, country, small=True)
     if counted:
         return _chain(attach(fact, master, "instrument_id", how, small=False), site, country)
-    mentioned = _chain(keep_listed(master, fact, "instrument_id"), site, country)
-    if mentioned.count() <= BROADCAST_ROWS:
-        return attach(fact, mentioned, "instrument_id", how, small=True)
     # The whole chain, as its last join leaves it partitioned by another key: a hot instrument can be
     # split only where both sides are shuffled for this very join.
     return attach(fact, _chain(master, site, country), "instrument_id", how, small=False)
@@ -114,7 +106,7 @@ def attach_names(counts: DataFrame, master: DataFrame, site: DataFrame) -> DataF
 
     Unlike ``attach_instrument``, entries of one instrument that carry the same names are one group.
     """
-    if dims_small((master, site), may_count=False):
+    if dims_small((master, site)):
         names = _chain(master, site, None, small=True)
         names = names.select("instrument_id", "instrument_model", "supplier_site_name").distinct()
         return attach(counts, names, "instrument_id", small=True)

@@ -119,7 +119,7 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
     along the straight line through the sphere, where longitudes do not wrap and poles are no
     special case.
     """
-    small = is_small(labs, may_count=False)
+    small = is_small(labs)
     places = (
         labs.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         .groupBy("latitude", "longitude")

@@ -16,9 +16,9 @@ from assayline.functions import labels
 from assayline.functions.nulls import blank_to_null, n_unique, ratio
 from assayline.operators.cleaning import instruments
 from assayline.operators.lookups import attach, attach_instrument
+from assayline.storage import stored
 
 MISSING_TYPE = "NA"
-MAX_PIVOT_COLUMNS = 10_000
 MEASURES = ("tot_patient_test", "tot_patient_error")
 
 
@@ -120,6 +120,8 @@ def _country_table(placed: DataFrame, cell: Callable[[str], Column], columns: Se
 
     Everything comes from one grouping of the sums, so the fact is read once.
     """
+    if columns is None:
+        placed = stored(placed, "placed-sums")
     types = names_seen(placed, "test_type") if columns is None else columns
     return placed.groupBy(F.col("country_name").alias("Country")).agg(
         *[cell(t).alias(t) for t in types],
@@ -130,19 +132,18 @@ def _country_table(placed: DataFrame, cell: Callable[[str], Column], columns: Se
 
 def names_seen(df: DataFrame, names: str) -> list[str]:
     """The values of a column that is to give the columns of a report, in alphabetical order."""
-    seen = df.select(names).distinct().orderBy(names).limit(MAX_PIVOT_COLUMNS + 1).collect()
-    if len(seen) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"{names} has more than {MAX_PIVOT_COLUMNS} values")
-    return [row[0] for row in seen]
+    return [row[0] for row in df.select(names).distinct().orderBy(names).collect()]
 
 
 def widen(df: DataFrame, key: Sequence[str], names: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One column per value of ``names``; rows without a name go to column ``NA``.
 
     ``columns`` fixes the columns and their order; otherwise the names seen become the columns, in
-    alphabetical order.
+    alphabetical order: the counted rows are stored first, so that the fact is read once.
     """
     labelled = df.withColumn(names, F.coalesce(names, F.lit(MISSING_TYPE)))
+    if columns is None:
+        labelled = stored(labelled, "counts")
     shown = names_seen(labelled, names) if columns is None else list(columns)
     return labelled.groupBy(*key).pivot(names, shown).agg(F.first(value))
 
@@ -185,14 +186,19 @@ def report_period(test: DataFrame, as_of: dt.date | str) -> DataFrame:
     )
 
 
+def _plain(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(labels.MISSING))
+
+
 def format_report(df: DataFrame, kind: str = "number", columns: Sequence[str] | None = None) -> DataFrame:
-    """The table as text: ``columns`` (default: all numeric ones) as numbers or percentages, a dash for missing."""
-    shown = {"number": labels.number_text, "percent": labels.percent_text}[kind]
+    """The table as text: ``columns`` (default: all numeric ones) as short numbers, percentages or as they are
+    (``plain``), a dash for missing."""
+    shown = {"number": labels.number_text, "percent": labels.percent_text, "plain": _plain}[kind]
     numeric = [n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
     chosen = set(numeric if columns is None else columns)
 
     def cell(name: str) -> Column:
         c = F.col(f"`{name}`")
-        return shown(c) if name in chosen else F.coalesce(c.cast("string"), F.lit(labels.MISSING))
+        return shown(c) if name in chosen else _plain(c)
 
     return df.select(*[cell(n).alias(n) for n in df.columns])

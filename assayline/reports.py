@@ -10,7 +10,9 @@ import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from assayline.functions import dates
 from assayline.operators import (
     code_rates,
     error_rates,
@@ -21,6 +23,7 @@ from assayline.operators import (
     test_summary,
 )
 from assayline.sources.lab_csv import write_site_errors, write_table
+from assayline.storage import stored
 
 Tables = Mapping[str, DataFrame]
 Reports = dict[str, DataFrame]
@@ -40,8 +43,12 @@ def plate_reports(t: Tables) -> Reports:
 
 
 def code_reports(t: Tables, after: str = "2020-11-01", excluded_country: str = "ZM") -> Reports:
-    """First-generation errors per test: frequent codes, monthly series, and rates by site."""
-    activity, master = t["test_activity_roche"], t["instrument_master"]
+    """First-generation errors per test: frequent codes, monthly series, and rates by site.
+
+    The activity table is counted once, into a tally in the shared folder, from which all of them are made.
+    """
+    master = t["instrument_master"]
+    activity = stored(code_rates.report_tally(t["test_activity_roche"]), "tally")
     monthly = code_rates.monthly_code_rate(activity, master)
     recent = code_rates.recent_sites(code_rates.site_monthly_code_rate(activity, master), after, excluded_country)
     return {
@@ -59,14 +66,19 @@ def code_reports(t: Tables, after: str = "2020-11-01", excluded_country: str = "
 
 
 def test_error_reports(t: Tables) -> Reports:
-    """Second-generation errors per test: the long table and its four rate tables."""
+    """Second-generation errors per test: the long table and its four rate tables.
+
+    The rate tables are made from one tally in the shared folder; only the long table reads the tests again.
+    """
     activity, master, error_type, site = t["test_activity_roche"], t["instrument_master"], t["error_type"], t["site"]
+    month = dates.month_floor(F.col("test_date"))
+    tally = stored(code_rates.report_tally(activity, month, once_per_test=True), "tally")
     return {
         "test_errors": error_rates.test_errors(activity, master, error_type, site),
-        "all_error_percentages": error_rates.error_share_all(activity, master, error_type),
-        "test_errors_site": error_rates.error_rate_site(activity, master, error_type, site),
-        "test_errors_instrument": error_rates.error_rate_instrument(activity, master, error_type, site),
-        "test_errors_month": error_rates.error_rate_month(activity, master, error_type),
+        "all_error_percentages": error_rates.error_share_all(tally, master, error_type),
+        "test_errors_site": error_rates.error_rate_site(tally, master, error_type, site),
+        "test_errors_instrument": error_rates.error_rate_instrument(tally, master, error_type, site),
+        "test_errors_month": error_rates.error_rate_month(tally, master, error_type),
     }
 
 
@@ -96,8 +108,10 @@ def instrument_reports(t: Tables, after: dt.date = dt.date(2021, 7, 1)) -> Repor
     """Instruments by model and quarter, globally and by country."""
     tables = t["test"], t["instrument_master"], t["site"], t["country"], after
     return {
-        "instruments_global": instrument_summary.instrument_counts(*tables),
-        "instruments_country": instrument_summary.instrument_counts(*tables, by_country=True),
+        "instruments_global": test_summary.format_report(instrument_summary.instrument_counts(*tables), "plain"),
+        "instruments_country": test_summary.format_report(
+            instrument_summary.instrument_counts(*tables, by_country=True), "plain"
+        ),
     }
 
 

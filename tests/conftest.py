@@ -28,7 +28,6 @@ def no_broadcast(spark, monkeypatch):
     from assayline.operators import lookups
 
     monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {n: spark.conf.get(n, None) for n in names}
     for n in names:

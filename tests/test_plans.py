@@ -61,15 +61,21 @@ def test_fact_is_scanned_once(spark, name):
     assert len(wide) == 1
 
 
-def test_large_tables_do_not_move_the_fact_by_a_dimension_key(spark, no_broadcast, monkeypatch):
-    """With a large instrument table the short list of mentioned instruments is broadcast instead."""
-    from assayline.operators import lookups
-
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 500_000)
+def test_large_tables_move_the_fact_once(spark, no_broadcast):
+    """With a large instrument table one shuffled join by instrument, and no job while the plan is built."""
     from assayline.operators.cleaning import enrich_activity
     from assayline.plans.lab_views import LabViews
 
     v = LabViews(spark, MEDIUM)
-    text = plan(enrich_activity(v.test_activity_roche(), v.instrument_master()))
-    top = text.split("\n\n")[0]
-    assert "BroadcastHashJoin LeftOuter" in top
+    fact, master = v.test_activity_roche(), v.instrument_master()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan only", "")
+    tree = plan(enrich_activity(fact, master)).split("\n\n")[0]
+    assert list(tracker.getJobIdsForGroup("plan only")) == []
+    assert tree.count("SortMergeJoin") == 1 and "Broadcast" not in tree
+    assert tree.count("Scan parquet") == 2
+
+
+def test_share_of_all_tests_reads_the_fact_once(spark):
+    tree = plan(QUERIES["error_share_all"](spark, MEDIUM))
+    assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*orders.parquet\]", tree)) == 1

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from assayline import reports
+from assayline.operators import code_rates, error_rates
 from assayline.plans.lab_views import LabViews
 from assayline.schemas import SCHEMAS
 from assayline.sources.lab_csv import read_lab_folder, write_table
@@ -47,3 +48,35 @@ def test_folder_to_reports(spark, tmp_path):
     assert found["instruments_global"].columns == ["instrument_model", "2000 Q3", "2000 Q4", "2001 Q1", "2001 Q2", "2001 Q3"]
     direct = reports.test_error_reports({n: getattr(views, n)() for n in SCHEMAS})["test_errors_site"]
     assert sorted(map(str, found["test_errors_site"].collect())) == sorted(map(str, direct.collect()))
+
+
+def test_report_sets_count_the_tests_once(spark):
+    """The counted files are made from a stored tally, and equal the single queries."""
+    views = LabViews(spark, SMALL)
+    t = {n: getattr(views, n)() for n in SCHEMAS}
+    rows = lambda df: sorted(map(str, df.collect()))
+    codes = reports.code_reports(t, "2000-11-01", "C3")
+    errors = reports.test_error_reports(t)
+    for name, df in {**codes, **errors}.items():
+        if name != "test_errors":
+            assert "orders.parquet" not in df._jdf.queryExecution().toString(), name
+    activity, master = t["test_activity_roche"], t["instrument_master"]
+    single = {
+        "countries_sites": code_rates.countries_sites(activity, master),
+        "top_codes_instrument_model": code_rates.top_codes(activity, master, ["country_code", "instrument_model"]),
+        "top_codes_instrument_id": code_rates.top_codes(activity, master, ["country_code", "instrument_id"]),
+        "country_error_series": code_rates.country_error_series(code_rates.monthly_code_rate(activity, master), "C3"),
+    }
+    recent = code_rates.recent_sites(code_rates.site_monthly_code_rate(activity, master), "2000-11-01", "C3")
+    single["site_error_series"] = code_rates.gap_fill(recent, code_rates.months_seen(activity, master, "2000-11-01"))
+    single["errors_site"] = code_rates.site_code_rate(recent)
+    for name, df in single.items():
+        assert rows(codes[name]) == rows(df), name
+    second = {
+        "all_error_percentages": error_rates.error_share_all(activity, master, t["error_type"]),
+        "test_errors_site": error_rates.error_rate_site(activity, master, t["error_type"], t["site"]),
+        "test_errors_instrument": error_rates.error_rate_instrument(activity, master, t["error_type"], t["site"]),
+        "test_errors_month": error_rates.error_rate_month(activity, master, t["error_type"]),
+    }
+    for name, df in second.items():
+        assert rows(errors[name]) == rows(df), name

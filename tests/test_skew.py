@@ -92,3 +92,14 @@ def test_hot_place_is_split(spark, no_broadcast, split_early):
 def test_hot_instrument_counts(activity, master, no_broadcast, split_early):
     top = code_rates.top_codes(activity, master, ["country_code", "instrument_model"], 2)
     assert top.agg(F.sum("n")).first()[0] == activity.select(F.explode(F.split("error_code_list", ","))).count()
+
+
+def test_hot_missing_key_is_split(spark, activity, no_broadcast, split_early):
+    from assayline.operators.lookups import attach
+
+    fact = activity.withColumn("instrument_id", F.when(F.col("instrument_id") != HOT, F.col("instrument_id")))
+    names = spark.range(401).select(F.when(F.col("id") < 400, F.col("id")).alias("instrument_id"), F.concat(F.lit("n"), "id").alias("name"))
+    named = attach(fact, names, "instrument_id")
+    assert "skew=true" in final_plan(named)
+    assert named.count() == ROWS
+    assert named.filter("instrument_id is null and name = 'n400'").count() == fact.filter("instrument_id is null").count() > ROWS / 3
