@@ -28,9 +28,38 @@ def range_options(column: str, low: int, high: int, partitions: int) -> dict[str
     }
 
 
+def remainder_predicates(column: str, partitions: int) -> list[str]:
+    """Predicates that split a scan by the remainder of a whole-number column; the first takes the rows without one."""
+    parts = [f"MOD(ABS({column}), {partitions}) = {i}" for i in range(partitions)]
+    return [f"{parts[0]} OR {column} IS NULL", *parts[1:]]
+
+
+def key_query(schema: str, table: str) -> str:
+    """Query for the whole-number columns of a table, those of its primary key first."""
+    own = f"c.table_schema = '{_quoted(schema)}' AND c.table_name = '{_quoted(table)}'"
+    return f"""SELECT c.column_name,
+      CASE WHEN EXISTS (SELECT 1 FROM information_schema.key_column_usage k
+        JOIN information_schema.table_constraints t ON t.constraint_name = k.constraint_name AND t.table_schema = k.table_schema
+        WHERE t.constraint_type = 'PRIMARY KEY' AND k.table_schema = c.table_schema AND k.table_name = c.table_name
+        AND k.column_name = c.column_name) THEN 0 ELSE 1 END AS place, c.ordinal_position
+      FROM information_schema.columns c WHERE {own}
+      AND LOWER(c.data_type) IN ('smallint', 'integer', 'int', 'bigint', 'int2', 'int4', 'int8')"""
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def find_key(spark: SparkSession, url: str, schema: str, table: str, properties: dict[str, str] | None = None) -> str | None:
+    """The column by which to split the scan of a table: a whole-number one, of the primary key if there is one."""
+    query = key_query(schema, table)
+    rows = spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load().collect()
+    return min(((r[1], r[2], r[0]) for r in rows), default=(None, None, None))[2]
+
+
 def catalog_query(schemas: Sequence[str]) -> str:
     """Query for the tables of some schemas."""
-    listed = ", ".join("'" + s.replace("'", "''") + "'" for s in schemas)
+    listed = ", ".join(f"'{_quoted(s)}'" for s in schemas)
     return f"SELECT table_schema, table_name FROM information_schema.tables WHERE table_schema IN ({listed})"
 
 
@@ -43,8 +72,17 @@ def read_lab_jdbc(
     partitions: int = DEFAULT_PARTITIONS,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One table from a database, in parallel ranges of its numeric ``key``; blank text is NULL."""
+    """One table from a database, in parallel; blank text is NULL.
+
+    With a numeric ``key`` the scan is split into its ranges. Without, a whole-number column is found in the catalog, and
+    the scan is split by its remainders, which needs no bounds and no even spread; only a table without any such
+    column is read by one task.
+    """
     options = scan_options(url, schema, table, properties)
+    if key is None and (column := find_key(spark, url, schema, table, properties)) is not None:
+        predicates = remainder_predicates(column, partitions)
+        given = {"fetchsize": str(FETCH_ROWS), **(properties or {})}
+        return blank_to_null(spark.read.jdbc(url, f"{schema}.{table}", predicates=predicates, properties=given))
     reader = spark.read.format("jdbc").options(**options)
     if key is not None:
         bounds_query = f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {schema}.{table}"
@@ -66,7 +104,7 @@ def export_catalog(
 ) -> list[str]:
     """Write every table of the schemas as CSV under ``<out>/<schema>/<table>.csv``; returns the paths.
 
-    ``keys`` names the numeric key by which to split the scan of a table.
+    ``keys`` names the numeric key by which to split the scan of a table into ranges; by default the catalog is asked.
     """
     tables = (
         spark.read.format("jdbc").options(url=url, query=catalog_query(schemas), **(properties or {})).load().collect()

@@ -1,5 +1,6 @@
 """CSV in and out, and the options of database scans (there is no database to scan)."""
 
+import functools
 import pathlib
 
 import pytest
@@ -89,8 +90,8 @@ def test_database_options():
 class StandInDatabase:
     """Answers the scans and queries that the source sends, and notes their options."""
 
-    def __init__(self, tables, catalog):
-        self.tables, self.catalog, self.asked = tables, catalog, []
+    def __init__(self, tables, catalog, keys):
+        self.tables, self.catalog, self.keys, self.asked = tables, catalog, keys, []
 
     @property
     def read(self):
@@ -98,6 +99,8 @@ class StandInDatabase:
 
     def answer(self, options):
         self.asked.append(options)
+        if "information_schema.columns" in options.get("query", ""):
+            return self.keys
         if "query" not in options:
             return self.tables[options["dbtable"]]
         if "information_schema" in options["query"]:
@@ -121,10 +124,20 @@ class _StandInReader:
     def load(self):
         return self.database.answer(self.chosen)
 
+    def jdbc(self, url, table, predicates, properties):
+        """Rows by their first predicate that holds; the predicates are Spark SQL as well."""
+        scanned = self.database.answer({"dbtable": table, "predicates": predicates, **properties})
+        parts = [scanned.filter(p) for p in predicates]
+        assert sum(p.count() for p in parts) == scanned.count()
+        return functools.reduce(lambda a, b: a.union(b), parts)
+
+
+KEYS = "column_name string, place int, ordinal_position int"
+
 
 def test_database_scan_is_split_and_blanks_are_missing(rows):
     tables = {"lab.site": rows("id bigint, city string", (3, ""), (40, "x")), "lab.empty": rows("id bigint, city string")}
-    database = StandInDatabase(tables, None)
+    database = StandInDatabase(tables, None, rows(KEYS))
     got = jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "site", "id", 8)
     assert [tuple(r) for r in got.collect()] == [(3, None), (40, "x")]
     scan = database.asked[-1]
@@ -133,10 +146,26 @@ def test_database_scan_is_split_and_blanks_are_missing(rows):
     assert "partitionColumn" not in database.asked[-1]
 
 
+def test_scans_without_a_key_are_split_by_remainders(rows):
+    table = rows("name string, id bigint, other int", ("a", 3, 1), ("b", None, 2), ("", -40, 3), ("d", 41, None))
+    keys = rows(KEYS, ("other", 1, 3), ("id", 0, 2))
+    database = StandInDatabase({"lab.site": table}, None, keys)
+    got = jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "site", partitions=5, properties={"user": "u"})
+    assert sorted(tuple(r) for r in got.collect() if r[0]) == [("a", 3, 1), ("b", None, 2), ("d", 41, None)]
+    scan = database.asked[-1]
+    assert scan["predicates"][0] == "MOD(ABS(id), 5) = 0 OR id IS NULL" and len(scan["predicates"]) == 5
+    assert (scan["user"], scan["fetchsize"]) == ("u", "10000")
+    none = StandInDatabase({"lab.site": table}, None, rows(KEYS))
+    assert jdbc.read_lab_jdbc(none, "jdbc:x", "lab", "site").count() == 4
+    assert "predicates" not in none.asked[-1]
+    assert "c.table_name = 'o''x'" in jdbc.key_query("lab", "o'x")
+
+
 def test_exported_catalog_keeps_schemas_apart(spark, rows, tmp_path):
     tables = {"lab.site": rows("id bigint", (1,)), "stage.site": rows("id bigint", (2,))}
     catalog = rows("table_schema string, table_name string", ("stage", "site"), ("lab", "site"))
-    paths = jdbc.export_catalog(StandInDatabase(tables, catalog), "jdbc:x", ["lab", "stage"], str(tmp_path))
+    keys = rows(KEYS, ("id", 1, 1))
+    paths = jdbc.export_catalog(StandInDatabase(tables, catalog, keys), "jdbc:x", ["lab", "stage"], str(tmp_path))
     assert paths == [f"{tmp_path}/lab/site.csv", f"{tmp_path}/stage/site.csv"]
     assert [spark.read.option("header", True).csv(p).first()["id"] for p in paths] == ["1", "2"]
 
