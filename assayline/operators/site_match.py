@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +14,12 @@ from assayline.operators.lookups import attach, is_small, keep_listed
 # Countries from which suppliers send data, as fixed values.
 SUPPLIER_COUNTRIES = ("Eswatini", "Kenya", "Nigeria", "Uganda", "Zambia", "Zimbabwe", "Mozambique")
 
-# The search grid: the cube around the unit sphere is cut along each axis by 8, then three times by 16,
-# down to cells of some 400 m. The sphere meets about 300 cells of the first level and 77,000 of the
-# second, however many labs there are.
-STEPS = (3, 4, 4, 4)
+# The search grid: the cube around the unit sphere is cut along each axis by 8, then six times by 4,
+# down to cells of some 400 m. The sphere meets about 300 cells of the first level, 5,000 of the second
+# and 77,000 of the third, however many labs there are.
+STEPS = (3, 2, 2, 2, 2, 2, 2)
 DEPTH = sum(STEPS)
-BOUNDED_LEVELS = 2
+BOUNDED_LEVELS = 3
 # Rounding allowance for straight-line distances on the unit sphere (some micrometres on the ground).
 SLACK = 1e-12
 
@@ -84,10 +84,12 @@ def _parents(bits: int) -> list[Column]:
 
 
 def _boxes(points: DataFrame) -> list[DataFrame]:
-    """Per level, from coarse to fine: the cells that hold a lab, their parent cell, and the box around their labs."""
+    """Per level, from coarse to fine: the cells that hold a lab, their parent cell, the box around their labs, and one of
+    the labs."""
     bounds = [f(a).alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
     merged = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
-    level = points.groupBy(*_CELL).agg(*bounds)
+    merged.append(F.min("one").alias("one"))
+    level = points.groupBy(*_CELL).agg(*bounds, F.min(F.struct(*_AXES)).alias("one"))
     levels = []
     for bits in reversed(STEPS):
         levels.insert(0, level.select("*", *_parents(bits)))
@@ -95,16 +97,18 @@ def _boxes(points: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def _near_and_far() -> tuple[Column, Column]:
-    """Smallest and largest possible distance from a site to the labs in a box."""
-    near, far = [], []
-    for a in _AXES:
-        below, above = F.col(f"min_{a}") - F.col(a), F.col(a) - F.col(f"max_{a}")
-        gap = F.greatest(below, above, F.lit(0.0))
-        reach = F.greatest(-below, -above)
-        near.append(gap * gap)
-        far.append(reach * reach)
-    return F.sqrt(near[0] + near[1] + near[2]), F.sqrt(far[0] + far[1] + far[2])
+def _length(parts: list[Column]) -> Column:
+    return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+
+
+def _near(box: Callable[[str], Column]) -> Column:
+    """Smallest possible distance from a site to the labs in a box."""
+    return _length([F.greatest(box(f"min_{a}") - F.col(a), F.col(a) - box(f"max_{a}"), F.lit(0.0)) for a in _AXES])
+
+
+def _to_one(box: Callable[[str], Column]) -> Column:
+    """Distance from a site to the one lab known of a box, which the nearest lab cannot exceed."""
+    return _length([F.col(a) - box("one")[a] for a in _AXES])
 
 
 def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
@@ -114,8 +118,9 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
 
     The search is exact and never compares all sites with all labs. Labs at one place count as one
     (the lowest id), sites at one place are searched once. A site descends a grid of cells: at each
-    level it keeps the cells whose nearest possible lab is not farther than the farthest possible lab
-    of its best cell, and only labs in the cells left at the end are measured. Distances are bounded
+    level it keeps the cells whose nearest possible lab is not farther than the nearest lab known so
+    far, one of each cell it has met, and only labs in the cells left at the end are measured. The few boxes of the
+    first level are one value, filtered for each site; further levels are joined by cell. Distances are bounded
     along the straight line through the sphere, where longitudes do not wrap and poles are no
     special case.
     """
@@ -135,19 +140,26 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
     )
     frontier = _on_sphere(searched, "lat", "lon")
     carried = ["_place", "lat", "lon", *_AXES]
-    frontier = frontier.select("*", *[F.shiftright(_grid(F.col(a)), DEPTH).alias(p) for p, a in zip(_PARENT, _AXES)])
-
-    near, far = _near_and_far()
-    for level, children in enumerate(_boxes(points), start=1):
+    first, *finer = _boxes(points)
+    all_boxes = first.agg(F.collect_list(F.struct(*[c for c in first.columns if c not in _PARENT]))).scalar()
+    frontier = frontier.withColumn("boxes", all_boxes)
+    reach = F.array_min(F.transform("boxes", lambda b: _to_one(lambda n: b[n])))
+    frontier = frontier.withColumn("reach", reach)
+    kept = F.filter("boxes", lambda b: _near(lambda n: b[n]) <= F.col("reach") + SLACK)
+    frontier = frontier.select(*carried, "reach", F.explode(kept).alias("b"))
+    frontier = frontier.select(*carried, "reach", *[F.col("b")[c].alias(p) for p, c in zip(_PARENT, _CELL)])
+
+    for level, children in enumerate(finer, start=2):
         if small or level <= BOUNDED_LEVELS:
             children = F.broadcast(children)
+        known = F.min(_to_one(F.col)).over(Window.partitionBy("_place"))
         met = frontier.join(children, list(_PARENT)).select(
             *carried,
             *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)],
-            near.alias("near"),
-            F.min(far).over(Window.partitionBy("_place")).alias("reach"),
+            _near(F.col).alias("near"),
+            F.least("reach", known).alias("reach"),
         )
-        frontier = met.filter(F.col("near") <= F.col("reach") + SLACK).drop("near", "reach")
+        frontier = met.filter(F.col("near") <= F.col("reach") + SLACK).drop("near")
 
     leaves = points.select("latitude", "longitude", "lab", *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)])
     metres = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))

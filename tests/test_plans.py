@@ -79,3 +79,49 @@ def test_large_tables_move_the_fact_once(spark, no_broadcast):
 def test_share_of_all_tests_reads_the_fact_once(spark):
     tree = plan(QUERIES["error_share_all"](spark, MEDIUM))
     assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*orders.parquet\]", tree)) == 1
+
+
+def test_nearest_lab_does_not_join_on_a_constant(spark):
+    """No join by the parent of all first-level cells: the first join is by second-level cells of several parents."""
+    import random
+
+    from assayline.operators import site_match
+
+    random.seed(1)
+    place = lambda: (random.uniform(-90, 90), random.uniform(-180, 180))
+    labs = spark.createDataFrame(
+        [(i, f"l{i}", "x", *place()) for i in range(5000)],
+        "id long, name string, countryname string, latitude double, longitude double",
+    )
+    sites = spark.createDataFrame(
+        [(i, *place()) for i in range(300)], "supplier_site_id long, candidate_lat double, candidate_lon double"
+    )
+    matched = site_match.nearest_lab(sites, labs)
+    rows = {r.supplier_site_id: r for r in matched.collect()}
+    points = [(r.latitude, r.longitude, r.id) for r in labs.collect()]
+    for r in sites.limit(40).collect():
+        best = min(points, key=lambda p: _metres(r.candidate_lat, r.candidate_lon, p[0], p[1]))
+        assert rows[r.supplier_site_id].id == best[2]
+    found = matched._jdf.queryExecution()
+    found.toRdd().count()
+    assert sum(_joined(found.executedPlan())) < 100 * 300
+
+
+def _metres(lat, lon, lat2, lon2):
+    from math import asin, cos, radians, sin, sqrt
+
+    a, b, c, d = map(radians, (lat, lon, lat2, lon2))
+    return 2 * 6378137.0 * asin(min(1.0, sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2)))
+
+
+def _joined(node):
+    """Rows out of each join of an executed plan."""
+    name, rows = node.nodeName(), []
+    if "Join" in name and node.metrics().get("numOutputRows").isDefined():
+        rows.append(node.metrics().get("numOutputRows").get().value())
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    if name.startswith("AdaptiveSparkPlan"):
+        below.append(node.executedPlan())
+    if "QueryStage" in name:
+        below.append(node.plan())
+    return rows + [r for b in below for r in _joined(b)]

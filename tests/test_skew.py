@@ -103,3 +103,18 @@ def test_hot_missing_key_is_split(spark, activity, no_broadcast, split_early):
     assert "skew=true" in final_plan(named)
     assert named.count() == ROWS
     assert named.filter("instrument_id is null and name = 'n400'").count() == fact.filter("instrument_id is null").count() > ROWS / 3
+
+
+def test_many_places_and_labs_in_one_cell(spark, no_broadcast, split_early):
+    """Thousands of places and labs within 400 m."""
+    sites = spark.range(3000).selectExpr(
+        "id supplier_site_id", "1.0 + id % 1000 / 1e6 candidate_lat", "cast(36.0 + id div 1000 / 1e6 as double) candidate_lon"
+    )
+    labs = spark.range(2000).selectExpr(
+        "id", "concat('l', id) name", "'x' countryname", "1.0 + id / 1e6 latitude", "36.0 + id % 3 / 1e6 longitude"
+    )
+    sites = sites.withColumn("candidate_lat", F.col("candidate_lat").cast("double"))
+    labs = labs.withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
+    matched = site_match.nearest_lab(sites, labs)
+    assert matched.count() == 3000
+    assert matched.filter("id is null or distance_nearest_datim_loc_km > 0.01").count() == 0
