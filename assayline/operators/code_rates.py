@@ -21,6 +21,7 @@ from assayline.functions.nulls import max_na, n_unique, percent, sum_skip
 from assayline.operators.cleaning import instruments, model_family
 from assayline.operators.lookups import attach_instrument, dims_small, keep_listed
 from assayline.operators.ranking import display_rank, top_with_ties
+from assayline.storage import stored
 
 CODE = "error_code_list"
 # Code slots of a test in the first generation's denominators, and the codes of its site series, as fixed values.
@@ -299,6 +300,15 @@ def months_seen(activity: DataFrame, master: DataFrame, after: str) -> DataFrame
     return placed.select("month").distinct()
 
 
+def site_error_series(
+    activity: DataFrame, master: DataFrame, after: str, excluded_country: str, codes: Sequence[str] = SERIES_CODES
+) -> DataFrame:
+    """``gap_fill`` of the recent site rates over the months seen. Both come from one stored tally: the tests are read once."""
+    tally = stored(report_tally(activity), "tally")
+    recent = recent_sites(site_monthly_code_rate(tally, master), after, excluded_country)
+    return gap_fill(recent, months_seen(tally, master, after), codes)
+
+
 def gap_fill(rows: DataFrame, months: DataFrame, codes: Sequence[str] = SERIES_CODES) -> DataFrame:
     """Site rates for every site of ``rows``, listed code and month; 0 where there is no rate.
 

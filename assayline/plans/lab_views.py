@@ -54,7 +54,7 @@ ACTIVITY_ABBOTT_ORDER = {
     "instrument_id": "o_orderkey % 2100",
     "test_type_id": "o_orderpriority",
     "country_code": "case when o_orderkey % 13 = 0 then null else concat('C',cast(o_custkey % 25 as string)) end",
-    "test_date": "cast(o_orderdate as date)",
+    "test_date": "case when o_orderkey % 103 = 0 then null else cast(o_orderdate as date) end",
 }
 ACTIVITY_ABBOTT_LINE = {
     "error_type_id": "case when l_discount > 0.075 then cast(4440 + l_linenumber as double) else null end",
@@ -74,7 +74,7 @@ ACTIVITY_ROCHE = {
     "record_key": "o_orderkey",
     "instrument_id": "o_orderkey % 2100",
     "country_code": "concat('C',cast(o_custkey % 25 as string))",
-    "test_date": "cast(o_orderdate as date)",
+    "test_date": "case when o_orderkey % 101 = 0 then null else cast(o_orderdate as date) end",
     "test_type_id": "o_orderpriority",
     "error_code_list": "case o_orderkey % 5 when 0 then null when 1 then concat('6284.',cast(o_custkey % 9 as string))"
     " when 2 then concat('6284.',cast(o_custkey % 9 as string),',6282.',cast(o_orderkey % 37 as string))"

@@ -366,6 +366,7 @@ _BODIES = {
       count(*) filter (where control_errors = 'non-affected') "non-affected" from plate_state
       where country_name is not null group by all""",
     "tests_last_year": "select * from df_tests",
+    "tests_last_year_blanks": "select * replace (nullif(country_name, 'NATION_3') as country_name) from df_tests",
     "sites_instruments_country": "select * from df_sites_inst",
     "test_sample_table": _SAMPLE,
     "test_error_table": _ERRORS,

@@ -141,7 +141,7 @@ def _mean_rate(v: LabViews) -> DataFrame:
 
 
 def _filled(v: LabViews) -> DataFrame:
-    return code_rates.gap_fill(_recent(v), code_rates.months_seen(*_roche(v), MONTH_CUT))
+    return code_rates.site_error_series(*_roche(v), MONTH_CUT, EXCLUDED_COUNTRY)
 
 
 def _family_rows(v: LabViews) -> DataFrame:
@@ -165,6 +165,15 @@ def _tests(v: LabViews) -> tuple:
     return v.test(), v.instrument_master(), v.site(), v.test_type(), v.country(), AS_OF
 
 
+def _tests_with_blanks(v: LabViews) -> DataFrame:
+    """From tables as a database holds them, with blank text for a missing one."""
+    test, master, site, test_type, country, as_of = _tests(v)
+    blank = F.when(F.col("country_name") != "NATION_3", F.col("country_name")).otherwise(F.lit(""))
+    return test_summary.tests_last_year(
+        test, master, site, test_type, country.withColumn("country_name", blank), as_of, blanks_to_null=True
+    )
+
+
 def _test_table(v: LabViews, measure: str) -> DataFrame:
     return test_summary.test_table(*_tests(v), measure, TEST_TYPES)
 
@@ -256,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "plate_status": _on(_status),
     "plate_status_by_country": _on(lambda v: kit_errors.plate_status_by_country(_status(v))),
     "tests_last_year": _on(lambda v: test_summary.tests_last_year(*_tests(v))),
+    "tests_last_year_blanks": _on(_tests_with_blanks),
     "sites_instruments_country": _on(
         lambda v: test_summary.sites_instruments(v.test(), v.instrument_master(), v.site(), v.country(), AS_OF)
     ),

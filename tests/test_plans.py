@@ -76,6 +76,20 @@ def test_large_tables_move_the_fact_once(spark, no_broadcast):
     assert tree.count("Scan parquet") == 2
 
 
+@pytest.mark.parametrize("name", ["country_error_series", "error_country_series", "error_country_series_short"])
+def test_series_read_the_fact_once(spark, name):
+    """In the plan that ran: the tally's exchange is made once and reused."""
+    df = QUERIES[name](spark, MEDIUM)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = re.findall(r"FileScan parquet \[[^\]]*o_orderkey[^\]]*\]", ran)
+    assert len(scans) == 1
+
+
+def test_filled_series_is_made_from_a_stored_tally(spark):
+    assert "orders.parquet" not in plan(QUERIES["site_error_series_filled"](spark, MEDIUM))
+
+
 def test_share_of_all_tests_reads_the_fact_once(spark):
     tree = plan(QUERIES["error_share_all"](spark, MEDIUM))
     assert len(re.findall(r"Location: InMemoryFileIndex \[[^\]]*orders.parquet\]", tree)) == 1
