@@ -226,8 +226,8 @@ def encode_decode(
 ) -> DataFrame:
     """Ids of every whole text, and the bytes that decoding those ids gives.
 
-    Returns id_col, the columns to carry, ids array<int> and decoded binary, a row per row of docs: repeated rows and null ids are kept, a null or
-    empty text has no ids and decodes to no bytes, other columns are left out, an empty table gives an empty one.
+    Returns id_col, the columns to carry, ids array<int> and decoded binary, a row per row of docs: repeated rows and null ids are
+    kept, a null or empty text has no ids and decodes to no bytes, other columns are left out, an empty table gives an empty one.
     """
     codec = _sent_codec(docs, ranks_path, pattern)
     rows = docs.select(

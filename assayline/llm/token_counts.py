@@ -2,7 +2,8 @@
 
 Before the job starts, `prove_whole_tokens` encodes every string of the vocabulary alone and keeps those that the library
 splits into one pre-token and encodes as one token. In the tasks a pre-token of that set counts as one; only the others are
-merged, once per distinct pre-token of a task, up to a bound of memory. Rows are independent: there is no shuffle, and a lost task is computed again.
+merged, once per distinct pre-token of a task, up to a bound of memory. Rows are independent: there is no shuffle, and a lost
+task is computed again.
 
 The vocabulary file and the proven strings are sent to the executors; their size is that of the vocabulary, not of the data.
 """
