@@ -38,7 +38,7 @@ PART_BYTES = 1 << 22
 MEMO_WORDS = 300_000
 FLUSH_PAIRS = 1 << 21
 LEVEL_ROWS = 500_000
-SHARD_TOKENS = 500_000
+SHARD_TOKENS = 1_000_000
 MOST_SHARDS = 20_000
 
 
@@ -69,13 +69,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[b
 
 def _tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of the texts, each text closed by the end, and the number of tokens of each text."""
-    found, sizes = [], []
+    found = [np.zeros(0, np.int64)]
     for text in texts:
         own = text.split()  # white space of bytes is \\x20 and \\x09-\\x0D
-        found += map(words.__getitem__, own)
-        found.append(words.end)
-        sizes.append(len(own) + 1)
-    return np.array(found, np.int64), np.array(sizes, np.int64)
+        own.append(END)
+        found.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
+    return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
 
 
 @dataclass
@@ -156,7 +155,8 @@ def build_level_1(counts: DataFrame, folder: str) -> Level1:
         order = np.argsort(hashes)
         arrays = named("hashes", encode(hashes[order])) | {"counts": table.column("n").to_numpy()[order]}
         place = save(folder, "words", arrays)
-        return pa.table({"file": pa.array([key[0].as_py()], pa.int32()), "place": [place], "least": [int(hashes.min().view(np.int64))], "words": [len(hashes)]})
+        least = int(hashes.min().view(np.int64))
+        return pa.table({"file": pa.array([key[0].as_py()], pa.int32()), "place": [place], "least": [least], "words": [len(hashes)]})
 
     dealt = counts.withColumn("file", number.cast("int"))
     done = dealt.groupBy("file").applyInArrow(built, "file int, place string, least long, words long")
@@ -366,18 +366,20 @@ def _add_pairs(
     keys = context[known] * words + np.maximum(token[known], 0)
     pairs, which = np.unique(keys, return_inverse=True)
     pair_share = np.zeros(len(pairs))
+    shard = np.searchsorted(bounds, pairs, "right") - 1
+    for s in np.unique(shard).tolist():
+        if names[s] is not None:
+            lo, hi = np.searchsorted(shard, [s, s + 1])
+            pair_share[lo:hi], distinct, part = shard_file(s).find(*np.divmod(pairs[lo:hi], words))
+            mass[np.searchsorted(contexts, distinct)] += part
+    # The parts of a split context's mass in shards to which none of its pairs led.
     first = np.searchsorted(bounds, contexts * words, "right") - 1
     last = np.searchsorted(bounds, contexts * words + words - 1, "right") - 1
-    shard = np.searchsorted(bounds, pairs, "right") - 1
-    for s in np.unique(np.concatenate([first, last, *[np.arange(a, b) for a, b in zip(first, last, strict=True) if b > a + 1]])):
-        if names[s] is None:
-            continue
-        file = shard_file(int(s))
-        lo, hi = np.searchsorted(shard, [s, s + 1])
-        pair_share[lo:hi], _, _ = file.find(*np.divmod(pairs[lo:hi], words))
-        touched = np.flatnonzero((first <= s) & (last >= s))
-        _, distinct, part = file.find(contexts[touched], np.zeros(len(touched), np.int64))
-        mass[touched] += part
+    for i in np.flatnonzero(last > first).tolist():
+        lo, hi = np.searchsorted(pairs, [contexts[i] * words, (contexts[i] + 1) * words])
+        for s in sorted({*range(first[i], last[i] + 1)} - {*shard[lo:hi].tolist()}):
+            if names[s] is not None:
+                mass[i] += shard_file(s).find(contexts[i : i + 1], np.zeros(1, np.int64))[2][0]
     share = np.where(token[known] >= 0, pair_share[which], 0.0)
     chance[known] = share + (1.0 - mass[of]) * plain[known]
 
