@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm.storage import stored
 
-PAGE = 64
+PAGE = 256
 FAN = 16
 TREE_ROWS = 8192
 QUERY_ROWS = 2048
@@ -46,7 +46,12 @@ class Tree:
         self.lift = np.sqrt(np.maximum(longest2 - (self.points**2).sum(1), 0))
         self.pages: list[dict[str, Any]] = []
         self.root = self._page(np.arange(len(vectors)), None)
-        del self.points, self.lift
+        # Products of vectors within this length are whole numbers that floating point holds exactly.
+        self.exact = longest2 < 2.0**50
+        for page in self.pages:
+            held = page["rows"] if "rows" in page else page["routes"]
+            page["points"] = self.points[held] if self.exact else vectors[held]
+        del self.points, self.lift, self.vectors
 
     def to_bytes(self) -> bytes:
         return pickle.dumps(self.__dict__)
@@ -89,6 +94,7 @@ class Tree:
     def search(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
         """The k best (-score, id), without the query's own id."""
         wide = query.astype(np.float64)
+        asked = wide if self.exact and float(wide @ wide) < 2.0**50 else query
         constant = float(wide @ wide) + self.longest2
         slack = SLACK * sqrt(constant) + 1e-9
         best: list[tuple[int, int]] = []
@@ -101,12 +107,12 @@ class Tree:
             page = self.pages[number]
             reach = page.get("radius", 0.0)
             # The root has no routing vector, so nothing is known before its entries' own distances.
-            open_ = np.flatnonzero(np.abs(page["routed"] - at) - reach <= within + slack) if at >= 0 else slice(None)
+            open_ = np.abs(page["routed"] - at) - reach <= within + slack if at >= 0 else slice(None)
+            open_ = slice(None) if at >= 0 and open_.all() else open_
             if "rows" in page:
-                rows = page["rows"][open_]
-                scores = self.vectors[rows] @ query
+                rows, scores = page["rows"][open_], page["points"][open_] @ asked
                 if len(best) == k:
-                    enough = scores >= -best[-1][0]
+                    enough = np.flatnonzero(scores >= -best[-1][0])
                     rows, scores = rows[enough], scores[enough]
                 if len(rows):
                     found = [(-int(s), int(i)) for r, s in zip(rows, scores, strict=True) for i in self.ids[r] if i != own]
@@ -114,8 +120,7 @@ class Tree:
                     if len(best) == k:
                         within = sqrt(max(constant + 2.0 * best[-1][0], 0.0))
                 continue
-            routes = self.vectors[page["routes"][open_]].astype(np.float64)
-            distance = np.sqrt(np.maximum(constant - 2.0 * (routes @ wide), 0))
+            distance = np.sqrt(np.maximum(constant - 2.0 * (page["points"][open_] @ wide), 0))
             bounds = np.maximum(distance - page["radius"][open_], least)
             for bound, child, d in zip(bounds.tolist(), page["below"][open_].tolist(), distance.tolist(), strict=True):
                 if bound <= within + slack:
