@@ -18,9 +18,9 @@ import tempfile
 
 import numpy as np
 
-HELD_BYTES = 1 << 22
+HELD_BYTES = 1 << 19
 QUEUES = 4096
-COMPARED_AT_ONCE = 1 << 16
+COMPARED_AT_ONCE = 1 << 14
 
 
 class Queue:
@@ -59,12 +59,11 @@ def _file_array(folder: str, length: int, kind: type) -> np.ndarray:
 
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is S. The last symbol is less than all others, and S."""
-    rises = np.diff(text.astype(np.int64), append=-1)
-    decided = np.flatnonzero(rises)
-    until = decided[np.searchsorted(decided, np.arange(len(text)))]
-    small = rises[until] > 0
-    small[-1] = True
-    return small
+    rises = text[1:] > text[:-1]
+    decided = np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)
+    small = np.append(rises, True)[decided]
+    # Equal symbols are of the type of the last of them.
+    return np.repeat(small, np.diff(decided, prepend=-1))
 
 
 def _names(text: np.ndarray, starts: np.ndarray) -> np.ndarray:

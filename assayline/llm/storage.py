@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from assayline.session import shared_folder
 
@@ -19,3 +19,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     gc.collect()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own bound, which a session has if it does not set another.
+BATCH_DEFAULT = 64 << 20
+
+
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Keeps the batches that Spark sends to Python at a few megabytes, in the JVM and in Python, unless the session has a bound
+    of its own. Holds for the session."""
+    if spark.conf.get(BATCH_KEY).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_KEY, str(size))

@@ -34,15 +34,19 @@ from pyspark.sql import functions as F
 
 from assayline.llm.elias_fano import encode, mapped, named, save, sequence
 from assayline.llm.induced_sort import sort_suffixes
-from assayline.llm.storage import stored
+from assayline.llm.storage import bound_batches, stored
 from assayline.session import shared_folder
 
 ANCHOR = 16
 #: Texts that are hashed together (fit a processor's cache), and texts that are looked up together.
 CHUNK_BYTES = 1 << 18
-PART_BYTES = 1 << 23
-SHARD_BYTES = 1 << 24
+PART_BYTES = 1 << 22
+SHARD_BYTES = 1 << 23
+#: Anchors that a task collects before it sends them to their shards.
+HELD_ANCHORS = 1 << 18
 HOT_SEGMENTS = 20_000
+#: Segments that are joined to one text for a suffix array; those of one anchor stay together.
+TEXT_BYTES = 1 << 20
 #: Order of rows without id: after all others.
 LAST = (1 << 63) - 1
 
@@ -106,7 +110,14 @@ def _chunk_segments(raw: bytes, ends: np.ndarray, length: int) -> Segments:
     begin = np.flatnonzero(edge & inside)
     stop = np.flatnonzero(np.append(edge[1:] | ~inside[1:], True) & inside) + 1
     place = (least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return Segments(begin, stop - begin, mark[place], place - begin, np.searchsorted(ends, begin, "right"))
+    return Segments(begin, stop - begin, _spread(mark[place]), place - begin, np.searchsorted(ends, begin, "right"))
+
+
+def _spread(mark: np.ndarray) -> np.ndarray:
+    """Hashes that are spread evenly, one to one: those chosen as the least of many are small ones."""
+    mark = mark * np.uint64(0xD6E8FEB86659FD93)
+    mark ^= mark >> np.uint64(32)
+    return mark * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray]]:
@@ -154,7 +165,7 @@ def anchor_documents(rows: DataFrame, shards: int, length: int) -> DataFrame:
             if len(segments.begin):
                 held.append(segments.anchor)
                 orders.append(part.column("rank").to_numpy()[segments.document])
-            if sum(map(len, held)) > 1 << 21:
+            if sum(map(len, held)) > HELD_ANCHORS:
                 yield flush()
                 held, orders = [], []
         if held:
@@ -279,18 +290,30 @@ def first_starts(segments: list[bytes], least: np.ndarray, length: int, folder:
     return [by_place[a : a + n - length + 1] for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-def _write_starts(segments: list[bytes], firsts: list[np.ndarray], folder: str) -> str:
-    """Writes for each segment the runs of its windows with one first document; segments by hash."""
+def _write_starts(segments: list[bytes], firsts: list[int | np.ndarray], folder: str) -> str:
+    """Writes for each segment the runs of its windows with one first document (a number if all have the same); segments by
+    hash."""
     marks = np.array([xxhash.xxh64_intdigest(x) for x in segments], np.uint64)
-    by = np.argsort(marks)
-    edges = [np.flatnonzero(np.diff(firsts[i], prepend=firsts[i][0] - 1)) for i in by]
+    by = np.argsort(marks).tolist()
+    whole = np.zeros(1, np.int64)
+    edges = [whole if isinstance(x := firsts[i], int) else np.flatnonzero(np.diff(x, prepend=x[0] - 1)) for i in by]
     counts = np.array([len(x) for x in edges], np.int64)
     arrays = named("segments", encode(marks[by])) | named("pointers", encode(np.concatenate([[0], np.cumsum(counts)])))
     arrays["from"] = np.concatenate(edges).astype(np.uint16)
-    arrays["first"] = np.concatenate([firsts[i][x] for i, x in zip(by, edges, strict=True)])
+    values = [[x] if isinstance(x := firsts[i], int) else x[e] for i, e in zip(by, edges, strict=True)]
+    arrays["first"] = np.concatenate(values).astype(np.int64)
     return save(folder, "starts", arrays)
 
 
+def _by_size(chosen: np.ndarray, anchor: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """Cuts segments in the order of their anchors into parts of about TEXT_BYTES, between anchors only."""
+    if len(chosen):
+        first = np.flatnonzero(np.append(True, anchor[chosen][1:] != anchor[chosen][:-1]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chosen))))
+        number = ((np.cumsum(sizes) - sizes) // TEXT_BYTES)[first][group]
+        yield from np.split(chosen, np.flatnonzero(np.diff(number)) + 1)
+
+
 def write_first_starts(distinct: DataFrame, folder: str, length: int) -> DataFrame:
     """Rows (shard, place): first documents of the windows of each segment, from the suffix arrays of the shards."""
 
@@ -298,15 +321,17 @@ def write_first_starts(distinct: DataFrame, folder: str, length: int) -> DataFra
         segments = table.column("segment").to_pylist()
         anchor, least = table.column("anchor").to_numpy(), table.column("least").to_numpy()
         greatest = table.column("greatest").to_numpy()
-        firsts = [np.full(len(x) - length + 1, n) for x, n in zip(segments, least.tolist(), strict=True)]
+        firsts: list[int | np.ndarray] = least.tolist()
         _, of, times = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(times[of] > 1)
         mixed = mixed[_candidates([segments[i] for i in mixed], table.column("at").to_numpy()[mixed], length)]
-        with tempfile.TemporaryDirectory() as own:
-            found = first_starts([segments[i] for i in mixed], least[mixed], length, own)
-        for i, x in zip(mixed.tolist(), found, strict=True):
-            firsts[i] = x
-        useful = [i for i, x in enumerate(firsts) if x.min() < greatest[i]]
+        mixed = mixed[np.argsort(anchor[mixed], kind="stable")]
+        for some in _by_size(mixed, anchor, [len(segments[i]) for i in mixed]):
+            with tempfile.TemporaryDirectory() as own:
+                found = first_starts([segments[i] for i in some], least[some], length, own)
+            for i, x in zip(some.tolist(), found, strict=True):
+                firsts[i] = x
+        useful = [i for i, x in enumerate(firsts) if (x if isinstance(x, int) else x.min()) < greatest[i]]
         places = [_write_starts([segments[i] for i in useful], [firsts[i] for i in useful], folder)] if useful else []
         return pa.table({"shard": pa.array([key[0].as_py()] * len(places), pa.int32()), "place": pa.array(places, pa.string())})
 
@@ -325,7 +350,8 @@ def write_hot_starts(distinct: DataFrame, folder: str, length: int) -> DataFrame
     )
     # A segment's windows have one anchor, so that a segment has at most length - ANCHOR + 1 of them.
     useful = joined.filter(F.array_min("firsts.first") < F.col("greatest"))
-    dealt = useful.select("shard", "segment", F.col("firsts.first").alias("firsts"), F.pmod(F.xxhash64("segment"), F.lit(16)).alias("part"))
+    dealt = useful.select("shard", "segment", F.col("firsts.first").alias("firsts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("segment"), F.lit(16)))
 
     def written(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         firsts = [np.array(x, np.int64) for x in table.column("firsts").to_pylist()]
@@ -411,7 +437,8 @@ def cut_repeats(
                 if whole_characters:
                     left, right = _whole_characters(data, left, right)
                     cover = np.zeros(len(raw) + 1, np.int8)
-                    cover[left], cover[right] = 1, cover[right] - 1
+                    cover[left] += 1
+                    cover[right] -= 1
                     gone = np.cumsum(cover[:-1], dtype=np.int8) > 0
                 owner = np.searchsorted(ends, left, "right")
                 spans: list[list[dict[str, int]]] = [[] for _ in begins]
@@ -449,12 +476,14 @@ def remove_repeats(
     """Whole texts as UTF-8 bytes without what a document of a smaller id has too.
 
     Returns id_col, the columns to carry, n_bytes, spans (the maximal removed runs: begin and end in bytes) and kept (the other
-    bytes, joined), a row per row of docs. With whole_characters, runs end at characters, so that kept is UTF-8. Matches lie inside one document each, and are judged on the input. A null text is empty; texts shorter
+    bytes, joined), a row per row of docs. With whole_characters, runs end at characters, so that kept is UTF-8. Matches lie
+    inside one document each, and are judged on the input. A null text is empty; texts shorter
     than length stay whole; rows of one id do not remove each other's text; a null id counts as larger than all others; other
     columns are left out; an empty table gives an empty one. length is from 31 to 65,000 bytes.
     """
     if not 2 * ANCHOR - 1 <= length <= 65_000:
         raise ValueError("length must be from 31 to 65,000")
+    bound_batches(docs.sparkSession)
     folder = shared_folder(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
