@@ -10,8 +10,8 @@ the shared folder by tasks, and memory-mapped by the tasks that score; only bloc
 Model: P(w) = (c(w) + 1) / (N + V + 1); P(w | v) = (c(vw) - D) / c(v) + B(v) P(w) for bigrams that training has at least
 min_count times, B(v) P(w) for others, where B(v) is the mass those leave. The word before the first is the end of a text.
 
-Counts are summed up in the tasks before they are shuffled. Words that occur once can't be in a kept bigram and take no part in
-level 2. Contexts are dealt to shards by their share of all tokens, and one that has more than a shard's share is split
+Counts are summed up in the tasks before they are shuffled. By default every bigram of training is kept; with a larger min_count,
+words that occur less often can't be in a kept bigram and take no part in level 2. Contexts are dealt to shards by their share of all tokens, and one that has more than a shard's share is split
 by its followers.
 """
 
@@ -390,7 +390,7 @@ def score_texts(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_count: int = 2,
+    min_count: int = 1,
     discount: float = 0.75,
 ) -> DataFrame:
     """Learns from the rows for which learn holds and scores all whole texts.

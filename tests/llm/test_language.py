@@ -72,3 +72,15 @@ def test_nothing_to_learn_from(spark, odd_docs, no_docs, on_table):
     assert on_table("op4_lm_scoring", no_docs, spark).count() == 0
     rows = lm_scoring.score_texts(odd_docs, F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(0, 0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("table", ["small_docs", "odd_docs"])
+def test_bigrams_seen_once_count(spark, table, on_table, request):
+    docs = request.getfixturevalue(table)
+    held = lambda i: brute.in_fold(i, 7, 2)
+    whole = brute.order(brute.language_model(plain(docs), held, least=1))
+    got = brute.order(tuple(r)[:6] for r in on_table("op4_lm_scoring", docs, spark).collect())
+    assert [w[:4] for w in whole] == [g[:4] for g in got]
+    for w, g in zip(whole, got, strict=True):
+        assert g[4] == pytest.approx(w[4], rel=1e-9)
+        assert abs(g[5] - w[5]) <= 0.05 * w[1]  # probabilities are quantised
