@@ -14,6 +14,7 @@ from assayline.llm import (
     language_id,
     lm_scoring,
     mixing,
+    secret_scan,
     simhash,
     suffix_dedup,
     token_counts,
@@ -91,6 +92,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    return found.select(
+        "doc_id",
+        *[(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
@@ -102,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
+    "op13_secret_scan": op13_secret_scan,
 }
