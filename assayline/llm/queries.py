@@ -19,6 +19,7 @@ from assayline.llm import (
     suffix_dedup,
     token_counts,
     top_k,
+    whitening,
 )
 from assayline.llm.reference_sql import ORACLE_SQL as ORACLE_SQL
 
@@ -92,6 +93,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
+    "op12_whitening": op12_whitening,
     "op13_secret_scan": op13_secret_scan,
 }
