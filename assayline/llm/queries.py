@@ -16,6 +16,7 @@ from assayline.llm import (
     mixing,
     secret_scan,
     simhash,
+    spelling,
     suffix_dedup,
     token_counts,
     top_k,
@@ -93,6 +94,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
+    "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
     "op13_secret_scan": op13_secret_scan,
 }
