@@ -253,15 +253,16 @@ def build_level_2(
         with mapped(own.places) as files:
             total = Vocabulary(own, files).count_of(contexts)
         share = (counts - discount) / total[place]
-        # 256 values of equal shares of the bigrams.
-        levels = np.quantile(np.log10(share), (np.arange(256) + 0.5) / 256).astype(np.float32)
+        # 256 values in equal steps of the logarithm, so that no bigram is further off than half a step, however rare its share is.
+        logs = np.log10(share)
+        levels = np.linspace(logs.min(), logs.max(), 256).astype(np.float32)
         middle = (levels[1:] + levels[:-1]) / 2
         arrays = (
             named("contexts", encode(contexts))
             | named("pointers", encode(np.append(starts, len(keys))))
             | named("followers", encode(place * own.words + follower))
             | {"mass": np.add.reduceat(share, starts).astype(np.float32)}
-            | {"share": np.searchsorted(middle, np.log10(share)).astype(np.uint8), "levels": levels}
+            | {"share": np.searchsorted(middle, logs).astype(np.uint8), "levels": levels}
         )
         return pa.table({"shard": pa.array([shard], pa.int32()), "place": [save(folder, "pairs", arrays)]})
 

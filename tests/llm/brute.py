@@ -134,7 +134,7 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     return got
 
 
-def language_model(docs, held, discount=0.75, least=2):
+def language_model(docs, held, discount=0.75, least=1):
     """Scores of docs; held: whether an id is not learned from."""
     tokens = [[*words(t), b" "] for _, t in docs]
     count, pairs = Counter(), Counter()

@@ -40,8 +40,8 @@ def test_odd_texts(spark, odd_docs, no_docs, on_table):
     assert {r.lang_pred for r in on_table("op9_language_id", unlabelled, spark).collect()} == {"und"}
 
 
-def check_scores(df, docs, held, tolerance):
-    want = brute.order(brute.language_model(docs, held))
+def check_scores(df, docs, held, tolerance, least=1):
+    want = brute.order(brute.language_model(docs, held, least=least))
     got = brute.order((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in df.collect())
     assert [w[:4] for w in want] == [g[:4] for g in got]
     for w, g in zip(want, got, strict=True):
@@ -63,6 +63,12 @@ def test_small_files_and_split_contexts(spark, small_docs, monkeypatch):
     check_scores(lm_scoring.score_texts(docs, F.col("doc_id") % 4 != 1), plain(docs), lambda i: i % 4 == 1, 0.05)
 
 
+def test_rare_bigrams_left_out(spark, small_docs):
+    docs = small_docs.filter("doc_id < 60")
+    found = lm_scoring.score_texts(docs, F.col("doc_id") % 4 != 1, min_count=2)
+    check_scores(found, plain(docs), lambda i: i % 4 == 1, 0.05, least=2)
+
+
 def test_bigrams_help(spark, small_docs, on_table):
     rows = on_table("op4_lm_scoring", small_docs, spark).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
