@@ -135,8 +135,10 @@ def take(
 ) -> DataFrame:
     """The mix itself: every row of docs, with all its columns, as often as the mix takes it.
 
-    The rows taken once more are the first of their source in the order of the keys, so that each source has a last one; rows are
-    compared with it where they lie, and texts are not shuffled. Rows alike in key, id and size are taken equally often.
+    The rows taken once more are the first of their source in the order of the keys, so that each source has a last place; rows are
+    compared with it where they lie, and texts are not shuffled. If the cut falls between rows alike in key, id and size, only these
+    are numbered: equal ones are counted first, and different ones go by the hash of all their columns. So the mix has exactly the
+    words that `mix` counts. Columns must be comparable (no maps).
     """
     mixed = mix(
         docs,
@@ -150,15 +152,29 @@ def take(
         ranges=ranges,
     )
     place = F.struct("key", F.col(id_col).alias("id"), "size")
-    last = mixed.groupBy(F.col(source_col).alias("_source")).agg(
-        F.max("epochs").alias("_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("_last")
+    more = F.when(F.col("copies") > F.col("epochs"), place)
+    by_place = mixed.groupBy(F.col(source_col).alias("source"), place.alias("place")).agg(
+        F.max("epochs").alias("epochs"), F.max(more).alias("more"), F.count(more).alias("taken"), F.count("*").alias("tied")
+    )
+    last = by_place.groupBy("source").agg(
+        F.max("epochs").alias("epochs"), F.max(F.struct("more", "taken", "tied")).alias("last")
     )
     # A row per source; as a stored table its size is known to Spark, which broadcasts it only below its threshold.
-    last = stored(last, "cuts")
+    cuts = stored(last.select("source", "epochs", "last.*"), "cuts")
     own = F.struct(
         random_key(id_col, seed).alias("key"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")
     )
-    copies = F.col("_epochs") + F.coalesce((own <= F.col("_last")).cast("long"), F.lit(0))
-    met = docs.join(last, F.col(source_col).eqNullSafe(F.col("_source")))
-    met = met.withColumn("_copies", copies).filter("_copies > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"), F.col(source_col).alias("of"))
+    met = rows.join(cuts, F.col("of").eqNullSafe(F.col("source")))
+    split = (F.col("own") == F.col("more")) & (F.col("taken") < F.col("tied"))
+    split = F.coalesce(split, F.lit(False))
+    copies = F.col("epochs") + F.coalesce((F.col("own") <= F.col("more")).cast("long"), F.lit(0).cast("long"))
+    copied = met.filter(~split).select("row", copies.alias("copies"))
+    if not cuts.filter("taken < tied").isEmpty():
+        alike = met.filter(split).groupBy("source", "epochs", "taken", "row").agg(F.count("*").alias("rows"))
+        before = W.partitionBy("source").orderBy(F.xxhash64("row"), "row").rowsBetween(W.unboundedPreceding, -1)
+        rest = F.col("taken") - F.coalesce(F.sum("rows").over(before), F.lit(0))
+        once_more = F.greatest(F.least("rows", rest), F.lit(0).cast("long"))
+        copied = copied.union(alike.select("row", (F.col("rows") * F.col("epochs") + once_more).alias("copies")))
+    taken = copied.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select("row.*")

@@ -64,6 +64,31 @@ def test_the_mix_itself(spark, small_docs, odd_docs):
         assert mixing.take(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("ids", ["one", "none", "each"])
+def test_alike_at_the_cut(spark, ids):
+    """Rows that tie with the last one taken: the mix has the words that are counted for it, not those of all of them."""
+    ident = {"one": F.lit(7), "none": F.lit(None), "each": F.col("id")}[ids].cast("long")
+    rows = spark.range(60).select(
+        ident.alias("doc_id"),
+        F.concat(F.repeat(F.lit("word "), 69), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("last")).alias("text"),
+        F.when(F.col("id") < 25, "a").otherwise("b").alias("source"),
+        F.lit("x").alias("row"),
+        F.lit("y").alias("copies"),
+        F.lit("z").alias("epochs"),
+    )
+    for seed in "abcd":
+        mixed = mixing.mix(rows, weights=(2, 3), seed=seed)
+        counted = {r.source: (r.n, r.target) for r in mixed.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target")).collect()}
+        got = mixing.take(rows, weights=(2, 3), seed=seed)
+        assert got.columns == rows.columns
+        words = {r.source: r.n for r in got.groupBy("source").agg((F.count("*") * 70).alias("n")).collect()}
+        assert words == {s: n for s, (n, _) in counted.items()}
+        assert all(abs(n - target) <= 35 for n, target in counted.values())
+        most = got.groupBy("source", "text").count().join(rows.groupBy("source", "text").agg(F.count("*").alias("rows")), ["source", "text"])
+        assert most.filter(F.col("count") > 2 * F.col("rows")).isEmpty()
+        assert brute.order(map(tuple, got.collect())) == brute.order(map(tuple, mixing.take(rows.repartition(5), weights=(2, 3), seed=seed).collect()))
+
+
 def best(rows, k):
     """Plain top-k of (id, vector) rows."""
     out = []

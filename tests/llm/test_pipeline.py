@@ -19,15 +19,17 @@ def language_stage(docs, model):
     out = []
     for i, text, lang, source, _ in docs:
         (name,), (score,) = language_id.score_texts([text], model, letters) if model else (["und"], [0.0])
-        if name != "und" and score >= 0.5:
+        if name != "und":
             out.append((i, text, lang or name, source))
     return out
 
 
 def simhash_stage(docs):
-    ids = Counter(brute.groups([(i, t) for i, t, *_ in docs]))
-    stay = {i for i, _, least in ids if i == least}
-    return [d for d in docs if d[0] in stay]
+    """Of each group one row: that of the least id, one of those without id only if there are no others."""
+    numbers = [(i is None, 0 if i is None else i, n) for n, (i, *_) in enumerate(docs)]
+    groups = brute.groups(list(zip(numbers, [d[1] for d in docs], strict=True)))
+    stay = {least[2] for _, _, least in groups}
+    return [d for n, d in enumerate(docs) if n in stay]
 
 
 def suffix_stage(docs):
@@ -82,6 +84,31 @@ def test_stages_match_plain_versions(spark, table, tmp_path, request):
     assert Counter((r.doc_id, r.lang, r.source, tuple(r.ids), r.text) for r in found) == plain_run(rows, model)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Copies without id, repeated rows, two texts under one id, a near copy."""
+    text = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"other{i}" for i in range(300))
+    rows = [(None, text)] * 5 + [(None, other), (1, text), (1, text), (1, text), (2, other), (2, text + " end"), (3, "alone here")]
+    rows += [(None, "no id at all")] * 3 + [(None, None), (None, ""), (4, "alone here too")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert kept.columns == COLUMNS
+    ids = Counter((r.doc_id, r.text) for r in kept.collect())
+    empty = [k for k in ids if not k[1]]
+    assert len(empty) == 1 and ids.pop(empty[0]) == 1
+    assert ids == Counter([(1, text), (2, other), (3, "alone here"), (None, "no id at all"), (4, "alone here too")])
+
+
+def test_short_texts_stay(spark, small_docs):
+    """Of texts cut to a few words none goes that has letters."""
+    from pyspark.sql import functions as F
+
+    short = small_docs.withColumn("text", F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 1 + F.col("doc_id") % 3)))
+    kept = pipeline.identify_language(spark, short.unionByName(small_docs.withColumn("doc_id", -1 - F.col("doc_id"))), SMALL)
+    letters = short.filter(F.col("text").rlike(r"\p{L}"))
+    assert kept.filter("doc_id >= 0").count() == letters.count() > 100
+
+
 def test_run_is_registered(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "source_mixing", "byte_bpe"]
     assert entry_point.queries()["pipeline"] is pipeline.run

@@ -73,4 +73,4 @@ def test_wide_rows_merge_as_narrow_ones(monkeypatch):
 
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
