@@ -15,6 +15,7 @@ from assayline.functions.nulls import percent
 from assayline.operators.cleaning import instruments, model_family
 from assayline.operators.lookups import attach, attach_instrument
 from assayline.operators.code_rates import CODE, placed_tally
+from assayline.operators.ordering import first_value
 
 # Names of the first code slots, as fixed values; later slots are named by their number.
 SLOTS = "abcdefghi"
@@ -27,16 +28,15 @@ def _family(master: DataFrame) -> DataFrame:
 
 
 def descriptions(error_type: DataFrame, supplier_id: int = 1000) -> DataFrame:
-    """One description per code of a supplier (the first in alphabetical order if there are several)."""
+    """One description per code of a supplier: of several the first in the file if the table has positions, else in alphabetical
+    order."""
     own = error_type.filter(F.col("supplier_id") == supplier_id)
-    return own.groupBy(F.col("error_type_id").alias(CODE)).agg(
-        F.min("error_type_description").alias("error_type_description")
-    )
+    return own.groupBy(F.col("error_type_id").alias(CODE)).agg(first_value(own, "error_type_description"))
 
 
 def site_names(site: DataFrame) -> DataFrame:
-    """One name per site."""
-    return site.groupBy("supplier_site_id").agg(F.min("supplier_site_name").alias("supplier_site_name"))
+    """One name per site, chosen like descriptions."""
+    return site.groupBy("supplier_site_id").agg(first_value(site, "supplier_site_name"))
 
 
 def _described(df: DataFrame, error_type: DataFrame, supplier_id: int, counted: bool = True) -> DataFrame:

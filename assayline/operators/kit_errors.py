@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from assayline.functions.nulls import sum_na
 from assayline.operators.cleaning import instruments, split_record_id
 from assayline.operators.lookups import attach, attach_instrument
+from assayline.operators.ordering import first_value
+from assayline.sources.lab_csv import POSITION
 
 KIT_MODEL = "m2000rt"
 # The four control errors that make up most kit errors, as fixed values.
@@ -68,14 +70,22 @@ def kit_error_totals(
     kit_codes: DataFrame,
     model: str = KIT_MODEL,
 ) -> DataFrame:
-    """Total errors and category per kit code, largest first; the total is missing if one count is."""
+    """Total errors and category per kit code, largest first; the total is missing if one count is.
+
+    Of several categories of a code the first in the file counts if the list has positions, else in alphabetical order.
+    """
     log = kit_error_log(activity, master, site, country, kit_codes, model)
-    return (
-        log.groupBy("error_type_id")
-        .agg(F.min("category_message").alias("error_category"), sum_na("error_count").alias("total_errors"))
-        .select("error_category", F.col("error_type_id").alias("error_code"), "total_errors")
-        .orderBy(F.desc_nulls_last("total_errors"), "error_code")
+    totals = log.groupBy("error_type_id").agg(
+        F.min("category_message").alias("category_message"), sum_na("error_count").alias("total_errors")
+    )
+    if POSITION in kit_codes.columns:
+        code = F.col("error_code").cast("double").alias("error_type_id")
+        first = kit_codes.groupBy(code).agg(first_value(kit_codes, "category_message"))
+        totals = attach(totals.drop("category_message"), first, "error_type_id", small=False)
+    shown = totals.select(
+        F.col("category_message").alias("error_category"), F.col("error_type_id").alias("error_code"), "total_errors"
     )
+    return shown.orderBy(F.desc_nulls_last("total_errors"), "error_code")
 
 
 def plate_status(

@@ -23,6 +23,7 @@ LEVELS = {
     "my_country_site": ("test_month_year", "country_code", "supplier_site_name"),
 }
 _FACT_KEYS = ("month", "country_code", "instrument_id")
+MARK_COLUMNS = (*_FACT_KEYS, "plate_id", "hit", "error_type_id")
 
 
 def error_details(
@@ -149,11 +150,12 @@ def total_at(total: DataFrame, level: str) -> DataFrame:
     return total.groupBy(*LEVELS[level]).agg(sum_skip("plates").alias("plates"))
 
 
-def _marked_counts(activity: DataFrame, test_type: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Plates per month, country and instrument (``hit`` false), and those among them per code (``hit`` true).
+def plate_marks(activity: DataFrame, test_type: DataFrame, groups: Sequence[str] = VIRAL_LOAD_AND_EID) -> DataFrame:
+    """The different plates per month, country and instrument (``hit`` false), and those with an error per code (``hit`` true).
 
     Numerators and denominators come from one pass: each well gives one row for its plate and, if it
     has an error, a second one for its plate and code; one distinct then serves both counts.
+    Operators that count plates take these marks in place of the activity, for instance those of a kept state (``plate_state``).
     """
     plain = F.struct(F.lit(False).alias("hit"), F.lit(None).cast("double").alias("error_type_id"))
     coded = F.struct(F.lit(True).alias("hit"), F.col("error_type_id").cast("double").alias("error_type_id"))
@@ -162,11 +164,15 @@ def _marked_counts(activity: DataFrame, test_type: DataFrame, groups: Sequence[s
         _wells(activity, test_type, groups)
         .select(*_FACT_KEYS, "plate_id", F.inline(marks))
         .distinct()
-        .groupBy(*_FACT_KEYS, "hit", "error_type_id")
-        .agg(F.count(F.lit(1)).alias("plates"))
     )
 
 
+def _marked_counts(activity: DataFrame, test_type: DataFrame | None, groups: Sequence[str]) -> DataFrame:
+    """Marks per month, country, instrument and code. ``activity`` may be marks, whose test types are then given."""
+    marks = activity if set(MARK_COLUMNS) <= set(activity.columns) else plate_marks(activity, test_type, groups)
+    return marks.groupBy(*_FACT_KEYS, "hit", "error_type_id").agg(F.count(F.lit(1)).alias("plates"))
+
+
 def _shares(rolled: DataFrame, keys: Sequence[str], shown: Sequence[str]) -> DataFrame:
     """Affected plates, all plates and percentage per code, from summed marked counts ``n``."""
     # The window runs over the rolled-up rows: one per code and level key.
@@ -187,12 +193,12 @@ def _shares(rolled: DataFrame, keys: Sequence[str], shown: Sequence[str]) -> Dat
 def percent_plates(
     activity: DataFrame,
     master: DataFrame,
-    test_type: DataFrame,
+    test_type: DataFrame | None,
     site: DataFrame,
     level: str = "my_country",
     groups: Sequence[str] = VIRAL_LOAD_AND_EID,
 ) -> DataFrame:
-    """Percentage of the plates of a level that each code affects."""
+    """Percentage of the plates of a level that each code affects, from the activity or from plate marks (without test types)."""
     keys = LEVELS[level]
     named = _named(_marked_counts(activity, test_type, groups), master, site)
     rolled = named.groupBy(*keys, "hit", "error_type_id").agg(F.sum("plates").alias("n"))
@@ -202,7 +208,7 @@ def percent_plates(
 def percent_plates_levels(
     activity: DataFrame,
     master: DataFrame,
-    test_type: DataFrame,
+    test_type: DataFrame | None,
     site: DataFrame,
     groups: Sequence[str] = VIRAL_LOAD_AND_EID,
 ) -> DataFrame:

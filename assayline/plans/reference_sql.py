@@ -104,6 +104,8 @@ _SHARED = {
       unnest(range(greatest(15, coalesce(len(string_split(error_code_list, ',')), 0)))) slot from roche_caps r) r""",
     "family_slots": "select * from code_slots where contains(instrument_model, '00')",
     "monthly": _monthly_rate("family_slots"),
+    "cuts": """select distinct cut from (select unnest(quantile_disc(tot_patient_test, [i / 8 for i in range(1, 8)])) + 1 cut from test)
+      where cut > (select min(tot_patient_test) from test)""",
     "site_monthly": f"""select c.*, t.tests, c.n * 100 / t.tests percent from
       (select country_code, supplier_site_id, "month", error_code_list, count(*) n from family_slots
        where error_code_list is not null group by all) c
@@ -280,6 +282,12 @@ def _error_country(extra: str) -> str:
 _BODIES = {
     "read_lab_csv": "select * from test",
     "read_lab_folder": "select * from test",
+    "read_lab_columns": "select * from test",
+    "read_lab_set": "select * from test",
+    "first_in_file": "select * from test qualify row_number() over (partition by instrument_id order by test_id desc) = 1",
+    "scan_ranges": """select part, count(*) "rows", min(tot_patient_test) least, max(tot_patient_test) greatest
+      from (select tot_patient_test, cast(case when tot_patient_test is null then (select count(*) + 1 from cuts)
+        else (select count(*) from cuts where cut <= tot_patient_test) end as int) part from test) group by part""",
     "blank_to_null": "select * from site",
     "write_table_csv": "select "
     + ", ".join(f"coalesce(cast({c} as varchar), 'NA') {c}" for c in lv.TEST)
@@ -312,6 +320,7 @@ _BODIES = {
     "percent_plates_levels": " union all by name ".join(
         f"select '{level}' as level, * from ({_plates_at(keys)['percent_plates']})" for level, keys in reversed(_LEVELS.items())
     ),
+    "plate_state_shares": _plates_at(_LEVELS["my_country"])["percent_plates"],
     "tests_per_date": "select test_date, count(*) n from test where supplier_id = 1000 group by all",
     "countries_sites": """select country_code, supplier_site_id,
       cast(count(distinct instrument_id) + max(case when instrument_id is null then 1 else 0 end) as bigint) instruments,
@@ -326,6 +335,7 @@ _BODIES = {
     "top_codes_country_series": _top5_series("country_code", ""),
     "codes_nearest_month": 'select country_code, supplier_site_id, instrument_model, test_date, error_code_list, "month" from family_slots',
     "monthly_code_rate": "select * from monthly",
+    "tally_state_rates": "select * from monthly",
     "monthly_code_rate_15": _monthly_rate("(select * from family_slots where slot < 15)"),
     "monthly_code_rate_per_test": "select * replace (tests // 15 as tests, n * 100 / (tests // 15) as error_percent) from monthly",
     "site_monthly_code_rate": "select * from site_monthly",

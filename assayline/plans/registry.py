@@ -17,14 +17,17 @@ from assayline.operators import (
     error_rates,
     instrument_summary,
     kit_errors,
+    ordering,
+    plate_state,
     plates,
     site_match,
+    tally_state,
     test_summary,
 )
 from assayline.plans.lab_views import ODD_TEXTS, LabViews, columns
 from assayline.schemas import SCHEMAS
 from assayline.session import shared_folder
-from assayline.sources import lab_csv
+from assayline.sources import key_ranges, lab_csv
 
 # Parameter values on the test data, as fixed values.
 AS_OF = dt.date(2001, 8, 1)
@@ -77,6 +80,45 @@ def _csv_round_trip(v: LabViews) -> DataFrame:
     return lab_csv.read_csv(v.spark, path, SCHEMAS["error_type"], line_breaks=True)
 
 
+def _read_lab_columns(v: LabViews) -> DataFrame:
+    """One table in files of three column orders, one of them with a column more."""
+    folder = _new_path(v.spark, "export")
+    names = SCHEMAS["test"].names
+    orders = (names, sorted(names), [*reversed(names), "note"])
+    for i, order in enumerate(orders):
+        part = v.test().filter(F.col("test_id") % len(orders) == i).withColumn("note", F.lit("x")).select(*order)
+        lab_csv.write_table(part, f"{folder}/test.csv/part{i}.csv")
+    return lab_csv.read_lab_csv(v.spark, folder, "test")
+
+
+def _read_lab_set(v: LabViews) -> DataFrame:
+    """A published set; the next one is whole but not published, and one more table is only half written."""
+    folder = _new_path(v.spark, "export")
+    lab_csv.write_lab_folder(v.spark, {"test": v.test(), "country": v.country()}, folder, "20220724")
+    lab_csv.write_table(v.test().limit(0), f"{folder}/test_20220801.csv")
+    v.site().write.option("header", True).csv(f"{folder}/site_20220901.csv/half")
+    return lab_csv.read_lab_folder(v.spark, folder)["test"]
+
+
+def _first_in_file(v: LabViews) -> DataFrame:
+    """The first test of every instrument in files in which the tests stand by falling id."""
+    folder = _new_path(v.spark, "export")
+    falling = v.test().repartitionByRange(4, F.desc("test_id")).sortWithinPartitions(F.desc("test_id"))
+    lab_csv.write_table(falling, f"{folder}/test.csv")
+    return ordering.keep_first(lab_csv.read_lab_csv(v.spark, folder, "test", position=True), ["instrument_id"]).drop(lab_csv.POSITION)
+
+
+def _scan_ranges(v: LabViews) -> DataFrame:
+    """Rows of each part of a split scan, by the ranges that the quantiles of its key give."""
+    parts, key = 8, "tot_patient_test"
+    places = [i / parts for i in range(parts + 1)]
+    bounds = v.test().agg(F.percentile_approx(key, places, F.lit(1_000_000_000))).first()[0]
+    conditions = key_ranges.predicates(key, key_ranges.cuts(key_ranges.Distribution(tuple(bounds)), parts))
+    part = F.coalesce(*[F.when(F.expr(c), F.lit(i)) for i, c in enumerate(conditions)]).alias("part")
+    found = [F.count("*").alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest")]
+    return v.test().groupBy(part).agg(*found)
+
+
 def _site_error_files(v: LabViews) -> DataFrame:
     path = _new_path(v.spark, "errors_site")
     lab_csv.write_site_errors(_site_code_rate(v), path)
@@ -116,6 +158,18 @@ def _plate_levels() -> dict[str, Query]:
     return found
 
 
+def _plate_state_shares(v: LabViews) -> DataFrame:
+    """Shares from a kept state: two exports that overlap, the second one merged twice."""
+    folder = _new_path(v.spark, "plates")
+    activity, master, test_type, site = _plate_tables(v)
+    early = activity.filter(F.col("test_date").isNull() | (F.col("test_date") < F.lit("1999-06-15").cast("date")))
+    late = activity.filter(F.col("test_date") >= F.lit("1999-06-01").cast("date"))
+    for export in (early, late, late):
+        plate_state.merge_plates(export, test_type, folder)
+    plate_state.compact(v.spark, folder)
+    return plates.percent_plates(plate_state.read_marks(v.spark, folder), master, None, site)
+
+
 # Codes per test
 
 
@@ -127,6 +181,20 @@ def _monthly(v: LabViews) -> DataFrame:
     return code_rates.monthly_code_rate(*_roche(v))
 
 
+def _tally_state_rates(v: LabViews) -> DataFrame:
+    """Rates from a kept state: records with wrong codes and months are replaced, records too many are removed, some come late."""
+    folder = _new_path(v.spark, "tally")
+    activity, master = _roche(v)
+    key = F.col("record_key")
+    wrong = activity.filter(key % 3 == 0).withColumns({code_rates.CODE: F.lit("1,2"), "test_date": F.add_months("test_date", 1)})
+    many = activity.filter(key % 5 == 0).withColumn("record_key", -key - 1)
+    tally_state.merge_records(activity.filter(key % 3 == 1).unionByName(wrong).unionByName(many), folder, batch="first")
+    tally_state.merge_records(activity.filter(key % 3 == 0), folder, removed=many.select("record_key"), batch="second")
+    tally_state.merge_records(activity.filter(key % 3 == 2), folder, batch="late")
+    tally_state.merge_records(activity.filter(key % 3 == 2), folder, batch="late")
+    return code_rates.monthly_code_rate(tally_state.read_tally(v.spark, folder), master)
+
+
 def _recent(v: LabViews) -> DataFrame:
     return code_rates.recent_sites(code_rates.site_monthly_code_rate(*_roche(v)), MONTH_CUT, EXCLUDED_COUNTRY)
 
@@ -209,6 +277,10 @@ def _geo(v: LabViews) -> tuple[DataFrame, DataFrame]:
 QUERIES: dict[str, Query] = {
     "read_lab_csv": _on(_read_lab_csv),
     "read_lab_folder": _on(_read_lab_folder),
+    "read_lab_columns": _on(_read_lab_columns),
+    "read_lab_set": _on(_read_lab_set),
+    "first_in_file": _on(_first_in_file),
+    "scan_ranges": _on(_scan_ranges),
     "blank_to_null": _on(_blank_to_null),
     "write_table_csv": _on(_write_table_csv),
     "csv_round_trip": _on(_csv_round_trip),
@@ -230,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "total_plates": _on(_total),
     **_plate_levels(),
     "percent_plates_levels": _on(lambda v: plates.percent_plates_levels(*_plate_tables(v))),
+    "plate_state_shares": _on(_plate_state_shares),
     "tests_per_date": _on(lambda v: code_rates.tests_per_date(v.test())),
     "countries_sites": _on(lambda v: code_rates.countries_sites(*_roche(v))),
     "error_codes_long": _on(lambda v: code_rates.error_codes_long(*_roche(v))),
@@ -243,6 +316,7 @@ QUERIES: dict[str, Query] = {
     "monthly_code_rate": _on(_monthly),
     "monthly_code_rate_15": _on(lambda v: code_rates.monthly_code_rate(*_roche(v), max_codes=15)),
     "monthly_code_rate_per_test": _on(lambda v: code_rates.monthly_code_rate(*_roche(v), denominator="tests")),
+    "tally_state_rates": _on(_tally_state_rates),
     "site_monthly_code_rate": _on(lambda v: code_rates.site_monthly_code_rate(*_roche(v))),
     "site_code_rate": _on(_site_code_rate),
     "top_errors_country": _on(lambda v: code_rates.top_errors_country(_monthly(v), EXCLUDED_COUNTRY)),

@@ -1,12 +1,12 @@
-"""CSV in and out, and the options of database scans (there is no database to scan)."""
+"""CSV in and out."""
 
-import functools
+import gzip
 import pathlib
 
 import pytest
 
 from assayline.schemas import SCHEMAS
-from assayline.sources import jdbc, lab_csv
+from assayline.sources import lab_csv
 
 
 def test_columns_are_found_by_name(spark, tmp_path):
@@ -35,6 +35,7 @@ def test_newest_export_wins(spark, tmp_path):
     (tmp_path / "notes.csv").write_text("a\n1\n")
     (tmp_path / "site_20220724.csv").mkdir()
     (tmp_path / "site_20220724.csv" / "part-0.csv").write_text(",".join(SCHEMAS["site"].names) + "\n1,N,C1,T,5,V\n")
+    (tmp_path / "site_20220724.csv" / "_SUCCESS").touch()
     found = lab_csv.newest_exports(spark, str(tmp_path))
     assert {t: pathlib.PurePath(p).name for t, p in found.items()} == {
         "country": "country_20220724.csv",
@@ -73,103 +74,6 @@ def test_site_files_hold_one_file_each(spark, rows, tmp_path):
     assert files[0].read_text().splitlines() == ["error_code_list,n,tests,percent", "b,2,10,20.0", "a,1,10,10.0"]
 
 
-def test_database_options():
-    scan = jdbc.scan_options("jdbc:x", "lab", "test", {"user": "u"})
-    assert scan == {"url": "jdbc:x", "dbtable": "lab.test", "fetchsize": "10000", "user": "u"}
-    assert jdbc.range_options("test_id", 5, 104, 32) == {
-        "partitionColumn": "test_id",
-        "lowerBound": "5",
-        "upperBound": "105",
-        "numPartitions": "32",
-    }
-    assert jdbc.range_options("test_id", 5, 6, 32)["numPartitions"] == "2"
-    query = jdbc.catalog_query(["lab", "o'x"])
-    assert query.endswith("WHERE table_schema IN ('lab', 'o''x')")
-
-
-class StandInDatabase:
-    """Answers the scans and queries that the source sends, and notes their options."""
-
-    def __init__(self, tables, catalog, keys):
-        self.tables, self.catalog, self.keys, self.asked = tables, catalog, keys, []
-
-    @property
-    def read(self):
-        return _StandInReader(self)
-
-    def answer(self, options):
-        self.asked.append(options)
-        if "information_schema.columns" in options.get("query", ""):
-            return self.keys
-        if "query" not in options:
-            return self.tables[options["dbtable"]]
-        if "information_schema" in options["query"]:
-            return self.catalog
-        table = self.tables[options["query"].rsplit(" ", 1)[1]]
-        return table.selectExpr("min(id) low", "max(id) high")
-
-
-class _StandInReader:
-    def __init__(self, database):
-        self.database, self.chosen = database, {}
-
-    def format(self, name):
-        assert name == "jdbc"
-        return self
-
-    def options(self, **more):
-        self.chosen.update(more)
-        return self
-
-    def load(self):
-        return self.database.answer(self.chosen)
-
-    def jdbc(self, url, table, predicates, properties):
-        """Rows by their first predicate that holds; the predicates are Spark SQL as well."""
-        scanned = self.database.answer({"dbtable": table, "predicates": predicates, **properties})
-        parts = [scanned.filter(p) for p in predicates]
-        assert sum(p.count() for p in parts) == scanned.count()
-        return functools.reduce(lambda a, b: a.union(b), parts)
-
-
-KEYS = "column_name string, place int, ordinal_position int"
-
-
-def test_database_scan_is_split_and_blanks_are_missing(rows):
-    tables = {"lab.site": rows("id bigint, city string", (3, ""), (40, "x")), "lab.empty": rows("id bigint, city string")}
-    database = StandInDatabase(tables, None, rows(KEYS))
-    got = jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "site", "id", 8)
-    assert [tuple(r) for r in got.collect()] == [(3, None), (40, "x")]
-    scan = database.asked[-1]
-    assert (scan["partitionColumn"], scan["lowerBound"], scan["upperBound"], scan["numPartitions"]) == ("id", "3", "41", "8")
-    assert jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "empty", "id").count() == 0
-    assert "partitionColumn" not in database.asked[-1]
-
-
-def test_scans_without_a_key_are_split_by_remainders(rows):
-    table = rows("name string, id bigint, other int", ("a", 3, 1), ("b", None, 2), ("", -40, 3), ("d", 41, None))
-    keys = rows(KEYS, ("other", 1, 3), ("id", 0, 2))
-    database = StandInDatabase({"lab.site": table}, None, keys)
-    got = jdbc.read_lab_jdbc(database, "jdbc:x", "lab", "site", partitions=5, properties={"user": "u"})
-    assert sorted(tuple(r) for r in got.collect() if r[0]) == [("a", 3, 1), ("b", None, 2), ("d", 41, None)]
-    scan = database.asked[-1]
-    assert scan["predicates"][0] == "MOD(ABS(id), 5) = 0 OR id IS NULL" and len(scan["predicates"]) == 5
-    assert (scan["user"], scan["fetchsize"]) == ("u", "10000")
-    none = StandInDatabase({"lab.site": table}, None, rows(KEYS))
-    assert jdbc.read_lab_jdbc(none, "jdbc:x", "lab", "site").count() == 4
-    assert "predicates" not in none.asked[-1]
-    assert "c.table_name = 'o''x'" in jdbc.key_query("lab", "o'x")
-
-
-def test_exported_catalog_keeps_schemas_apart(spark, rows, tmp_path):
-    tables = {"lab.site": rows("id bigint", (1,)), "stage.site": rows("id bigint", (2,))}
-    catalog = rows("table_schema string, table_name string", ("stage", "site"), ("lab", "site"))
-    keys = rows(KEYS, ("id", 1, 1))
-    paths = jdbc.export_catalog(StandInDatabase(tables, catalog, keys), "jdbc:x", ["lab", "stage"], str(tmp_path))
-    assert paths == [f"{tmp_path}/lab/site.csv", f"{tmp_path}/stage/site.csv"]
-    assert [spark.read.option("header", True).csv(p).first()["id"] for p in paths] == ["1", "2"]
-
-
 @pytest.mark.parametrize("table", sorted(SCHEMAS))
 def test_views_have_the_fixed_columns(spark, table):
     from assayline.plans.lab_views import LabViews
@@ -187,12 +91,95 @@ def test_values_that_do_not_fit_are_counted(spark, tmp_path):
     assert [(r.instrument_id, r.supplier_site_id, r.lost) for r in got] == [(1, None, 1), (None, 7, 0), (None, None, 1)]
 
 
-def test_files_of_another_column_order_are_refused(spark, tmp_path):
+@pytest.mark.parametrize("line_breaks", [False, True])
+def test_files_of_several_column_orders_are_one_table(spark, tmp_path, line_breaks):
+    folder = tmp_path / "m.csv"
+    (folder / "more").mkdir(parents=True)
+    (folder / "part-0.csv").write_text(HEAD + "1,m,2\n3,n,4\n")
+    (folder / "part-1.csv").write_text("instrument_model,instrument_id,supplier_site_id\nm,5,6\n")
+    (folder / "part-2.csv").write_text('"supplier_site_id",note,"instrument_model",,instrument_id\n8,x,"a, ""b""",0,7\n')
+    (folder / "more" / "part-3.csv").write_text("\ufeffinstrument_id,instrument_model\n9,q\nten,q\n")
+    (folder / "part-4.csv").write_text("")
+    (folder / "_note").write_text("no data")
+    with gzip.open(folder / "part-5.csv.gz", "wt") as packed:
+        packed.write("instrument_model,supplier_site_id,instrument_id\np,12,11\n")
+    schema = SCHEMAS["instrument_master"]
+    got = lab_csv.read_csv(spark, str(folder), schema, line_breaks=line_breaks, misfits="lost")
+    assert {tuple(r) for r in got.collect()} == {
+        (1, "m", 2, 0), (3, "n", 4, 0), (5, "m", 6, 0), (7, 'a, "b"', 8, 0), (9, "q", None, 0), (None, "q", None, 1), (11, "p", 12, 0)
+    }
+    assert len(lab_csv.files_by_header(spark, str(folder))) == 5
+    assert lab_csv.read_csv(spark, f"{folder}/part-*.csv", schema).count() == 4
+
+
+def test_files_with_one_header_are_one_scan(spark, tmp_path):
     (tmp_path / "m.csv").mkdir()
-    (tmp_path / "m.csv" / "part-0.csv").write_text(HEAD + "1,m,2\n")
-    (tmp_path / "m.csv" / "part-1.csv").write_text("instrument_model,instrument_id,supplier_site_id\nm,1,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"]).collect()
+    for i in range(20):
+        (tmp_path / "m.csv" / f"part-{i}.csv").write_text(HEAD + f"{i},m,2\n")
+    got = lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "Union" not in plan
+    assert sorted(r.instrument_id for r in got.collect()) == list(range(20))
+
+
+def test_a_column_that_no_file_has_is_refused(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("instrument_id,model,supplier_site_id\n1,m,2\n")
+    with pytest.raises(ValueError, match="instrument_model"):
+        lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"])
+    (tmp_path / "n.csv").write_text("instrument_id,instrument_id\n1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        lab_csv.read_csv(spark, str(tmp_path / "n.csv"), SCHEMAS["instrument_master"])
+    with pytest.raises(FileNotFoundError):
+        lab_csv.read_csv(spark, str(tmp_path / "none.csv"), SCHEMAS["instrument_master"])
+
+
+def test_only_empty_files(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("")
+    got = lab_csv.read_csv(spark, str(tmp_path / "m.csv"), SCHEMAS["instrument_master"], misfits="lost")
+    assert got.columns == [*SCHEMAS["instrument_master"].names, "lost"] and got.count() == 0
+
+
+def test_a_folder_without_its_marker_is_skipped(spark, tmp_path):
+    head = "country_code,country_name\n"
+    for stamp, name, whole in (("20210101", "Old", True), ("20220101", "Whole", True), ("20230101", "Half", False)):
+        folder = tmp_path / f"country_{stamp}.csv"
+        folder.mkdir()
+        (folder / "part-0.csv").write_text(head + f"C1,{name}\n")
+        if whole:
+            (folder / "_SUCCESS").touch()
+    assert lab_csv.read_lab_folder(spark, str(tmp_path))["country"].first()["country_name"] == "Whole"
+    assert lab_csv.read_lab_folder(spark, str(tmp_path), whole_only=False)["country"].first()["country_name"] == "Half"
+    (tmp_path / "site_20230101.csv" / "_temporary").mkdir(parents=True)
+    assert "site" not in lab_csv.newest_exports(spark, str(tmp_path))
+
+
+def test_a_failed_write_leaves_the_old_export(spark, rows, tmp_path):
+    path = str(tmp_path / "out.csv")
+    lab_csv.write_table(rows("a bigint", (1,)), path)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        lab_csv.write_table(spark.range(9).selectExpr("1 div (id - 5) as a"), path)
+    assert [r.a for r in spark.read.option("header", True).csv(path).collect()] == ["1"]
+    lab_csv.write_table(rows("a bigint", (2,)), path)
+    assert [r.a for r in spark.read.option("header", True).csv(path).collect()] == ["2"]
+    # An export may be rewritten from itself.
+    lab_csv.write_table(spark.read.option("header", True).csv(path).selectExpr("a + 1 as a"), path)
+    assert [r.a for r in spark.read.option("header", True).csv(path).collect()] == ["3"]
+
+
+def test_a_set_is_published_at_one_moment(spark, rows, tmp_path):
+    folder = str(tmp_path)
+    old = {"country": rows("country_code string, country_name string", ("C1", "Old"))}
+    new = {"country": rows("country_code string, country_name string", ("C1", "New"))}
+    lab_csv.write_lab_folder(spark, old, folder, "220101")
+    assert lab_csv.read_lab_folder(spark, folder)["country"].first()["country_name"] == "Old"
+    # Half of the next set: its table is whole, but the set is not published.
+    lab_csv.write_table(new["country"], f"{folder}/country_20220201.csv")
+    assert lab_csv.read_lab_folder(spark, folder)["country"].first()["country_name"] == "Old"
+    with pytest.raises(ValueError, match="not complete"):
+        lab_csv.publish_set(spark, folder, "20220201", {"country": f"{folder}/country_20220201.csv", "site": f"{folder}/site.csv"})
+    assert set(lab_csv.newest_set(spark, folder)) == {"country"}
+    lab_csv.publish_set(spark, folder, "20220201", {"country": f"{folder}/country_20220201.csv"})
+    assert lab_csv.read_lab_folder(spark, folder)["country"].first()["country_name"] == "New"
 
 
 def test_stamps_of_two_widths(spark, tmp_path):
