@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.pretokens import CLASS_MARKS, Splitter
+from assayline.llm.storage import Memo, bound_batches, release_memory
 
 NO_RANK = np.int32(2**31 - 1)
-MEMO_ENTRIES = 400_000
+#: Room for the remembered pre-tokens and for the remembered words of a task, and the longest that are remembered.
+MEMO_ROOM = 16 << 20
 MEMO_BYTES = 128
 MATRIX_CELLS = 1 << 19
 #: From this width on a row is shifted by itself, which touches only the places behind its merge.
@@ -161,8 +163,8 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces = Memo(MEMO_ROOM)
+        self.words = Memo(MEMO_ROOM)
 
     def ids_of(self, split: list[list[str]]) -> list[bytes]:
         """Ids, as the bytes of an int32 array, of lists of pre-tokens; those not met before are merged together."""
@@ -172,9 +174,7 @@ class Codec:
         new = wanted - have.keys()
         known = {p: np.int32(self.ranks[p]).tobytes() for p in new if p in self.ranks}
         known |= merge_pieces([p for p in new if p not in known], self.byte_ids, self.pairs)
-        if len(self.pieces) + len(known) > MEMO_ENTRIES:
-            self.pieces = {}
-        self.pieces |= {p: ids for p, ids in known.items() if len(p) <= MEMO_BYTES}
+        self.pieces.remember({p: ids for p, ids in known.items() if len(p) <= MEMO_BYTES})
         have |= known
         return [b"".join(map(have.__getitem__, pieces)) for pieces in raw]
 
@@ -186,9 +186,7 @@ class Codec:
         new = list(wanted - have.keys())
         ids = self.ids_of([self.split(" " + w) for w in new] + [self.split(words[0]) for words in cut])
         known = dict(zip(new, ids[: len(new)], strict=True))
-        if len(self.words) + len(known) > MEMO_ENTRIES:
-            self.words = {}
-        self.words |= {w: x for w, x in known.items() if len(w) <= MEMO_BYTES}
+        self.words.remember({w: x for w, x in known.items() if len(w) <= MEMO_BYTES})
         have |= known
         return [
             np.frombuffer(b"".join([first, *map(have.__getitem__, words[1:])]), np.int32)
@@ -229,6 +227,7 @@ def encode_decode(
     Returns id_col, the columns to carry, ids array<int> and decoded binary, a row per row of docs: repeated rows and null ids are
     kept, a null or empty text has no ids and decodes to no bytes, other columns are left out, an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     codec = _sent_codec(docs, ranks_path, pattern)
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -238,6 +237,7 @@ def encode_decode(
     schema = rows.select("id", "carried", F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("decoded")).schema
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         own = codec()
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -250,6 +250,8 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id")[part], batch.column("carried")[part], lists, decoded], names=["id", "carried", "ids", "decoded"]
                 )
+        del own
+        release_memory()
 
     return rows.mapInArrow(coded, schema).select(
         F.col("id").alias(id_col), *[F.col("carried")[c].alias(c) for c in carry], "ids", "decoded"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from assayline.session import shared_folder
@@ -31,3 +33,33 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     of its own. Holds for the session."""
     if spark.conf.get(BATCH_KEY).rstrip("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH_KEY, str(size))
+
+
+def release_memory() -> None:
+    """Gives what this process no longer uses back to the system: Spark keeps Python workers for later tasks, and their allocators
+    would keep the largest amount any of them needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, which has no such call
+        return
+
+
+class Memo(dict):
+    """Remembered results, by bytes: when the room is used up, all are forgotten."""
+
+    ENTRY_BYTES = 150
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.used = room, 0
+
+    def remember(self, known: dict) -> None:
+        size = sum(len(k) + len(v) for k, v in known.items()) + self.ENTRY_BYTES * len(known)
+        if self.used + size > self.room:
+            self.clear()
+            self.used = 0
+        if size <= self.room:
+            self.update(known)
+            self.used += size
