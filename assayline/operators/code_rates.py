@@ -273,20 +273,23 @@ def country_error_series(monthly: DataFrame, excluded_country: str) -> DataFrame
 
 
 def error_country_series(monthly: DataFrame, excluded_country: str, after: str | None = None) -> DataFrame:
-    """Monthly rates over all models of a country, for the codes that are on top in any country."""
+    """Monthly rates over all models of a country, for the codes that are on top in any country.
+
+    With ``after`` the top codes still need all months: the monthly rates are computed once, into the shared folder, and the later
+    months are read from there.
+    """
+    if after is not None:
+        monthly = stored(monthly, "monthly")
     kept = monthly.filter(F.col("country_code") != excluded_country)
     top = top_errors_country(monthly, excluded_country)
+    if after is not None:
+        kept = kept.filter(F.col("month") > F.lit(after).cast("date"))
     summed = (
         keep_listed(kept, top, CODE)
         .groupBy("country_code", "month", CODE)
-        .agg(sum_skip("n").alias("n"), sum_skip("tests").alias("tests"), F.max("month").alias("_last"))
+        .agg(sum_skip("n").alias("n"), sum_skip("tests").alias("tests"))
         .withColumn("error_percent", percent("n", "tests"))
     )
-    if after is not None:
-        # On an aggregate, so that it stays above the tally: the top codes need all months, and with equal
-        # tallies on both sides Spark reads the activity table once.
-        summed = summed.filter(F.col("_last") > F.lit(after).cast("date"))
-    summed = summed.drop("_last")
     return _with_bar(summed)
 
 

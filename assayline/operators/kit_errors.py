@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.functions.nulls import sum_na
@@ -88,6 +88,13 @@ def kit_error_totals(
     return shown.orderBy(F.desc_nulls_last("total_errors"), "error_code")
 
 
+def kit_error_bars(totals: DataFrame) -> DataFrame:
+    """The rows of the bar chart of ``kit_error_totals``: ``display_rank`` is a bar's place from below, the largest total on top;
+    a missing total stands above all. A row per listed code goes through the window."""
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("total_errors"), "error_code"))
+    return totals.withColumn("display_rank", place.cast("bigint"))
+
+
 def plate_status(
     activity: DataFrame,
     master: DataFrame,

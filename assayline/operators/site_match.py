@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +14,13 @@ from assayline.operators.lookups import attach, is_small, keep_listed
 # Countries from which suppliers send data, as fixed values.
 SUPPLIER_COUNTRIES = ("Eswatini", "Kenya", "Nigeria", "Uganda", "Zambia", "Zimbabwe", "Mozambique")
 
-# The search grid: the cube around the unit sphere is cut along each axis by 8, then six times by 4,
-# down to cells of some 400 m. The sphere meets about 300 cells of the first level, 5,000 of the second
-# and 77,000 of the third, however many labs there are.
-STEPS = (3, 2, 2, 2, 2, 2, 2)
-DEPTH = sum(STEPS)
-BOUNDED_LEVELS = 3
+# Labs are put in an order in which neighbours on the ground mostly follow each other: that of cells of some 12 m, which
+# the cube around the unit sphere is cut into, with the axes' bits taken in turn. Quantiles cut the order into RANGES, a leaf
+# is LEAF labs that follow each other, and a node is FAN leaves or nodes: so cells are small where labs are dense.
+GRID_BITS = 20
+RANGES = 64
+LEAF = 32
+FAN = 32
 # Rounding allowance for straight-line distances on the unit sphere (some micrometres on the ground).
 SLACK = 1e-12
 
@@ -64,13 +65,7 @@ def active_sites(sites: DataFrame, active: DataFrame) -> DataFrame:
 
 
 _AXES = ("x", "y", "z")
-_CELL = ("cx", "cy", "cz")
-_PARENT = ("px", "py", "pz")
-
-
-def _grid(v: Column) -> Column:
-    cells = 1 << DEPTH
-    return F.least(F.floor((v + 1.0) * (cells / 2)), F.lit(cells - 1)).cast("int")
+_BOX = ("one", *[f"{f}_{a}" for a in _AXES for f in ("min", "max")])
 
 
 def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -78,37 +73,65 @@ def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.withColumns(dict(zip(_AXES, vector)))
 
 
-def _parents(bits: int) -> list[Column]:
-    """The cell one level up, which is ``bits`` coarser."""
-    return [F.shiftright(c, bits).alias(p) for p, c in zip(_PARENT, _CELL)]
+def _every_third(number: Column) -> Column:
+    """The bits of a number, two free places after each: halves are moved apart, then their halves, and so on."""
+    out = number.cast("long")
+    for width in (32, 16, 8, 4, 2):
+        kept = sum(1 << (3 * width // 2 * (bit // (width // 2)) + bit % (width // 2)) for bit in range(GRID_BITS + 1))
+        out = (out.bitwiseOR(F.shiftleft(out, width))).bitwiseAND(F.lit(kept))
+    return out
+
+
+def _cell() -> Column:
+    """Number of a point's cell."""
+    cells = 1 << GRID_BITS
+    axes = [F.least(F.floor((F.col(a) + 1.0) * (cells / 2)), F.lit(cells - 1)) for a in _AXES]
+    spread = [F.shiftleft(_every_third(n), i) for i, n in enumerate(axes)]
+    return spread[0].bitwiseOR(spread[1]).bitwiseOR(spread[2])
+
+
+def _leaves(places: DataFrame) -> DataFrame:
+    """Leaves of labs: range, no (in the range), the labs, and the box around them with one of them."""
+    celled = places.withColumn("cell", _cell())
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = celled.agg(F.percentile_approx("cell", steps, F.lit(100 * RANGES))).scalar()
+    ranged = celled.withColumn("cuts", F.coalesce(cuts, F.array().cast("array<bigint>")))
+    ranged = ranged.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("cell")))).drop("cuts")
+    row = F.row_number().over(Window.partitionBy("range").orderBy("cell", "latitude", "longitude")) - 1
+    numbered = ranged.withColumn("no", F.floor(row / LEAF).cast("long"))
+    labs = F.collect_list(F.struct("latitude", "longitude", "lab.id", "lab.name")).alias("inside")
+    bounds = [f(a).alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
+    return numbered.groupBy("range", "no").agg(labs, F.min(F.struct(*_AXES)).alias("one"), *bounds)
 
 
-def _boxes(points: DataFrame) -> list[DataFrame]:
-    """Per level, from coarse to fine: the cells that hold a lab, their parent cell, the box around their labs, and one of
-    the labs."""
-    bounds = [f(a).alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
-    merged = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
-    merged.append(F.min("one").alias("one"))
-    level = points.groupBy(*_CELL).agg(*bounds, F.min(F.struct(*_AXES)).alias("one"))
-    levels = []
-    for bits in reversed(STEPS):
-        levels.insert(0, level.select("*", *_parents(bits)))
-        level = levels[0].groupBy(*[F.col(p).alias(c) for p, c in zip(_PARENT, _CELL)]).agg(*merged)
-    return levels
+def _nodes(below: DataFrame) -> DataFrame:
+    """Nodes of at most FAN leaves or nodes, which they hold as ``inside``."""
+    up = below.withColumn("up", F.floor(F.col("no") / FAN).cast("long"))
+    held = F.collect_list(F.struct("range", "no", *_BOX)).alias("inside")
+    bounds = [f(f"{f.__name__}_{a}").alias(f"{f.__name__}_{a}") for a in _AXES for f in (F.min, F.max)]
+    return up.groupBy("range", "up").agg(held, F.min("one").alias("one"), *bounds).withColumnRenamed("up", "no")
 
 
 def _length(parts: list[Column]) -> Column:
     return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
 
 
-def _near(box: Callable[[str], Column]) -> Column:
+def _near(box: Column) -> Column:
     """Smallest possible distance from a site to the labs in a box."""
-    return _length([F.greatest(box(f"min_{a}") - F.col(a), F.col(a) - box(f"max_{a}"), F.lit(0.0)) for a in _AXES])
+    return _length([F.greatest(box[f"min_{a}"] - F.col(a), F.col(a) - box[f"max_{a}"], F.lit(0.0)) for a in _AXES])
 
 
-def _to_one(box: Callable[[str], Column]) -> Column:
+def _to_one(box: Column) -> Column:
     """Distance from a site to the one lab known of a box, which the nearest lab cannot exceed."""
-    return _length([F.col(a) - box("one")[a] for a in _AXES])
+    return _length([F.col(a) - box["one"][a] for a in _AXES])
+
+
+def _descended(frontier: DataFrame, boxes: Column, carried: Sequence[str]) -> DataFrame:
+    """The boxes that may still hold the nearest lab of a site, a row each: range and no."""
+    nearest = F.least(F.col("reach"), F.array_min(F.transform(boxes, _to_one)))
+    met = frontier.select(*carried, boxes.alias("boxes"), nearest.alias("reach"))
+    kept = F.filter("boxes", lambda b: _near(b) <= F.col("reach") + SLACK)
+    return met.select(*carried, "reach", F.explode(kept).alias("b")).select(*carried, "reach", "b.range", "b.no")
 
 
 def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
@@ -116,13 +139,13 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
 
     Among labs at the same distance the lowest id wins; a site without coordinates gets NULLs.
 
-    The search is exact and never compares all sites with all labs. Labs at one place count as one
-    (the lowest id), sites at one place are searched once. A site descends a grid of cells: at each
-    level it keeps the cells whose nearest possible lab is not farther than the nearest lab known so
-    far, one of each cell it has met, and only labs in the cells left at the end are measured. The few boxes of the
-    first level are one value, filtered for each site; further levels are joined by cell. Distances are bounded
-    along the straight line through the sphere, where longitudes do not wrap and poles are no
-    special case.
+    The search is exact and never compares all sites with all labs. Labs at one place count as one (the lowest id), sites at one
+    place are searched once. Labs are held in a tree of boxes by their own density: leaves of LEAF labs, nodes of FAN leaves or nodes
+    (``_leaves``). A site starts from the uppermost boxes, one for some 32,000 labs, which are one value; at each of the further
+    levels it meets the node it came to, as one row, and goes on to those of its boxes whose nearest possible lab is not farther
+    than the nearest lab known so far, one of each box it has seen. So a join brings a row per site and node, and dense places have
+    no more of them than others. Distances are bounded along the straight line through the sphere, where longitudes do not wrap and
+    poles are no special case.
     """
     small = is_small(labs)
     places = (
@@ -130,43 +153,39 @@ def nearest_lab(sites: DataFrame, labs: DataFrame) -> DataFrame:
         .groupBy("latitude", "longitude")
         .agg(F.min(F.struct("id", "name")).alias("lab"))
     )
-    points = _on_sphere(places, "latitude", "longitude")
-    points = points.select("*", *[_grid(F.col(a)).alias(c) for c, a in zip(_CELL, _AXES)])
+    leaves = _leaves(_on_sphere(places, "latitude", "longitude"))
+    lower = _nodes(leaves)
+    upper = _nodes(lower)
+    top = upper.agg(F.collect_list(F.struct("range", "no", *_BOX))).scalar()
 
-    # The place as text is an exact key by which rows stay partitioned through all levels.
+    # The place as text is an exact key by which the results of a place's rows meet.
     placed = sites.withColumn("_place", F.concat("candidate_lat", F.lit(" "), "candidate_lon"))
     searched = placed.filter(F.col("_place").isNotNull()).groupBy("_place").agg(
         F.first("candidate_lat").alias("lat"), F.first("candidate_lon").alias("lon")
     )
-    frontier = _on_sphere(searched, "lat", "lon")
     carried = ["_place", "lat", "lon", *_AXES]
-    first, *finer = _boxes(points)
-    all_boxes = first.agg(F.collect_list(F.struct(*[c for c in first.columns if c not in _PARENT]))).scalar()
-    frontier = frontier.withColumn("boxes", all_boxes)
-    reach = F.array_min(F.transform("boxes", lambda b: _to_one(lambda n: b[n])))
-    frontier = frontier.withColumn("reach", reach)
-    kept = F.filter("boxes", lambda b: _near(lambda n: b[n]) <= F.col("reach") + SLACK)
-    frontier = frontier.select(*carried, "reach", F.explode(kept).alias("b"))
-    frontier = frontier.select(*carried, "reach", *[F.col("b")[c].alias(p) for p, c in zip(_PARENT, _CELL)])
-
-    for level, children in enumerate(finer, start=2):
-        if small or level <= BOUNDED_LEVELS:
-            children = F.broadcast(children)
-        known = F.min(_to_one(F.col)).over(Window.partitionBy("_place"))
-        met = frontier.join(children, list(_PARENT)).select(
-            *carried,
-            *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)],
-            _near(F.col).alias("near"),
-            F.least("reach", known).alias("reach"),
-        )
-        frontier = met.filter(F.col("near") <= F.col("reach") + SLACK).drop("near")
-
-    leaves = points.select("latitude", "longitude", "lab", *[F.col(c).alias(p) for p, c in zip(_PARENT, _CELL)])
-    metres = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
+    start = _on_sphere(searched, "lat", "lon").withColumns({"reach": F.lit(float("inf")), "all": top})
+    frontier = _descended(start, F.col("all"), carried)
+    for level in (upper, lower):
+        held = level.select("range", "no", "inside")
+        frontier = _descended(frontier.join(F.broadcast(held) if small else held, ["range", "no"]), F.col("inside"), carried)
+
+    held = leaves.select("range", "no", "inside")
+    measured = F.transform(
+        "inside",
+        lambda lab: F.struct(
+            geo.haversine_m(F.col("lat"), F.col("lon"), lab["latitude"], lab["longitude"]).alias("metres"),
+            lab["id"].alias("id"),
+            lab["name"].alias("name"),
+            lab["latitude"].alias("latitude"),
+            lab["longitude"].alias("longitude"),
+        ),
+    )
     best = (
-        frontier.join(F.broadcast(leaves) if small else leaves, list(_PARENT))
+        frontier.join(F.broadcast(held) if small else held, ["range", "no"])
+        .select("_place", F.array_min(measured).alias("best"))
         .groupBy("_place")
-        .agg(F.min(F.struct(metres.alias("metres"), "lab.id", "lab.name", "latitude", "longitude")).alias("best"))
+        .agg(F.min("best").alias("best"))
     )
     return attach(placed, best, "_place", small=False).select(
         *sites.columns,

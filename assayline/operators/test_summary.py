@@ -16,7 +16,7 @@ from assayline.functions import labels
 from assayline.functions.nulls import blank_to_null, n_unique, ratio
 from assayline.operators.cleaning import instruments
 from assayline.operators.lookups import attach, attach_instrument
-from assayline.storage import stored
+from assayline.operators.wide import CELLS, cells, is_gathered
 
 MISSING_TYPE = "NA"
 MEASURES = ("tot_patient_test", "tot_patient_error")
@@ -106,46 +106,44 @@ def _placed_sums(
     return typed.withColumn("test_type", F.coalesce("test_type", F.lit(MISSING_TYPE)))
 
 
-def _total(measure: str, test_type: str) -> Column:
-    """Sum of a measure over one test type; missing if a value is, or if there is no such test."""
+def _total(measure: str, test_type: str | None) -> Column:
+    """Sum of a measure over one test type (None: over the group); missing if a value is, or if there is no such test."""
 
     def own(column: str) -> Column:
-        return F.sum(F.when(F.col("test_type") == test_type, F.col(column)))
+        return F.sum(F.col(column) if test_type is None else F.when(F.col("test_type") == test_type, F.col(column)))
 
     return F.when(own("rows") == own(f"{measure}_present"), own(measure))
 
 
-def _country_table(placed: DataFrame, cell: Callable[[str], Column], columns: Sequence[str] | None) -> DataFrame:
+def _country_table(placed: DataFrame, cell: Callable[[str | None], Column], columns: Sequence[str] | None) -> DataFrame:
     """One row per country: a column per test type, then the numbers of sites and instruments.
 
-    Everything comes from one grouping of the sums, so the fact is read once.
+    Everything comes from one grouping of the sums, so the fact is read once. Without ``columns`` the types stay with the rows until
+    ``wide.spread`` makes them columns; no job runs before.
     """
-    if columns is None:
-        placed = stored(placed, "placed-sums")
-    types = names_seen(placed, "test_type") if columns is None else columns
-    return placed.groupBy(F.col("country_name").alias("Country")).agg(
-        *[cell(t).alias(t) for t in types],
-        n_unique("supplier_site_id").alias("Total sites"),
-        n_unique("instrument_id").alias("Total instruments"),
+    sites = n_unique("supplier_site_id").alias("Total sites")
+    instruments_ = n_unique("instrument_id").alias("Total instruments")
+    if columns is not None:
+        country = F.col("country_name").alias("Country")
+        return placed.groupBy(country).agg(*[cell(t).alias(t) for t in columns], sites, instruments_)
+    country, kind = F.col("country_name"), F.col("test_type")
+    both = placed.groupingSets([[country, kind], [country]], country, kind).agg(
+        cell(None).alias("cell"), sites, instruments_, F.grouping("test_type").alias("whole")
     )
-
-
-def names_seen(df: DataFrame, names: str) -> list[str]:
-    """The values of a column that is to give the columns of a report, in alphabetical order."""
-    return [row[0] for row in df.select(names).distinct().orderBy(names).collect()]
+    whole = [F.max(F.when(F.col("whole") == 1, F.col(f"`{n}`"))).alias(n) for n in ("Total sites", "Total instruments")]
+    return both.groupBy(country.alias("Country")).agg(cells(F.when(F.col("whole") == 0, kind), F.col("cell")), *whole)
 
 
 def widen(df: DataFrame, key: Sequence[str], names: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One column per value of ``names``; rows without a name go to column ``NA``.
 
-    ``columns`` fixes the columns and their order; otherwise the names seen become the columns, in
-    alphabetical order: the counted rows are stored first, so that the fact is read once.
+    ``columns`` fixes the columns and their order; otherwise the names stay with the rows until ``wide.spread`` makes those seen
+    columns, in alphabetical order.
     """
     labelled = df.withColumn(names, F.coalesce(names, F.lit(MISSING_TYPE)))
     if columns is None:
-        labelled = stored(labelled, "counts")
-    shown = names_seen(labelled, names) if columns is None else list(columns)
-    return labelled.groupBy(*key).pivot(names, shown).agg(F.first(value))
+        return labelled.groupBy(*key).agg(cells(F.col(names), F.col(value)))
+    return labelled.groupBy(*key).pivot(names, list(columns)).agg(F.first(value))
 
 
 def test_table(
@@ -192,13 +190,17 @@ def _plain(c: Column) -> Column:
 
 def format_report(df: DataFrame, kind: str = "number", columns: Sequence[str] | None = None) -> DataFrame:
     """The table as text: ``columns`` (default: all numeric ones) as short numbers, percentages or as they are
-    (``plain``), a dash for missing."""
+    (``plain``), a dash for missing. Of a table whose names are still with the rows only their values are shown as percentages."""
     shown = {"number": labels.number_text, "percent": labels.percent_text, "plain": _plain}[kind]
     numeric = [n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
+    if columns is None and kind == "percent" and is_gathered(df):
+        numeric = []
     chosen = set(numeric if columns is None else columns)
 
     def cell(name: str) -> Column:
         c = F.col(f"`{name}`")
+        if name == CELLS:
+            return F.transform_values(c, lambda _, v: shown(v))
         return shown(c) if name in chosen else _plain(c)
 
     return df.select(*[cell(n).alias(n) for n in df.columns])

@@ -371,6 +371,9 @@ _BODIES = {
     "kit_error_log": "select * from kit_log",
     "kit_error_totals": f"""select min(category_message) error_category, error_type_id error_code, {_sum_na('error_count')} total_errors
       from kit_log group by error_type_id""",
+    "kit_error_bars": f"""select *, row_number() over (order by total_errors nulls last, error_code) display_rank
+      from (select min(category_message) error_category, error_type_id error_code, {_sum_na('error_count')} total_errors
+        from kit_log group by error_type_id)""",
     "plate_status": "select * from plate_state",
     "plate_status_by_country": """select country_name, count(*) filter (where control_errors = 'affected') affected,
       count(*) filter (where control_errors = 'non-affected') "non-affected" from plate_state
@@ -381,6 +384,8 @@ _BODIES = {
     "test_sample_table": _SAMPLE,
     "test_error_table": _ERRORS,
     "test_perc_table": _SHARE,
+    "test_perc_table_seen": _SHARE,
+    "instruments_country_seen": _quarter_counts("country_name, instrument_model"),
     "report_period": "select min(test_date) first_test_date, max(test_date) last_test_date from df_tests",
     "display_table": "select coalesce(\"Country\", '—') \"Country\", "
     + ", ".join(_short_number(c) for c in (*_TYPES, "Total sites", "Total instruments"))

@@ -23,6 +23,7 @@ from assayline.operators import (
     site_match,
     tally_state,
     test_summary,
+    wide,
 )
 from assayline.plans.lab_views import ODD_TEXTS, LabViews, columns
 from assayline.schemas import SCHEMAS
@@ -336,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "error_rate_month": _on(lambda v: error_rates.error_rate_month(*_roche(v), v.error_type())),
     "kit_error_log": _on(lambda v: kit_errors.kit_error_log(*_kit(v), v.kit_error_codes())),
     "kit_error_totals": _on(lambda v: kit_errors.kit_error_totals(*_kit(v), v.kit_error_codes())),
+    "kit_error_bars": _on(lambda v: kit_errors.kit_error_bars(kit_errors.kit_error_totals(*_kit(v), v.kit_error_codes()))),
     "plate_status": _on(_status),
     "plate_status_by_country": _on(lambda v: kit_errors.plate_status_by_country(_status(v))),
     "tests_last_year": _on(lambda v: test_summary.tests_last_year(*_tests(v))),
@@ -346,6 +348,10 @@ QUERIES: dict[str, Query] = {
     "test_sample_table": _on(lambda v: _test_table(v, "tot_patient_test")),
     "test_error_table": _on(lambda v: _test_table(v, "tot_patient_error")),
     "test_perc_table": _on(_share_table),
+    "test_perc_table_seen": _on(lambda v: wide.spread(test_summary.error_share_table(*_tests(v)))),
+    "instruments_country_seen": _on(
+        lambda v: wide.spread(instrument_summary.instrument_counts(*_instruments(v), by_country=True))
+    ),
     "report_period": _on(lambda v: test_summary.report_period(v.test(), AS_OF)),
     "display_table": _on(lambda v: test_summary.format_report(_test_table(v, "tot_patient_test"))),
     "display_table_percent": _on(lambda v: test_summary.format_report(_share_table(v), "percent", TEST_TYPES)),

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions import dates
+from assayline.functions import dates, labels
 from assayline.operators import (
     code_rates,
     error_rates,
@@ -21,6 +21,7 @@ from assayline.operators import (
     plates,
     site_match,
     test_summary,
+    wide,
 )
 from assayline.sources.lab_csv import write_site_errors, write_table
 from assayline.storage import stored
@@ -94,12 +95,10 @@ def kit_reports(t: Tables) -> Reports:
 def summary_reports(t: Tables, as_of: dt.date) -> Reports:
     """The country tables of the last twelve months, as shown text."""
     tables = t["test"], t["instrument_master"], t["site"], t["test_type"], t["country"], as_of
-    share = test_summary.error_share_table(*tables)
-    types = share.columns[1:-2]
     return {
-        "test_sample_table": test_summary.format_report(test_summary.test_table(*tables, "tot_patient_test", types)),
-        "test_errors_table": test_summary.format_report(test_summary.test_table(*tables, "tot_patient_error", types)),
-        "test_perc_error_table": test_summary.format_report(share, "percent", types),
+        "test_sample_table": test_summary.format_report(test_summary.test_table(*tables, "tot_patient_test")),
+        "test_errors_table": test_summary.format_report(test_summary.test_table(*tables, "tot_patient_error")),
+        "test_perc_error_table": test_summary.format_report(test_summary.error_share_table(*tables), "percent"),
         "report_period": test_summary.report_period(t["test"], as_of),
     }
 
@@ -116,19 +115,23 @@ def instrument_reports(t: Tables, after: dt.date = dt.date(2021, 7, 1)) -> Repor
 
 
 def site_reports(t: Tables, countries: tuple[str, ...] = site_match.SUPPLIER_COUNTRIES) -> Reports:
-    """Search texts for the places of all sites, and the nearest registered lab of each active one."""
+    """Search texts for the places of all sites, and the nearest registered lab of each active one; with the replies of a place search
+    (``place_replies``) also their candidates."""
     sites = site_match.active_sites(t["supplier_geo"], t["active_locations"])
-    return {
+    found = {
         "site_queries": site_match.geocode_queries(t["site"], t["country"]),
         "site_matches": site_match.nearest_lab(sites, site_match.labs_in(t["datim_lab_sites"], countries)),
     }
+    if "place_replies" in t:
+        found["site_candidates"] = site_match.flatten_candidates(t["place_replies"])
+    return found
 
 
 def write_reports(reports: Reports, folder: str) -> None:
-    """Write each report to ``<folder>/<name>.csv``."""
+    """Write each report to ``<folder>/<name>.csv``; names that come with the data become columns here."""
     for name, df in reports.items():
         path = f"{folder}/{name}.csv"
         if name == PER_SITE:
             write_site_errors(df, path)
         else:
-            write_table(df, path, PER_KEY.get(name))
+            write_table(wide.spread(df, F.lit(labels.MISSING)), path, PER_KEY.get(name))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.operators import code_rates, error_rates, kit_errors, plates, site_match, test_summary
+from assayline.operators import code_rates, error_rates, kit_errors, plates, site_match, test_summary, wide
 from assayline.plans.lab_views import LabViews
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -238,7 +238,7 @@ def summary_tables(rows):
 
 
 def test_summary_tables(summary_tables):
-    tests = test_summary.test_table(*summary_tables, "tot_patient_test")
+    tests = wide.spread(test_summary.test_table(*summary_tables, "tot_patient_test"))
     assert tests.columns == ["Country", "EID", "NA", "VL", "Total sites", "Total instruments"]
     assert values(tests) == [("Land", None, None, 40, 1, 2), (None, None, 0, None, 1, 1)]
     share = test_summary.error_share_table(*summary_tables, ["VL", "NA"])
@@ -248,6 +248,38 @@ def test_summary_tables(summary_tables):
     assert test_summary.tests_last_year(*summary_tables).count() == 5
 
 
+def test_names_become_columns_at_the_sink(spark, summary_tables):
+    """No job runs before; values, text and order are those of columns given beforehand."""
+    from assayline.functions import labels
+    from assayline.operators import instrument_summary
+
+    test, master, site, types, country, day = summary_tables
+    spark.sparkContext.setJobGroup("planning", "no job")
+    shares = test_summary.error_share_table(*summary_tables)
+    named = {
+        "tests": test_summary.format_report(test_summary.test_table(*summary_tables, "tot_patient_test")),
+        "share": test_summary.format_report(shares, "percent"),
+        "quarters": test_summary.format_report(instrument_summary.instrument_counts(test, master, site, country, day), "plain"),
+    }
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    columns = ["EID", "NA", "VL"]
+    given = {
+        "tests": test_summary.format_report(test_summary.test_table(*summary_tables, "tot_patient_test", columns)),
+        "share": test_summary.format_report(test_summary.error_share_table(*summary_tables, columns), "percent", columns),
+        "quarters": test_summary.format_report(
+            instrument_summary.instrument_counts(test, master, site, country, day, quarters=["2021 Q2"]), "plain"
+        ),
+    }
+    for name, df in named.items():
+        assert wide.is_gathered(df) and not wide.is_gathered(given[name])
+        shown = wide.spread(df, F.lit(labels.MISSING))
+        assert (shown.columns, values(shown)) == (given[name].columns, values(given[name]))
+    assert wide.spread(given["tests"]) is given["tests"]
+    none = test_summary.test_table(test.filter("false"), master, site, types, country, day)
+    assert wide.spread(none).columns == ["Country", "Total sites", "Total instruments"]
+
+
 # Sites
 
 
