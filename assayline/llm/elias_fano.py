@@ -7,18 +7,21 @@ any set of blocks is decoded alone. Values are counted from the first.
 
 from __future__ import annotations
 
-import os
+import json
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyarrow import fs
 
 BLOCK = 128
 BLOCKS_AT_ONCE = 4096
+#: Files that a task has open at a time, and where arrays begin in a file.
+OPEN_FILES = 64
+ALIGNED = 64
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -108,39 +111,74 @@ class Sequence:
         return out
 
 
+def _system(place: str) -> tuple[fs.FileSystem, str]:
+    if place.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + place.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
+
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
-    """Writes arrays as files of a new folder below a shared one, given as URI or path; its name. A task that runs twice leaves
-    two whole folders, of which the caller knows one."""
+    """Writes arrays as one new file in a shared folder, given as URI or path; its place. A task that runs twice leaves two whole
+    files, of which the caller knows one."""
     place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as own:
-        for key, array in arrays.items():
-            np.save(f"{own}/{key}.npy", array)
-        target, path = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
-        target.create_dir(path, recursive=True)
-        fs.copy_files(own, path, destination_filesystem=target)
+    header, at = {}, 0
+    for key, array in arrays.items():
+        header[key] = (array.dtype.str, array.shape, at)
+        at += -(-array.nbytes // ALIGNED) * ALIGNED
+    head = json.dumps(header).encode()
+    head += b" " * (-(len(head) + 8) % ALIGNED)
+    target, path = _system(place)
+    target.create_dir(path.rpartition("/")[0], recursive=True)
+    with target.open_output_stream(path) as out:
+        out.write(len(head).to_bytes(8, "little") + head)
+        for array in arrays.values():
+            out.write(np.ascontiguousarray(array).tobytes())
+            out.write(b"\0" * (-array.nbytes % ALIGNED))
     return place
 
 
-@contextmanager
-def mapped(places: list[str]) -> Iterator[list[dict[str, np.ndarray]]]:
-    """Memory-maps saved folders. Folders that are not on a mounted file system are copied to the task's own folder first."""
-    own = None
-    try:
-        found = []
-        for place in places:
-            target, path = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
-            if not isinstance(target, fs.LocalFileSystem):
-                own = own or tempfile.mkdtemp()
-                copy = f"{own}/{len(found)}"
-                os.makedirs(copy)
-                fs.copy_files(path, copy, source_filesystem=target)
-                path = copy
-            names = [x[:-4] for x in sorted(os.listdir(path)) if x.endswith(".npy")]
-            found.append({x: np.load(f"{path}/{x}.npy", mmap_mode="r") for x in names})
-        yield found
-    finally:
-        if own:
-            shutil.rmtree(own, ignore_errors=True)
+class Opened:
+    """Saved arrays by place, memory-mapped when asked for. At most `limit` files are open at a time, whatever their number: the one not
+    used for longest is closed. Files that are not on a mounted file system are copied to the task's own folder, once."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit = OPEN_FILES if limit is None else limit
+        self.held: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+        self.copies: dict[str, str] = {}
+        self.own: str | None = None
+
+    def __enter__(self) -> Opened:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.held.clear()
+        if self.own:
+            shutil.rmtree(self.own, ignore_errors=True)
+
+    def _path(self, place: str) -> str:
+        target, path = _system(place)
+        if isinstance(target, fs.LocalFileSystem):
+            return path
+        if place not in self.copies:
+            self.own = self.own or tempfile.mkdtemp()
+            self.copies[place] = f"{self.own}/{len(self.copies)}"
+            fs.copy_files(path, self.copies[place], source_filesystem=target)
+        return self.copies[place]
+
+    def get(self, place: str) -> dict[str, np.ndarray]:
+        if place in self.held:
+            self.held.move_to_end(place)
+            return self.held[place]
+        while len(self.held) >= self.limit:
+            self.held.popitem(last=False)
+        data = np.memmap(self._path(place), np.uint8, "r")
+        begin = 8 + int(data[:8].view("<i8")[0])
+        arrays = {}
+        for key, (kind, shape, at) in json.loads(data[8:begin].tobytes()).items():
+            size = int(np.prod(shape, dtype=np.int64)) * np.dtype(kind).itemsize
+            arrays[key] = np.asarray(data[begin + at : begin + at + size]).view(kind).reshape(shape)
+        self.held[place] = arrays
+        return arrays
 
 
 def named(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

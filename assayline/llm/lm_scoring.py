@@ -18,7 +18,6 @@ by its followers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.elias_fano import encode, mapped, named, save, sequence
-from assayline.llm.storage import stored
-from assayline.session import shared_folder
+from assayline.llm.elias_fano import Opened, encode, named, save, sequence
+from assayline.llm.storage import shared_uri, stored
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Stands for the end of a text; no word has a blank.
@@ -89,12 +87,13 @@ class Level1:
 
 
 class Vocabulary:
-    """Numbers and counts of words by hash, from mapped files."""
+    """Numbers and counts of words by hash, from mapped files, each opened when it is asked for."""
 
-    def __init__(self, level: Level1, files: list[dict[str, np.ndarray]]):
-        self.level = level
-        self.hashes = [sequence("hashes", f) for f in files]
-        self.counts = [f["counts"] for f in files]
+    def __init__(self, level: Level1, files: Opened):
+        self.level, self.files = level, files
+
+    def _file(self, number: int) -> dict[str, np.ndarray]:
+        return self.files.get(self.level.places[number])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each hash."""
@@ -104,11 +103,13 @@ class Vocabulary:
         file = np.searchsorted(self.level.least, wanted, "right") - 1
         for f in np.unique(file[file >= 0]):
             lo, hi = np.searchsorted(file, [f, f + 1])
-            for part, position, value in self.hashes[f].successors(wanted[lo:hi]):
+            arrays = self._file(f)
+            held = sequence("hashes", arrays)
+            for part, position, value in held.successors(wanted[lo:hi]):
                 to = order[lo:hi][part]
-                hit = (value == wanted[lo:hi][part]) & (position < self.hashes[f].length)
+                hit = (value == wanted[lo:hi][part]) & (position < held.length)
                 numbers[to[hit]] = self.level.before[f] + position[hit]
-                counts[to[hit]] = self.counts[f][position[hit]]
+                counts[to[hit]] = arrays["counts"][position[hit]]
         return numbers, counts
 
     def count_of(self, numbers: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ class Vocabulary:
         out = np.zeros(len(numbers), np.int64)
         for f in np.unique(file):
             lo, hi = np.searchsorted(file, [f, f + 1])
-            out[lo:hi] = self.counts[f][numbers[lo:hi] - self.level.before[f]]
+            out[lo:hi] = self._file(f)["counts"][numbers[lo:hi] - self.level.before[f]]
         return out
 
 
@@ -170,13 +171,15 @@ def shard_cuts(level: Level1, spark_rows: DataFrame) -> list[int]:
     """First keys (context number x words + follower number) of the shards of level 2, each of a like share of all tokens."""
     share = max(SHARD_TOKENS, level.tokens // MOST_SHARDS)
     words = level.words
+    if words * words >= 1 << 63:
+        raise ValueError(f"{words} different words: their pairs can't be numbered in 64 bits")
     sent = spark_rows.sparkSession.sparkContext.broadcast(level)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f in batch.column("id").to_pylist():
-                with mapped([sent.value.places[f]]) as (file,):
-                    counts, before = np.asarray(file["counts"]), int(sent.value.before[f])
+                with Opened() as files:
+                    counts, before = np.array(files.get(sent.value.places[f])["counts"]), int(sent.value.before[f])
                 whole = np.cumsum(counts) // share
                 at = np.flatnonzero(np.diff(whole, prepend=0))
                 cuts = []
@@ -210,7 +213,7 @@ def count_pairs(rows: DataFrame, level: Level1, cuts: list[int], min_count: int)
                 [pa.array(used, pa.int32()), pa.array(gaps, pa.binary()), pa.array(sizes, pa.binary())], names=["shard", "keys", "counts"]
             )
 
-        with mapped(own.places) as files:
+        with Opened() as files:
             vocabulary, words, numbers = Vocabulary(own, files), Words(), np.zeros(0, np.int64)
             for _, texts, learn in _parts(batches):
                 found, _ = _tokens([t for t, x in zip(texts, learn, strict=True) if x], words)
@@ -250,7 +253,7 @@ def build_level_2(
             return pa.table({"shard": pa.array([], pa.int32()), "place": pa.array([], pa.string())})
         context, follower = np.divmod(keys, own.words)
         contexts, starts, place = np.unique(context, return_index=True, return_inverse=True)
-        with mapped(own.places) as files:
+        with Opened() as files:
             total = Vocabulary(own, files).count_of(contexts)
         share = (counts - discount) / total[place]
         # 256 values in equal steps of the logarithm, so that no bigram is further off than half a step, however rare its share is.
@@ -313,14 +316,11 @@ def score_rows(rows: DataFrame, level: Level1, cuts: list[int], places: list[str
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bounds, names = sent.value
-        with ExitStack() as open_files:
-            vocabulary = Vocabulary(own, open_files.enter_context(mapped(own.places)))
+        with Opened() as word_files, Opened() as pair_files:
+            vocabulary = Vocabulary(own, word_files)
 
-            def shard_file(shard: int, have: dict[int, Followers] = {}) -> Followers:  # noqa: B006
-                if shard not in have:
-                    (arrays,) = open_files.enter_context(mapped([names[shard]]))
-                    have[shard] = Followers(arrays, own.words)
-                return have[shard]
+            def shard_file(shard: int) -> Followers:
+                return Followers(pair_files.get(names[shard]), own.words)
 
             words, numbers, counts = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for ids, texts, _ in _parts(batches):
@@ -403,7 +403,7 @@ def score_texts(
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")
     )
-    folder = shared_folder(docs.sparkSession)
+    folder = shared_uri(docs.sparkSession)
     level = build_level_1(stored(count_words(rows), "words"), folder)
     cuts = shard_cuts(level, docs)
     places = build_level_2(count_pairs(rows, level, cuts, min_count), level, cuts, folder, min_count, discount)

@@ -23,6 +23,21 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Schemes of file systems that tasks can open themselves.
+KNOWN_SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder as tasks open it without Spark: a folder without a scheme lies on Spark's default file system, so that it is
+    the one that Spark writes to; for a file system that tasks don't know, it is taken as mounted."""
+    folder = shared_folder(spark)
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return whole if whole.split(":")[0] in KNOWN_SCHEMES else folder
+
+
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's own bound, which a session has if it does not set another.
 BATCH_DEFAULT = 64 << 20

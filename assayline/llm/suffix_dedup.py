@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import ExitStack, contextmanager
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.elias_fano import encode, mapped, named, save, sequence
+from assayline.llm.elias_fano import Opened, encode, named, save, sequence
 from assayline.llm.induced_sort import sort_suffixes
-from assayline.llm.storage import bound_batches, stored
-from assayline.session import shared_folder
+from assayline.llm.storage import bound_batches, shared_uri, stored
 
 ANCHOR = 16
 #: Texts that are hashed together (fit a processor's cache), and texts that are looked up together.
@@ -150,9 +149,8 @@ def anchor_documents(rows: DataFrame, shards: int, length: int) -> DataFrame:
             begin = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
             stop = np.append(begin[1:], len(anchors)) - 1
             least, greatest, anchors = order[begin], order[stop], anchors[begin]
-            cuts = np.searchsorted(_shard_of(anchors, shards), np.arange(shards + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            parts = [slice(cuts[s], cuts[s + 1]) for s in used]
+            runs = list(_by_shard(_shard_of(anchors, shards)))
+            used, parts = [s for s, _, _ in runs], [slice(first, past) for _, first, past in runs]
             columns = [
                 pa.array([np.diff(anchors[x], prepend=np.uint64(0)).tobytes() for x in parts], pa.binary()),
                 pa.array([least[x].tobytes() for x in parts], pa.binary()),
@@ -193,32 +191,35 @@ def write_shared_anchors(found: DataFrame, folder: str) -> DataFrame:
 
 
 class _Files:
-    """The files of all shards by number, mapped when first asked for."""
+    """The files of all shards by number, of which few are open at a time."""
 
-    def __init__(self, places: dict[int, list[str]], stack: ExitStack):
-        self.places, self.stack, self.open = places, stack, {}
+    def __init__(self, places: dict[int, list[str]], opened: Opened):
+        self.places, self.opened = places, opened
 
     def get(self, shard: int) -> list[dict[str, np.ndarray]]:
-        if shard not in self.open:
-            self.open[shard] = self.stack.enter_context(mapped(self.places.get(shard, [])))
-        return self.open[shard]
+        return [self.opened.get(p) for p in self.places.get(shard, [])]
 
 
 @contextmanager
 def _files(places: dict[int, list[str]]) -> Iterator[_Files]:
-    with ExitStack() as stack:
-        yield _Files(places, stack)
+    with Opened() as opened:
+        yield _Files(places, opened)
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shard, first and past of the runs of rising shard numbers: only shards that occur."""
+    used, begins = np.unique(shard, return_index=True)
+    yield from zip(used.tolist(), begins.tolist(), [*begins[1:].tolist(), len(shard)], strict=True)
 
 
 def _known(anchors: np.ndarray, files: _Files, shards: int) -> np.ndarray:
     """Which of the anchors several documents have."""
     wanted, of = np.unique(anchors, return_inverse=True)
     out = np.zeros(len(wanted), bool)
-    cuts = np.searchsorted(_shard_of(wanted, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
+    for s, first, past in _by_shard(_shard_of(wanted, shards)):
         for arrays in files.get(s):
-            for part, _, value in _as_sequence(arrays).successors(wanted[cuts[s] : cuts[s + 1]]):
-                out[cuts[s] : cuts[s + 1]][part] = value == wanted[cuts[s] : cuts[s + 1]][part]
+            for part, _, value in _as_sequence(arrays).successors(wanted[first:past]):
+                out[first:past][part] = value == wanted[first:past][part]
     return out[of]
 
 
@@ -371,10 +372,9 @@ def _covered(
     marks = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], np.uint64)
     shard = _shard_of(segments.anchor[kept], shards)
     by = np.lexsort((marks, shard))
-    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
     froms, tos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        mine = by[cuts[s] : cuts[s + 1]]
+    for s, first, past in _by_shard(shard[by]):
+        mine = by[first:past]
         wanted, of = np.unique(marks[mine], return_inverse=True)
         for arrays in files.get(s):
             table, pointers = sequence("segments", arrays), sequence("pointers", arrays)
@@ -484,7 +484,7 @@ def remove_repeats(
     if not 2 * ANCHOR - 1 <= length <= 65_000:
         raise ValueError("length must be from 31 to 65,000")
     bound_batches(docs.sparkSession)
-    folder = shared_folder(docs.sparkSession)
+    folder = shared_uri(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
