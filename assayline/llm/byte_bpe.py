@@ -25,8 +25,9 @@ from assayline.llm.pretokens import CLASS_MARKS, Splitter
 from assayline.llm.storage import Memo, bound_batches, release_memory
 
 NO_RANK = np.int32(2**31 - 1)
-#: Room for the remembered pre-tokens and for the remembered words of a task, and the longest that are remembered.
-MEMO_ROOM = 16 << 20
+#: Room for the remembered words and for the remembered pre-tokens of a task, and the longest that are remembered.
+WORD_ROOM = 32 << 20
+PIECE_ROOM = 48 << 20
 MEMO_BYTES = 128
 MATRIX_CELLS = 1 << 19
 #: From this width on a row is shifted by itself, which touches only the places behind its merge.
@@ -163,14 +164,14 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pieces = Memo(MEMO_ROOM)
-        self.words = Memo(MEMO_ROOM)
+        self.pieces = Memo(PIECE_ROOM)
+        self.words = Memo(WORD_ROOM)
 
     def ids_of(self, split: list[list[str]]) -> list[bytes]:
         """Ids, as the bytes of an int32 array, of lists of pre-tokens; those not met before are merged together."""
         raw = [[p.encode() for p in pieces] for pieces in split]
         wanted = set(chain.from_iterable(raw))
-        have = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        have = self.pieces.known(wanted)
         new = wanted - have.keys()
         known = {p: np.int32(self.ranks[p]).tobytes() for p in new if p in self.ranks}
         known |= merge_pieces([p for p in new if p not in known], self.byte_ids, self.pairs)
@@ -182,7 +183,7 @@ class Codec:
         """Ids of each text. The first word of a text stands alone, the others follow a blank and are looked up by word."""
         cut = [self.split.words(t) for t in texts]
         wanted = set(chain.from_iterable(cut))
-        have = {w: self.words[w] for w in wanted if w in self.words}
+        have = self.words.known(wanted)
         new = list(wanted - have.keys())
         ids = self.ids_of([self.split(" " + w) for w in new] + [self.split(words[0]) for words in cut])
         known = dict(zip(new, ids[: len(new)], strict=True))

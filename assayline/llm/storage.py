@@ -61,20 +61,29 @@ def release_memory() -> None:
         return
 
 
-class Memo(dict):
-    """Remembered results, by bytes: when the room is used up, all are forgotten."""
+class Memo:
+    """Remembered results, by bytes. They are held in two generations: what is asked for moves to the young one, and when that has
+    used up half of the room, the old one is forgotten and the young one takes its place. So frequent keys stay."""
 
     ENTRY_BYTES = 150
 
     def __init__(self, room: int):
-        super().__init__()
-        self.room, self.used = room, 0
+        self.half, self.used = room // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def known(self, keys: set) -> dict:
+        """What is remembered of some keys."""
+        young, old = self.young, self.old
+        found = {k: young[k] for k in keys if k in young}
+        again = {k: old[k] for k in keys if k in old and k not in found} if old else {}
+        self.remember(again)
+        return found | again
 
     def remember(self, known: dict) -> None:
         size = sum(len(k) + len(v) for k, v in known.items()) + self.ENTRY_BYTES * len(known)
-        if self.used + size > self.room:
-            self.clear()
-            self.used = 0
-        if size <= self.room:
-            self.update(known)
+        if self.used + size > self.half:
+            self.young, self.old, self.used = {}, self.young, 0
+        if size <= self.half:
+            self.young.update(known)
             self.used += size
