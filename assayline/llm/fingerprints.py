@@ -6,12 +6,15 @@ sizes, and the sketch of several texts together is the union of theirs. A text w
 least hash instead; a union that has any hash below the fraction drops such stand-ins.
 
 The next document is found without a global order in one task: documents are dealt to ranges of their ids at approximate
-quantiles, ordered inside each range, and the first row of a range is sent as a guest to the end of the range before it. Texts are
-shuffled once.
+quantiles, ordered inside each range, and the first row of a range is sent as a guest to the end of the range before it. An id that
+holds several shares of the rows, the missing one included, is cut further, by the hash of the text, in whose order rows of one id
+stand. Texts are shuffled once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hashes are of 63 bits.
 HASH_BITS = 63
+#: A session's shuffle partitions give the number of ranges, up to this.
+MOST_RANGES = 20_000
 
 
 def with_sketch(df: DataFrame, text: str, name: str, *, words: int = 5, one_in: int = 4) -> DataFrame:
@@ -76,32 +81,54 @@ def as_text(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.hex(h)), "."))
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """Number of the ascending cuts that are at most a value, found by blocks of cuts."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    all_ = F.array(*[F.lit(c).cast("long") for c in cuts])
+    heads = F.array(*[F.lit(c).cast("long") for c in cuts[::size]])
+    block = F.greatest(F.size(F.filter(heads, lambda c: c <= value)) - 1, F.lit(0))
+    return block * size + F.size(F.filter(F.slice(all_, block * size + 1, F.lit(size)), lambda c: c <= value))
+
+
 def _with_range(docs: DataFrame, ranges: int) -> DataFrame:
-    """Adds the range of each id: from 0 up, -1 for null."""
+    """Adds range and part to docs (id, text, mark): the range of each id, from 0 up, -1 for null; in a range that begins with a hot id
+    parts from 1 up of its rows by their marks, all others are part 0."""
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = docs.agg(F.percentile_approx("id", shares, 20 * ranges)).first()[0] or []
-    found = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    return docs.withColumn(
-        "range", F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(found, lambda c: c <= F.col("id"))))
-    )
+    cuts, rows, present = docs.agg(F.percentile_approx("id", shares, 20 * ranges), F.count("*"), F.count("id")).first()
+    times = Counter(cuts or [])
+    hot = {c: n for c, n in times.items() if n > 1}
+    unnamed = -(-ranges * (rows - present) // rows) if rows else 1
+    parts = F.when(F.col("id").isNull(), F.lit(unnamed))
+    if hot:
+        held = F.create_map(*[F.lit(x).cast(t) for c, n in hot.items() for x, t in ((c, "long"), (n, "int"))])
+        parts = parts.otherwise(held[F.col("id")])
+    share = F.col("mark") / F.lit(2.0**64) + 0.5
+    part = F.least(F.floor(share * parts), parts - 1).cast("int") + 1
+    found = F.when(F.col("id").isNull(), -1).otherwise(_below(sorted(times), F.col("id")))
+    return docs.withColumns({"range": found.cast("int"), "part": F.coalesce(part, F.lit(0))})
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> tuple[DataFrame, W]:
-    """Rows (range, guest, id, text, next_text) of docs (id, text) in descending order of id, null last, ties by text; the last is
-    followed by the first. Rows with guest = 1 are copies at the ends of ranges, to be dropped. Also the window."""
-    rows = _with_range(docs, ranges)
-    everything = W.orderBy(F.desc("range"))
-    heads = rows.groupBy("range").agg(F.max("id").alias("head"))
-    heads = heads.withColumn("before", F.lag("range").over(everything))
-    heads = heads.withColumn("lowest", F.min("range").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    heads = heads.select(F.col("range").alias("own"), "head", F.coalesce("before", "lowest").alias("to"))
-    # As many heads as ranges: a parameter.
-    guests = rows.join(F.broadcast(heads), (F.col("range") == F.col("own")) & F.col("id").eqNullSafe(F.col("head")))
-    guests = guests.groupBy("to").agg(F.min("text").alias("text"))
-    both = rows.select("range", F.lit(0).alias("guest"), "id", "text").unionByName(
-        guests.select(F.col("to").alias("range"), F.lit(1).alias("guest"), F.lit(None).cast("long").alias("id"), "text")
+    """Rows (range, part, guest, id, mark, text, next_text) of docs (id, text) in descending order of id, null last, ties by the hash
+    of the text, then by text; the last is followed by the first. Rows with guest = 1 are copies at the ends of ranges, to be dropped.
+    Also the window."""
+    rows = _with_range(docs.withColumn("mark", F.xxhash64("text")), ranges)
+    order = [F.desc("range"), F.asc("part")]
+    place = F.struct("range", "part")
+    heads = rows.groupBy("range", "part").agg(F.max("id").alias("head"))
+    # As many heads as ranges, a parameter, and their parts, which are no more.
+    everything = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before, last = F.lag(place).over(W.orderBy(*order)), F.last(place).over(everything)
+    heads = heads.select(F.col("range").alias("r"), F.col("part").alias("p"), "head", F.coalesce(before, last).alias("to"))
+    own = (F.col("range") == F.col("r")) & (F.col("part") == F.col("p")) & F.col("id").eqNullSafe(F.col("head"))
+    guests = rows.join(F.broadcast(heads), own).groupBy("to").agg(F.min(F.struct("mark", "text")).alias("first"))
+    guest = guests.select(
+        "to.*", F.lit(1).alias("guest"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("mark"), "first.text"
     )
-    window = W.partitionBy("range").orderBy("guest", F.col("id").desc_nulls_last(), "text")
+    both = rows.select("range", "part", F.lit(0).alias("guest"), "id", "mark", "text").unionByName(guest)
+    window = W.partitionBy("range", "part").orderBy("guest", F.col("id").desc_nulls_last(), "mark", "text")
     return both.withColumn("next_text", F.lead("text").over(window)), window
 
 
@@ -112,11 +139,11 @@ def fingerprint_edits(
 
     The edit replaces the last floor(n / 2) code points by the first as many (or all) of the next document. Returns id_col,
     n_chars, edited (text), sketch, edited_sketch (arrays), near_edited and near_next, a row per row of docs. Null texts count as
-    empty; rows with a null id are documents, last in order; repeated ids are ordered by text; a single document is its own next
-    one; other columns are left out.
+    empty; rows with a null id are documents, last in order; rows of one id stand in the order of their texts' xxhash64, then of the
+    texts; a single document is its own next one; an empty table gives an empty one; other columns are left out.
     """
     spark = docs.sparkSession
-    ranges = ranges or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2000)
+    ranges = ranges or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     rows, window = with_next_text(
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ranges
     )

@@ -2,6 +2,7 @@
 
 import brute
 import pytest
+import xxhash
 from conftest import plain
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from assayline.llm import fingerprints
 
 def edits(docs):
     """n_chars, hash of the edited text, by id, for ids that occur once or with one text."""
-    ordered = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    mark = lambda text: (xxhash.xxh64_intdigest(text, 42) + (1 << 63)) % (1 << 64)  # noqa: E731, as a signed number
+    ordered = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), mark(d[1]), d[1]))
     out = []
     for i, (ident, text) in enumerate(ordered):
         following = ordered[(i + 1) % len(ordered)][1]
@@ -35,6 +37,25 @@ def test_any_number_of_ranges(spark, odd_docs, ranges):
     assert brute.order((r.doc_id, r.n_chars, brute.sha(r.edited)) for r in rows) == edits(plain(odd_docs))
 
 
+@pytest.mark.parametrize("ident", [None, 5])
+def test_a_third_of_the_rows_has_one_id(spark, ident):
+    """Such rows are cut by the hash of their texts, so that no range holds them all."""
+    rows = [(i * 3, f"text number {i} of all, and some words more") for i in range(400)]
+    rows += [(ident, f"row {i} without an id of its own") for i in range(300)] + [(ident, "twice")] * 2 + [(12, "b"), (12, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = fingerprints.fingerprint_edits(docs, ranges=32).collect()
+    assert brute.order((r.doc_id, r.n_chars, brute.sha(r.edited)) for r in found) == edits(rows)
+    dealt, _ = fingerprints.with_next_text(docs.withColumnRenamed("doc_id", "id"), 32)
+    assert max(r["count"] for r in dealt.groupBy("range", "part").count().collect()) < 60
+
+
+def test_cuts_are_found_by_blocks(spark):
+    for n in (1, 2, 5, 100):
+        cuts = [3 * i for i in range(n)]
+        got = spark.range(-2, 3 * n + 2).select("id", fingerprints._below(cuts, F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_equal_texts_have_equal_sketches_and_estimates_are_near(spark, small_docs, on_table):
     texts = dict(plain(small_docs))
     rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(small_docs).collect()}
