@@ -12,8 +12,8 @@ pages that tell is template, so that an error page or one without the usual fram
 are slots, whose texts are content. With fewer than min_pages telling pages nothing is taken for template, since on so few
 constant text may as well be content. Where a page marks its article, only slots inside it count.
 
-Children are aligned exactly where they are equal, unique or few; between these, where both lists are long, alignments lie in a band
-along the diagonal, whose cells are bounded.
+Children are aligned exactly, however many there are, by the exact matchings of what is below them. Memory is bounded; time grows with
+the product of the numbers of children that are not equal at the ends, row by row in numpy.
 
 Rows that agree in id, url and html are merged in the tasks before the shuffle and read as one after it, so that a page that is
 repeated a million times costs its block no memory. Texts are shuffled once, and a host of any size is cut into as many blocks as
@@ -23,11 +23,11 @@ its different pages need.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,9 +48,13 @@ MIN_PAGES = 4
 #: Trees that are tried as the wrapper, each against some others.
 WRAPPERS = 4
 TRIALS = 8
-#: Cells of one alignment of children; beyond them it keeps to a band. Pairs up to SMALL nodes each are matched in full inside of it.
-CELLS = 1 << 14
-SMALL = 8
+#: How an alignment is computed, not what it finds: cells up to which numbers stand in lists, cells whose sums are held at a time,
+#: and scores that are remembered.
+SHORT = 1 << 10
+HELD_CELLS = 1 << 20
+KNOWN_SCORES = 1 << 17
+#: Scores by the digests of both nodes.
+Known = dict[tuple[int, int], float]
 
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|!--(.*?)(?:--!?>|\Z)|[!?][^>]*>)", re.S)
 #: For a tag with a quote that never ends: up to the next bracket.
@@ -260,109 +264,143 @@ def _equal_pairs(one: Node, other: Node) -> list[tuple[Node, Node]]:
     return list(zip(leaves(one), leaves(other), strict=True))
 
 
-def _score(one: Node, other: Node) -> float:
-    """Nodes that two of the same label have in common: exact for equal and for small ones, else told by their children."""
+def _score(one: Node, other: Node, known: Known | None = None) -> float:
+    """Nodes that two of the same label have in common, by the best alignments of all that is below them."""
     if one.digest == other.digest:
         return 1.01 * one.size
     if one.text is not None:
         return 1.0
     if one.size == 2 and other.size == 2:  # an element around one text each
         return 1.0 + (one.children[0].label == other.children[0].label)
-    if one.size <= SMALL and other.size <= SMALL:
-        return match(one, other)[0]
-    theirs = Counter(c.digest for c in other.children)
-    equal = sum(c.size for c in one.children if theirs[c.digest] > 0)
-    labels = Counter(c.label for c in one.children) & Counter(c.label for c in other.children)
-    return 1.0 + min(1.01 * equal + labels.total(), min(one.size, other.size) - 1.0)
-
-
-def _aligned(mine: list[Node], theirs: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of children, in order, whose scores sum to the most, within a band if there are many."""
-    n, m = len(mine), len(theirs)
-    if not n or not m:
+    known = {} if known is None else known
+    key = one.digest, other.digest
+    found = known.get(key)
+    if found is None:
+        head, tail = _equal_ends(one.children, other.children)
+        equal = [*one.children[:head], *one.children[len(one.children) - tail :]]
+        mine, theirs = one.children[head : len(one.children) - tail], other.children[head : len(other.children) - tail]
+        found = 1.0 + sum(1.01 * c.size for c in equal)
+        if mine and theirs:
+            scores = _scores(mine, theirs, known)
+            row = _first_row(mine, theirs)
+            for i in range(len(mine)):
+                row = _next_row(row, scores(i))
+            found += float(row[-1])
+        if len(known) >= KNOWN_SCORES:
+            known.clear()
+        known[key] = found
+    return found
+
+
+def _kinds(mine: list[Node], theirs: list[Node]) -> tuple[list[int], list[int]]:
+    """Numbers of the nodes, alike for nodes that differ at most in texts that stand on one side only: no score tells them apart."""
+    shared = {x.digest for c in mine for x in leaves(c)} & {x.digest for c in theirs for x in leaves(c)}
+    numbers: dict[object, int] = {}
+
+    def kind(node: Node) -> int:
+        if node.text is not None:
+            return numbers.setdefault(node.digest if node.digest in shared else "", len(numbers))
+        return numbers.setdefault((node.label, tuple(map(kind, node.children))), len(numbers))
+
+    return list(map(kind, mine)), list(map(kind, theirs))
+
+
+def _scores(mine: list[Node], theirs: list[Node], known: Known) -> Callable[[int], Sequence[float] | np.ndarray]:
+    """Gives the scores of one of mine with each of theirs, 0 where labels differ. In long lists each kind of pair is compared once."""
+    if len(mine) * len(theirs) <= SHORT:
+        return lambda i: [_score(mine[i], x, known) if x.label == mine[i].label else 0.0 for x in theirs]
+    own, other = _kinds(mine, theirs)
+    different, place = np.unique(other, return_inverse=True)
+    some = dict(zip(other, theirs, strict=True))
+    examples = [some[k] for k in different.tolist()]
+    held: dict[int, np.ndarray] = {}
+
+    def scores(i: int) -> np.ndarray:
+        if own[i] not in held:
+            if len(held) * len(examples) > HELD_CELLS:
+                held.clear()
+            label = mine[i].label
+            held[own[i]] = np.array([_score(mine[i], x, known) if x.label == label else 0.0 for x in examples])
+        return held[own[i]][place]
+
+    return scores
+
+
+def _first_row(mine: list[Node], theirs: list[Node]) -> list[float] | np.ndarray:
+    return [0.0] * (len(theirs) + 1) if len(mine) * len(theirs) <= SHORT else np.zeros(len(theirs) + 1)
+
+
+def _next_row(above: list[float] | np.ndarray, scores: Sequence[float] | np.ndarray) -> list[float] | np.ndarray:
+    """Best sums of one more of mine with the first of theirs, for each number of them that the row above has. Lists and arrays hold
+    the same numbers."""
+    if isinstance(above, np.ndarray):
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + scores[: len(above) - 1], out=row[1:])
+        return np.maximum.accumulate(row)
+    best = above[0]
+    row = [best]
+    for up, corner, score in zip(above[1:], above, scores, strict=False):
+        if up > best:
+            best = up
+        if corner + score > best:
+            best = corner + score
+        row.append(best)
+    return row
+
+
+def _aligned(mine: list[Node], theirs: list[Node], known: Known | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of children, in order, whose scores sum to the most. Rows of best sums are held for HELD_CELLS cells at a time: of more
+    rows the lower half is followed back first, from the row in the middle."""
+    if not mine or not theirs:
         return []
-    half = m if n * m <= CELLS else max(2, CELLS // (2 * n))
-    # Row i holds the best sums of the first i against the first j, for j from starts[i] on; behind its end the last one holds.
-    starts, rows = [0], [[0.0] * (m + 1)]
-    for i, a in enumerate(mine):
-        middle = (i + 1) * m // n
-        low, high = max(0, middle - half), min(m, middle + half)
-        start, above = starts[-1], rows[-1]
-        row_above = above[low - start :] if low >= start else [0.0] * (start - low) + above
-        row_above += [row_above[-1] if row_above else above[-1]] * (high + 1 - low - len(row_above))
-        best = row_above[0]
-        row, label = [best], a.label
-        for j in range(low, high):
-            up = row_above[j - low + 1]
-            if up > best:
-                best = up
-            if theirs[j].label == label:
-                met = row_above[j - low] + _score(a, theirs[j])
-                if met > best:
-                    best = met
-            row.append(best)
-        starts.append(low)
-        rows.append(row)
-
-    def at(i: int, j: int) -> float:
-        place = j - starts[i]
-        return 0.0 if place < 0 else rows[i][min(place, len(rows[i]) - 1)]
-
-    pairs = []
-    i, j = n, m
-    while i and j:
-        here = at(i, j)
-        if here == at(i - 1, j):
-            i -= 1
-        elif here == at(i, j - 1):
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((mine[i], theirs[j]))
+    scores = _scores(mine, theirs, {} if known is None else known)
+    pairs: list[tuple[Node, Node]] = []
+
+    def follow(first: int, past: int, above: list[float] | np.ndarray, j: int) -> int:
+        """Adds the pairs of mine from first on, given the row above them and the number of theirs that are left; what then is."""
+        if (past - first) * (j + 1) > HELD_CELLS and past - first > 1:
+            middle, row = (first + past) // 2, above[: j + 1]
+            for i in range(first, middle):
+                row = _next_row(row, scores(i))
+            j = follow(middle, past, row, j)
+            return follow(first, middle, above, j)
+        rows = [above[: j + 1]]
+        for i in range(first, past):
+            rows.append(_next_row(rows[-1], scores(i)))
+        i = past - first
+        while i and j:
+            here = rows[i][j]
+            if here == rows[i - 1][j]:
+                i -= 1
+            elif here == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((mine[first + i], theirs[j]))
+        return j
+
+    follow(0, len(mine), _first_row(mine, theirs), len(theirs))
     return pairs[::-1]
 
 
-def _anchors(mine: list[Node], theirs: list[Node]) -> list[tuple[int, int]]:
-    """Equal children that occur once on both sides, the longest rising run of them."""
-    once = {d for d, n in Counter(c.digest for c in mine).items() if n == 1}
-    place = {c.digest: j for j, c in enumerate(theirs) if c.digest in once}
-    often = Counter(c.digest for c in theirs)
-    met = [(i, place[c.digest]) for i, c in enumerate(mine) if c.digest in place and often[c.digest] == 1]
-    tails: list[int] = []
-    ends: list[int] = []
-    before: list[int] = []
-    for x, (_, j) in enumerate(met):
-        at = bisect_left(tails, j)
-        before.append(ends[at - 1] if at else -1)
-        tails[at : at + 1] = [j]
-        ends[at : at + 1] = [x]
-    run, x = [], ends[-1] if ends else -1
-    while x >= 0:
-        run.append(met[x])
-        x = before[x]
-    return run[::-1]
-
-
-def _children_pairs(mine: list[Node], theirs: list[Node]) -> list[tuple[Node, Node]]:
-    """Alignment of two lists of children: what is equal at both ends, then between anchors."""
-    if len(mine) == 1 and len(theirs) == 1:
-        return [(mine[0], theirs[0])] if mine[0].label == theirs[0].label else []
+def _equal_ends(mine: list[Node], theirs: list[Node]) -> tuple[int, int]:
+    """Number of children that are equal at the beginning, and of others at the end. No alignment is better than one that keeps them."""
     fewer = min(len(mine), len(theirs))
     head = tail = 0
     while head < fewer and mine[head].digest == theirs[head].digest:
         head += 1
     while tail < fewer - head and mine[-1 - tail].digest == theirs[-1 - tail].digest:
         tail += 1
+    return head, tail
+
+
+def _children_pairs(mine: list[Node], theirs: list[Node], known: Known) -> list[tuple[Node, Node]]:
+    """Alignment of two lists of children: what is equal at both ends, then what lies between."""
+    if len(mine) == 1 and len(theirs) == 1:
+        return [(mine[0], theirs[0])] if mine[0].label == theirs[0].label else []
+    head, tail = _equal_ends(mine, theirs)
     pairs = list(zip(mine[:head], theirs[:head], strict=True))
-    one, other = mine[head : len(mine) - tail], theirs[head : len(theirs) - tail]
-    # Anchors are needed, and may cost a node or two, only where not all can be compared with all.
-    anchors = _anchors(one, other) if len(one) * len(other) > CELLS else []
-    i = j = 0
-    for x, y in [*anchors, (len(one), len(other))]:
-        pairs += _aligned(one[i:x], other[j:y])
-        if x < len(one):
-            pairs.append((one[x], other[y]))
-        i, j = x + 1, y + 1
+    pairs += _aligned(mine[head : len(mine) - tail], theirs[head : len(theirs) - tail], known)
     return pairs + (list(zip(mine[-tail:], theirs[-tail:], strict=True)) if tail else [])
 
 
@@ -370,6 +408,7 @@ def match(one: Node, other: Node) -> tuple[float, list[tuple[Node, Node]]]:
     """Simple tree matching of two nodes of the same label: number of matched nodes, and the matched leaves. Nodes of
     equal subtrees count a little more, so that of equally large matchings one that keeps them is found."""
     score, pairs, waiting = 0.0, [], [(one, other)]
+    known: Known = {}
     while waiting:
         a, b = waiting.pop()
         if a.digest == b.digest:
@@ -380,7 +419,7 @@ def match(one: Node, other: Node) -> tuple[float, list[tuple[Node, Node]]]:
         if a.text is not None:
             pairs.append((a, b))
         else:
-            waiting += _children_pairs(a.children, b.children)
+            waiting += _children_pairs(a.children, b.children, known)
     return score, pairs
 
 

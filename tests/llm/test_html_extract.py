@@ -124,6 +124,53 @@ def test_alignment_is_exact_where_all_is_compared():
         assert h.match(one, other)[0] == pytest.approx(1 + best(one.children, other.children)) or one.digest == other.digest
 
 
+def best_sum(a, b):
+    """Of an alignment, from the table of all cells."""
+    row = [0.0] * (len(b) + 1)
+    for x in a:
+        new = [0.0]
+        for j, y in enumerate(b):
+            new.append(max(new[j], row[j + 1], row[j] + h._score(x, y) if x.label == y.label else 0.0))
+        row = new
+    return row[-1]
+
+
+def long_lists():
+    """Hundreds of children, of which equal ones stand far from each other's places, and elements of many nodes."""
+    entry = lambda k, i: f"<li><p>by {k} {i}</p><p>Reply</p><ul>{'<li>x</li>' * (i % 5)}<li>{k * i % 7}</ul></li>"
+    common = "".join(f"<p>{i % 3}</p>" for i in range(150))
+    yield common + "<div>a</div>" * 160, "<div>b</div>" * 160 + common
+    yield "".join(entry(1, i) for i in range(190)), "".join(entry(2, i * 3) for i in range(40, 260))
+    yield common + "".join(f"<p>mine {i}</p><h2>{i % 4}</h2>" for i in range(80)), "<h2>2</h2>" * 90 + common + "<ul><li>z</ul>" * 90
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_long_lists_are_aligned_exactly(case, monkeypatch):
+    one, other = (h.parse(x) for x in list(long_lists())[case])
+    mine, theirs = one.children, other.children
+    pairs = h._aligned(mine, theirs)
+    assert sum(h._score(a, b) for a, b in pairs) == pytest.approx(best_sum(mine, theirs))
+    ids = [(id(a), id(b)) for a, b in pairs]
+    for name, value in (("HELD_CELLS", 500), ("SHORT", 1 << 30), ("KNOWN_SCORES", 3)):
+        monkeypatch.setattr(h, name, value)
+        assert [(id(a), id(b)) for a, b in h._aligned(mine, theirs)] == ids
+
+
+def test_large_elements_are_compared_by_their_best_alignment():
+    """Of two elements of one label the one with more in common below it is met, though both have the same labels."""
+    rows = lambda *texts: "".join(f"<div><p>{t}</p><p>{t} too</p></div>" for t in texts)
+    one = h.parse(f"<section>{rows(*'abcdef')}</section>")
+    other = h.parse(f"<section>{'<p>u</p>' * 12}</section><section>{rows(*'xbcdey')}</section>")
+    assert {a.text for a, b in h.match(one, other)[1] if a.text == b.text} == {x + y for x in "bcde" for y in ("", " too")}
+
+
+def test_many_long_entries_in_bounded_time_and_memory():
+    page = lambda k: h.parse("".join(f"<li><p>{k} {i}</p><p>Reply</p></li><hr>" for i in range(6000)) + f"<p>{k}</p>")
+    started = time.process_time()
+    _, pairs = h.match(page(1), page(2))
+    assert len(pairs) == 12001 and time.process_time() - started < 20
+
+
 def test_too_few_or_equal_pages_have_no_template():
     few = [h.parse(page_of(i)) for i in range(3)]
     assert h.induce(few) == [set()] * 3
