@@ -8,6 +8,8 @@ any set of blocks is decoded alone. Values are counted from the first.
 from __future__ import annotations
 
 import json
+import math
+import mmap
 import shutil
 import tempfile
 import uuid
@@ -17,8 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyarrow import fs
 
-BLOCK = 128
-BLOCKS_AT_ONCE = 4096
+BLOCK = 16
+BLOCKS_AT_ONCE = 1 << 15
 #: Files that a task has open at a time, and where arrays begin in a file.
 OPEN_FILES = 64
 ALIGNED = 64
@@ -171,12 +173,13 @@ class Opened:
             return self.held[place]
         while len(self.held) >= self.limit:
             self.held.popitem(last=False)
-        data = np.memmap(self._path(place), np.uint8, "r")
-        begin = 8 + int(data[:8].view("<i8")[0])
+        with open(self._path(place), "rb") as file:
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        begin = 8 + int.from_bytes(data[:8], "little")
         arrays = {}
-        for key, (kind, shape, at) in json.loads(data[8:begin].tobytes()).items():
-            size = int(np.prod(shape, dtype=np.int64)) * np.dtype(kind).itemsize
-            arrays[key] = np.asarray(data[begin + at : begin + at + size]).view(kind).reshape(shape)
+        for key, (kind, shape, at) in json.loads(data[8:begin]).items():
+            size = math.prod(shape)
+            arrays[key] = (np.frombuffer(data, kind, size, begin + at) if size else np.zeros(0, kind)).reshape(shape)
         self.held[place] = arrays
         return arrays
 

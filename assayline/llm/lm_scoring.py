@@ -5,7 +5,8 @@ their counts. Level 2 holds the words that follow a context word: pointers (a mo
 followers, and the followers' numbers, made ascending over all contexts by adding the context's place times the number of words, are
 one more sequence; beside each stands its smoothed probability, quantised to 256 values. A bigram is found by the successor of
 (place of its context, number of its word) in that sequence. Both levels are cut into files at ranges of their keys, written to
-the shared folder by tasks, and memory-mapped by the tasks that score; only blocks that a batch of sorted queries needs are read.
+the shared folder by tasks, and memory-mapped by the tasks that score; only blocks that a batch of sorted queries needs are read,
+and each different pair of a part of the texts is looked up once.
 
 Model: P(w) = (c(w) + 1) / (N + V + 1); P(w | v) = (c(vw) - D) / c(v) + B(v) P(w) for bigrams that training has at least
 min_count times, B(v) P(w) for others, where B(v) is the mass those leave. The word before the first is the end of a text.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,50 +31,47 @@ from pyspark.sql import functions as F
 from assayline.llm.elias_fano import Opened, encode, named, save, sequence
 from assayline.llm.storage import shared_uri, stored
 
-FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Stands for the end of a text; no word has a blank.
 END = b" "
-PART_BYTES = 1 << 22
-MEMO_WORDS = 300_000
+#: Texts that are looked up together: a shard's file is opened once for all of them.
+PART_BYTES = 1 << 23
+#: Words whose counts a task holds before it sends them to be summed up.
+MEMO_WORDS = 1_000_000
 FLUSH_PAIRS = 1 << 21
 LEVEL_ROWS = 500_000
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 MOST_SHARDS = 20_000
 
 
-class Words(dict):
-    """Numbers words in the order they are first seen; hashes has their 64-bit hashes."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes: list[int] = []
-        self.end = self[END]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return number
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], list[bool]]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
     """Ids, texts with A-Z lowered, and learn flags of bounded parts of the batches."""
     for batch in batches:
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in (t.as_buffer() for t in batch.column("text"))])
-        starts = np.flatnonzero(np.diff(sizes // PART_BYTES, prepend=-1)) if len(sizes) else []
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = np.flatnonzero(np.diff(sizes // PART_BYTES, prepend=-1)).tolist()
         for start, stop in zip(starts, [*starts[1:], len(sizes)], strict=True):
             part = batch.slice(start, stop - start)
-            texts = [t.as_buffer().to_pybytes().translate(FOLD) for t in part.column("text")]
-            yield part.column("id"), texts, part.column("learn").to_pylist()
-
-
-def _tokens(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all tokens of the texts, each text closed by the end, and the number of tokens of each text."""
-    found = [np.zeros(0, np.int64)]
-    for text in texts:
-        own = text.split()  # white space of bytes is \\x20 and \\x09-\\x0D
-        own.append(END)
-        found.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
-    return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
+            yield part.column("id"), pc.ascii_lower(part.column("text")), part.column("learn")
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the different tokens, the end's first; the numbers among them of all tokens of the texts, each text closed by
+    the end; the number of tokens of each text."""
+    # White space of ASCII is \x20 and \x09-\x0D. A text without a word is split to an empty one.
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    coded = split.flatten().dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.array([xxhash.xxh64_intdigest(END), *map(xxhash.xxh64_intdigest, different)], np.uint64)
+    words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in different:
+        words = words[words != different.index(b"") + 1]
+        sizes[pc.equal(pc.list_element(split, 0), "").to_numpy(zero_copy_only=False)] = 0
+    sizes += 1
+    found = np.zeros(len(words) + len(sizes), np.int64)
+    inside = np.ones(len(found), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    found[inside] = words
+    return hashes, found, sizes
 
 
 @dataclass
@@ -126,19 +125,23 @@ def count_words(rows: DataFrame) -> DataFrame:
     """hash and n of every word of the rows (id, text, learn) to learn from, ends included."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        totals: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            hashes = np.array(words.hashes, np.uint64).view(np.int64)
-            seen = total > 0
-            return pa.RecordBatch.from_arrays([pa.array(hashes[: len(total)][seen]), pa.array(total[seen])], names=["hash", "n"])
+            hashes, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+            total = np.zeros(len(hashes), np.int64)
+            np.add.at(total, of, np.concatenate([np.zeros(0, np.int64), *totals]))
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(total)], names=["hash", "n"])
 
         for _, texts, learn in _parts(batches):
-            found, _ = _tokens([t for t, x in zip(texts, learn, strict=True) if x], words)
-            total = np.pad(total, (0, len(words.hashes) - len(total))) + np.bincount(found, minlength=len(words.hashes))
-            if len(words.hashes) > MEMO_WORDS:
+            hashes, found, _ = _tokens(texts.filter(learn))
+            total = np.bincount(found, minlength=len(hashes))
+            held.append(hashes[total > 0])
+            totals.append(total[total > 0])
+            if sum(map(len, held)) > MEMO_WORDS:
                 yield flush()
-                words, total = Words(), np.zeros(0, np.int64)
+                held, totals = [], []
         yield flush()
 
     return rows.mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -214,20 +217,18 @@ def count_pairs(rows: DataFrame, level: Level1, cuts: list[int], min_count: int)
             )
 
         with Opened() as files:
-            vocabulary, words, numbers = Vocabulary(own, files), Words(), np.zeros(0, np.int64)
+            vocabulary = Vocabulary(own, files)
             for _, texts, learn in _parts(batches):
-                found, _ = _tokens([t for t, x in zip(texts, learn, strict=True) if x], words)
-                number, count = vocabulary.find(np.array(words.hashes[len(numbers) :], np.uint64))
-                numbers = np.concatenate([numbers, np.where(count >= min_count, number, -1)])
+                hashes, found, _ = _tokens(texts.filter(learn))
+                number, count = vocabulary.find(hashes)
+                numbers = np.where(count >= min_count, number, -1)
                 ids = numbers[found]
-                before = np.concatenate([[numbers[words.end]], ids[:-1]])
+                before = np.concatenate([numbers[:1], ids[:-1]])[: len(ids)]
                 known = (ids >= 0) & (before >= 0)
                 waiting.append(before[known] * own.words + ids[known])
                 if sum(map(len, waiting)) > FLUSH_PAIRS:
                     yield flush()
                     waiting = []
-                if len(words.hashes) > MEMO_WORDS:
-                    words, numbers = Words(), np.zeros(0, np.int64)
         yield flush()
 
     return rows.mapInArrow(counted, "shard int, keys binary, counts binary")
@@ -322,56 +323,57 @@ def score_rows(rows: DataFrame, level: Level1, cuts: list[int], places: list[str
             def shard_file(shard: int) -> Followers:
                 return Followers(pair_files.get(names[shard]), own.words)
 
-            words, numbers, counts = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for ids, texts, _ in _parts(batches):
-                found, sizes = _tokens(texts, words)
-                number, count = vocabulary.find(np.array(words.hashes[len(numbers) :], np.uint64))
-                numbers, counts = np.concatenate([numbers, number]), np.concatenate([counts, count])
+                hashes, found, sizes = _tokens(texts)
+                number, count = vocabulary.find(hashes)
+                # Tokens in the order of their numbers, unknown ones first, so that pairs of them are in that of the shards.
+                by = np.argsort(number, kind="stable")
+                rank = np.empty(len(by), np.int64)
+                rank[by] = np.arange(len(by))
+                numbers, counts, found, end = number[by], count[by], rank[found], rank[0]
+                plain = (counts + 1) / (own.tokens + own.words + 1)
                 starts = np.cumsum(sizes) - sizes
-                token, seen = numbers[found], counts[found]
-                plain = (seen + 1) / (own.tokens + own.words + 1)
-                before = np.concatenate([[0], found[:-1]])
-                before[starts] = words.end
-                chance = plain.copy()
-                context = numbers[before]
-                known = np.flatnonzero(context >= 0)
-                _add_pairs(chance, plain, known, context, token, own.words, bounds, names, shard_file)
+                before = np.concatenate([[end], found[:-1]])
+                before[starts] = end
+                # Each different pair is looked up once.
+                pairs, which = np.unique(before * len(by) + found, return_inverse=True)
+                context, token = np.divmod(pairs, len(by))
+                chance = plain[token]
+                known = int(np.searchsorted(context, np.searchsorted(numbers, 0)))
+                chance[known:] = _pair_chances(
+                    chance[known:], numbers[context[known:]], numbers[token[known:]], own.words, bounds, names, shard_file
+                )
                 arrays = [
                     sizes,
-                    np.add.reduceat(seen > 0, starts, dtype=np.int64),
-                    np.add.reduceat(np.log10(plain), starts),
-                    np.add.reduceat(np.log10(chance), starts),
+                    np.add.reduceat((counts > 0)[found], starts, dtype=np.int64),
+                    np.add.reduceat(np.log10(plain)[found], starts),
+                    np.add.reduceat(np.log10(chance)[which], starts),
                 ]
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, arrays)], names=["id", *fields])
-                if len(words.hashes) > MEMO_WORDS:
-                    words, numbers, counts = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     return rows.mapInArrow(scored, schema)
 
 
-def _add_pairs(
-    chance: np.ndarray,
+def _pair_chances(
     plain: np.ndarray,
-    known: np.ndarray,
     context: np.ndarray,
     token: np.ndarray,
     words: int,
     bounds: np.ndarray,
     names: list[str | None],
     shard_file: Callable[[int], Followers],
-) -> None:
-    """Puts the bigram probabilities of the tokens behind known contexts into chance. A context may be split over shards: each
-    of them adds its part of the mass, the shard of the pair itself the share."""
-    contexts, of = np.unique(context[known], return_inverse=True)
+) -> np.ndarray:
+    """Probabilities of tokens (-1 if unknown) behind known contexts, in ascending order of both. A context may be split over shards:
+    each of them adds its part of the mass, the shard of the pair itself the share."""
+    contexts, of = np.unique(context, return_inverse=True)
     mass = np.zeros(len(contexts))
-    keys = context[known] * words + np.maximum(token[known], 0)
-    pairs, which = np.unique(keys, return_inverse=True)
-    pair_share = np.zeros(len(pairs))
+    pairs = context * words + np.maximum(token, 0)
+    share = np.zeros(len(pairs))
     shard = np.searchsorted(bounds, pairs, "right") - 1
     for s in np.unique(shard).tolist():
         if names[s] is not None:
             lo, hi = np.searchsorted(shard, [s, s + 1])
-            pair_share[lo:hi], distinct, part = shard_file(s).find(*np.divmod(pairs[lo:hi], words))
+            share[lo:hi], distinct, part = shard_file(s).find(*np.divmod(pairs[lo:hi], words))
             mass[np.searchsorted(contexts, distinct)] += part
     # The parts of a split context's mass in shards to which none of its pairs led.
     first = np.searchsorted(bounds, contexts * words, "right") - 1
@@ -381,8 +383,7 @@ def _add_pairs(
         for s in sorted({*range(first[i], last[i] + 1)} - {*shard[lo:hi].tolist()}):
             if names[s] is not None:
                 mass[i] += shard_file(s).find(contexts[i : i + 1], np.zeros(1, np.int64))[2][0]
-    share = np.where(token[known] >= 0, pair_share[which], 0.0)
-    chance[known] = share + (1.0 - mass[of]) * plain[known]
+    return np.where(token >= 0, share, 0.0) + (1.0 - mass[of]) * plain
 
 
 def score_texts(

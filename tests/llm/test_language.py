@@ -1,11 +1,14 @@
 """Language identification by held-out accuracy, language-model scores against counting."""
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from conftest import plain
 from pyspark.sql import functions as F
 
-from assayline.llm import language_id, lm_scoring
+from assayline.llm import elias_fano, language_id, lm_scoring
 
 
 def test_held_out_accuracy(spark, small_docs, on_table):
@@ -90,3 +93,28 @@ def test_bigrams_seen_once_count(spark, table, on_table, request):
     for w, g in zip(whole, got, strict=True):
         assert g[4] == pytest.approx(w[4], rel=1e-9)
         assert abs(g[5] - w[5]) <= 0.05 * w[1]  # probabilities are quantised
+
+
+def test_words_of_arrow_are_those_of_bytes():
+    """White space of ASCII only, A-Z lowered only, an end behind each text, texts without words."""
+    texts = ["", " \n", "a  b\x1cc\x0b d\xa0e \x00 é\u2003x\x85y", "A É\tÀ a\r", "\f", "one", ""]
+    low = pa.array([t.translate({x: x + 32 for x in range(65, 91)}) for t in texts])
+    hashes, found, sizes = lm_scoring._tokens(low)
+    wanted = [[*t.encode().split(), lm_scoring.END] for t in low.to_pylist()]
+    assert sizes.tolist() == list(map(len, wanted))
+    assert hashes[found].tolist() == [xxhash.xxh64_intdigest(w) for t in wanted for w in t]
+    hashes, found, sizes = lm_scoring._tokens(low[:0])
+    assert len(hashes) == 1 and not len(found) and not len(sizes)
+
+
+def test_a_lookup_decodes_few_values_for_each_asked():
+    """In long sequences, where each value that is asked for stands in a block of its own."""
+    values = np.arange(200_000, dtype=np.uint64) * np.uint64(977)
+    held = elias_fano.sequence("x", elias_fano.named("x", elias_fano.encode(values)))
+    decoded = []
+    plain = held.decode
+    held.decode = lambda blocks: (decoded.append(len((found := plain(blocks))[0])), found)[1]
+    wanted = values[5::1000]
+    for part, position, value in held.successors(wanted):
+        assert (value == wanted[part]).all() and (position == np.arange(len(values))[5::1000][part]).all()
+    assert sum(decoded) <= 16 * len(wanted)
