@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,47 +162,82 @@ class Codec:
         self.ranks, self.pairs = ranks, pairs
         self.split = Splitter(pattern, _library_class)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.large_binary())
         self.pieces = Memo(PIECE_ROOM)
         self.words = Memo(WORD_ROOM)
 
-    def ids_of(self, split: list[list[str]]) -> list[bytes]:
-        """Ids, as the bytes of an int32 array, of lists of pre-tokens; those not met before are merged together."""
-        raw = [[p.encode() for p in pieces] for pieces in split]
-        wanted = set(chain.from_iterable(raw))
+    def ids_of(self, pieces: list[str], begins: list[int]) -> list[bytes]:
+        """Ids, as the bytes of an int32 array, of runs of pre-tokens, given where each begins; pre-tokens not met before are merged
+        together."""
+        raw = [p.encode() for p in pieces]
+        wanted = set(raw)
         have = self.pieces.known(wanted)
         new = wanted - have.keys()
         known = {p: np.int32(self.ranks[p]).tobytes() for p in new if p in self.ranks}
         known |= merge_pieces([p for p in new if p not in known], self.byte_ids, self.pairs)
         self.pieces.remember({p: ids for p, ids in known.items() if len(p) <= MEMO_BYTES})
         have |= known
-        return [b"".join(map(have.__getitem__, pieces)) for pieces in raw]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. The first word of a text stands alone, the others follow a blank and are looked up by word."""
-        cut = [self.split.words(t) for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        have = self.words.known(wanted)
-        new = list(wanted - have.keys())
-        ids = self.ids_of([self.split(" " + w) for w in new] + [self.split(words[0]) for words in cut])
+        each = list(map(have.__getitem__, raw))
+        data = b"".join(each)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+        bounds = ends[np.append(np.array(begins, np.int64), len(each))].tolist()
+        return [data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin, with the end of the last. The first word of a text stands alone, the others
+        follow a blank, and each different one is looked up once."""
+        heads = texts.to_pylist()
+        cut = np.fromiter((not self.split.blank_run.search(t) for t in heads), bool, len(heads))
+        words = pc.split_pattern(texts.filter(pa.array(cut)), " ")
+        first = pc.list_element(words, 0).to_pylist() if cut.any() else []
+        for i, word in zip(np.flatnonzero(cut).tolist(), first, strict=True):
+            heads[i] = word
+        counts = np.zeros(len(heads), np.int64)
+        counts[cut] = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64) - 1
+        coded = pc.list_slice(words, 1).flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        have = self.words.known(different)
+        new, pieces, from_ = self.split.behind_blank([w for w in different if w not in have])
+        for head in heads:
+            from_.append(len(pieces))
+            pieces += self.split(head)
+        ids = self.ids_of(pieces, from_)
         known = dict(zip(new, ids[: len(new)], strict=True))
         self.words.remember({w: x for w, x in known.items() if len(w) <= MEMO_BYTES})
         have |= known
-        return [
-            np.frombuffer(b"".join([first, *map(have.__getitem__, words[1:])]), np.int32)
-            for first, words in zip(ids[len(new) :], cut, strict=True)
-        ]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
-
-def _in_parts(texts: list[str]) -> Iterator[slice]:
+        # Places in one list, the different words and then the heads: of each text its head, then its other words.
+        every = pa.array([*map(have.__getitem__, different), *ids[len(new) :]], pa.large_binary())
+        begins = np.cumsum(counts + 1) - counts - 1
+        places = np.empty(int(counts.sum()) + len(heads), np.int64)
+        others = np.ones(len(places), bool)
+        others[begins] = False
+        places[others] = coded.indices.to_numpy(zero_copy_only=False)
+        places[begins] = np.arange(len(different), len(every))
+        data, ends = _joined(every, places)
+        return np.frombuffer(data, np.int32), ends[np.append(begins, len(places))] // 4
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Bytes of each run of ids; ends: where each begins, with the end of the last."""
+        data, places = _joined(self.tokens, ids)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(places[ends]), data])
+
+
+def _joined(values: pa.Array, places: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """Values at some places side by side, and where each begins, with the end of the last."""
+    if not len(places):
+        return pa.py_buffer(b""), np.zeros(1, np.int64)
+    taken = values.take(pa.array(places))
+    _, ends, data = taken.buffers()
+    return data if data is not None else pa.py_buffer(b""), np.frombuffer(ends, np.int64, len(taken) + 1, 8 * taken.offset)
+
+
+def _in_parts(texts: pa.Array) -> Iterator[slice]:
     start = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text)
+    for i, size in enumerate(pc.utf8_length(texts).to_pylist()):
+        chars += size
         if chars >= BATCH_CHARS or i + 1 == len(texts):
             yield slice(start, i + 1)
             start, chars = i + 1, 0
@@ -241,13 +277,11 @@ def encode_decode(
         release_memory()
         own = codec()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for part in _in_parts(texts):
-                ids = own.encode(texts[part])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
-                )
-                decoded = pa.array([own.decode(x) for x in ids], pa.binary())
+                ids, ends = own.encode(texts[part])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                decoded = own.decode(ids, ends).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id")[part], batch.column("carried")[part], lists, decoded], names=["id", "carried", "ids", "decoded"]
                 )
@@ -271,7 +305,9 @@ def decode(
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
         for batch in batches:
-            texts = [own.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], names=["id", "decoded"])
+            lists = batch.column("ids")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = own.decode(lists.flatten().to_numpy(zero_copy_only=False), ends).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts], names=["id", "decoded"])
 
     return rows.mapInArrow(decoded, schema).withColumnRenamed("id", id_col)

@@ -45,6 +45,21 @@ class Splitter:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(swaps))]
 
+    def behind_blank(self, words: list[str]) -> tuple[list[str], list[str], list[int]]:
+        """Some words, as `words` cuts them, in another order; the pre-tokens of each with the blank before it, one after another; and
+        where each one's begin. They are split as one text, but for those that are empty or end with white space, which would
+        reach over the next blank."""
+        joined = [w for w in words if w and not w[-1].isspace()]
+        single = [w for w in words if not w or w[-1].isspace()]
+        pieces = self(" " + " ".join(joined)) if joined else []
+        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
+        if len(begins) != len(joined):  # a pattern that takes no blank to the word behind it
+            joined, single, pieces, begins = [], words, [], []
+        for word in single:
+            begins.append(len(pieces))
+            pieces += self(" " + word)
+        return joined + single, pieces, begins
+
     def words(self, text: str) -> list[str]:
         """The text cut at its blanks: the first part stands alone, the others follow a blank. One part only if some blank
         stands beside other white space."""

@@ -81,7 +81,7 @@ class Memo:
         return found | again
 
     def remember(self, known: dict) -> None:
-        size = sum(len(k) + len(v) for k, v in known.items()) + self.ENTRY_BYTES * len(known)
+        size = sum(map(len, known)) + sum(map(len, known.values())) + self.ENTRY_BYTES * len(known)
         if self.used + size > self.half:
             self.young, self.old, self.used = {}, self.young, 0
         if size <= self.half:

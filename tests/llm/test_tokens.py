@@ -2,6 +2,7 @@
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plain
 
@@ -74,3 +75,24 @@ def test_wide_rows_merge_as_narrow_ones(monkeypatch):
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 14))
+
+
+def test_new_words_are_split_together():
+    """As each alone: words with white space at the end, empty ones, signs, digits and letters of other scripts."""
+    ranks = byte_bpe.read_ranks(byte_bpe.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec = byte_bpe.Codec(ranks, byte_bpe.PairTable(ranks), byte_bpe.public_tokenizers.PATTERN)
+    texts = [" ".join(f"wort{i * 7919 % 5003}{'!' * (i % 3)}\n{i}" for i in range(4000)), "a b\n", "x ", "", " y", "it's 'S b\n", *ODD]
+    calls = []
+    plain = codec.split.pattern
+    codec.split.pattern = type("Counted", (), {"findall": lambda _, t: calls.append(t) or plain.findall(t), "finditer": plain.finditer})()
+    ids, ends = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [brute.CODEC.encode_ordinary(t) for t in texts]
+    assert codec.decode(ids, ends).to_pylist() == [t.encode() for t in texts]
+    assert len(calls) < 200
+    words = ["b\n", "don't", "", "１２", "é3 ", "日本", "x" * 99]
+    order, pieces, begins = codec.split.behind_blank(words)
+    assert sorted(order) == sorted(words)
+    assert [pieces[a:b] for a, b in zip(begins, [*begins[1:], len(pieces)], strict=True)] == [codec.split(" " + w) for w in order]
+    for some in ([], [""], ["", ""]):
+        ids, ends = codec.encode(pa.array(some, pa.string()))
+        assert not len(ids) and codec.decode(ids, ends).to_pylist() == [t.encode() for t in some]
