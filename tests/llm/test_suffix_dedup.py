@@ -105,3 +105,18 @@ def test_elias_fano():
             for w, p, v in zip(wanted[part].tolist(), position.tolist(), value.tolist(), strict=True):
                 at = next((i for i, x in enumerate(values) if x >= w), len(values))
                 assert (p == at or (p < len(values) and values[p] == values[at])) and v == (values[at] if at < len(values) else 0)
+
+
+def test_few_anchors_are_looked_up_without_decoding_the_others(tmp_path, monkeypatch):
+    anchors = np.arange(1, 300_000, dtype=np.uint64) * np.uint64(2**45)
+    place = suffix_dedup.save(str(tmp_path), "anchors", suffix_dedup.encode(anchors))
+    decoded = []
+    plain_decode = elias_fano.Sequence.decode
+    monkeypatch.setattr(
+        elias_fano.Sequence, "decode", lambda s, blocks: (decoded.append(len((x := plain_decode(s, blocks))[0])), x)[1]
+    )
+    wanted = np.concatenate([anchors[7::3000], anchors[7::3000] + np.uint64(1)])
+    with suffix_dedup._files({0: [place]}) as files:
+        known = suffix_dedup._known(wanted, files, 1)
+    assert known.tolist() == [True] * (len(wanted) // 2) + [False] * (len(wanted) // 2)
+    assert sum(decoded) <= 16 * len(wanted)
