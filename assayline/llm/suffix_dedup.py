@@ -209,7 +209,7 @@ def _files(places: dict[int, list[str]]) -> Iterator[_Files]:
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Shard, first and past of the runs of rising shard numbers: only shards that occur."""
     used, begins = np.unique(shard, return_index=True)
-    yield from zip(used.tolist(), begins.tolist(), [*begins[1:].tolist(), len(shard)], strict=True)
+    yield from zip(used.tolist(), begins.tolist(), np.append(begins, len(shard))[1:].tolist(), strict=True)
 
 
 def _known(anchors: np.ndarray, files: _Files, shards: int) -> np.ndarray:

@@ -120,3 +120,13 @@ def test_few_anchors_are_looked_up_without_decoding_the_others(tmp_path, monkeyp
         known = suffix_dedup._known(wanted, files, 1)
     assert known.tolist() == [True] * (len(wanted) // 2) + [False] * (len(wanted) // 2)
     assert sum(decoded) <= 16 * len(wanted)
+
+
+def test_a_part_without_segments_asks_for_no_shard(spark):
+    """Texts shorter than the length, which have no window, beside others."""
+    assert list(suffix_dedup._by_shard(np.zeros(0, np.int64))) == []
+    assert list(suffix_dedup._by_shard(np.array([1, 1, 4]))) == [(1, 0, 2), (4, 2, 3)]
+    docs = [(1, "short"), (2, None), (3, "x" * 70), (4, "y" + "x" * 60)]
+    df = spark.createDataFrame(docs[:2], "doc_id long, text string").union(spark.createDataFrame(docs[2:], "doc_id long, text string"))
+    found = suffix_dedup.remove_repeats(df).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in found} == {1: "short", 2: "", 3: "x" * 70, 4: "y"}
