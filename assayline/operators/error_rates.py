@@ -125,9 +125,9 @@ def error_share_all(
 ) -> DataFrame:
     """Each code as a percentage of all tests, or of a given number of tests; largest first."""
     counts = placed_tally(activity, [], _family(master), how="inner", max_codes=max_codes, once_per_test=True)
-    # One row per code, tests without codes under the NULL code: all tests are their sum, a scalar over the same counted rows.
-    total = counts.agg(F.sum("tests")).scalar() if total_tests is None else F.lit(total_tests)
-    counts = counts.filter(F.col(CODE).isNotNull()).select(CODE, "n", total.alias("total"))
+    # One row per code, tests without codes under the NULL code: all tests are their sum, over counted rows only as in _rate.
+    total = F.sum("tests").over(Window.partitionBy()) if total_tests is None else F.lit(total_tests)
+    counts = counts.select(CODE, "n", total.alias("total")).filter(F.col(CODE).isNotNull())
     shares = _described(counts, error_type, supplier_id).withColumn("error_percent", percent("n", "total"))
     return shares.select(CODE, "error_type_description", "n", "error_percent").orderBy(F.desc("error_percent"), CODE)
 
