@@ -75,7 +75,8 @@ def close_pairs(marks: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFra
         "fingerprint", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("choice", "mask")
     )
     filed = filed.select("fingerprint", "choice", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("held"))
-    left = filed.withColumnRenamed("fingerprint", "a")
+    # Spark takes the filed rows to be as few as the fingerprints they are exploded from, and would broadcast them.
+    left = filed.withColumnRenamed("fingerprint", "a").hint("merge")
     right = filed.withColumnRenamed("fingerprint", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     # The first choice that holds all blocks in which the two agree: of the keys they share only that one gives the pair.

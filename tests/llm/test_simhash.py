@@ -3,6 +3,7 @@
 import brute
 import pytest
 from conftest import plain
+from pyspark.sql import functions as F
 
 from assayline.llm import components, simhash
 
@@ -42,3 +43,22 @@ def test_components_of_chains_stars_and_rings(spark):
     assert {got[i] for i in range(1001, 1400)} == {1000}
     assert {got[i] for i in range(201, 237)} == {200}
     assert 5 not in got
+
+
+def joins_of(df):
+    """Joins of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [name for name in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin") if name in plan]
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes a table's exploded rows to be as few as the table's own: 28 keys a fingerprint, both ends of a link."""
+    marks = spark.range(3000).select(F.xxhash64("id").alias("fingerprint"))
+    assert joins_of(simhash.close_pairs(marks)) == ["SortMergeJoin"]
+    links = spark.range(1, 3000).select(F.col("id").alias("a"), (F.col("id") % 50).alias("b"))
+    for smaller in (True, False):
+        assert joins_of(components._stars(links, smaller=smaller, few=False)) == ["SortMergeJoin"]
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == {i: i % 50 for i in range(50, 3000)}
