@@ -346,7 +346,8 @@ def write_hot_starts(distinct: DataFrame, folder: str, length: int) -> DataFrame
     )
     windows = numbered.withColumn("window", F.expr(f"substring(segment, number, {length})"))
     starts = windows.groupBy("window").agg(F.min("least").alias("first"))
-    joined = windows.drop("least").join(starts, "window").groupBy("shard", "segment").agg(
+    # Spark takes the windows to be as few as the segments they are exploded from, and would broadcast them.
+    joined = windows.drop("least").hint("merge").join(starts, "window").groupBy("shard", "segment").agg(
         F.first("greatest").alias("greatest"), F.sort_array(F.collect_list(F.struct("number", "first"))).alias("firsts")
     )
     # A segment's windows have one anchor, so that a segment has at most length - ANCHOR + 1 of them.

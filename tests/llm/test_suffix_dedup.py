@@ -130,3 +130,12 @@ def test_a_part_without_segments_asks_for_no_shard(spark):
     df = spark.createDataFrame(docs[:2], "doc_id long, text string").union(spark.createDataFrame(docs[2:], "doc_id long, text string"))
     found = suffix_dedup.remove_repeats(df).collect()
     assert {r.doc_id: bytes(r.kept).decode() for r in found} == {1: "short", 2: "", 3: "x" * 70, 4: "y"}
+
+
+def test_exploded_windows_are_not_broadcast(spark, tmp_path):
+    rows = [(0, bytes([65 + i % 20]) * (50 + i % 30), i, i + 1) for i in range(300)]
+    distinct = spark.createDataFrame(rows, "shard int, segment binary, least long, greatest long")
+    done = suffix_dedup.write_hot_starts(distinct, str(tmp_path), 50)
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
