@@ -99,6 +99,12 @@ class Sequence:
             value = np.where(beyond, following, values[np.minimum(found, len(values) - 1)])
             yield part, position, np.where(position < self.length, value, np.uint64(0))
 
+    def values(self) -> np.ndarray:
+        """All values."""
+        blocks = np.arange(len(self.first))
+        parts = [self.decode(blocks[i : i + BLOCKS_AT_ONCE])[1] for i in range(0, len(blocks), BLOCKS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
     def at(self, positions: np.ndarray) -> np.ndarray:
         """Values at ascending positions."""
         out = np.zeros(len(positions), np.uint64)

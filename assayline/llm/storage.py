@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 
 import pyarrow as pa
@@ -23,6 +24,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Py4J hands on once a second which references were dropped.
+HANDED_ON_S = 1.2
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with now, not when its driver next happens to collect garbage."""
+    for _ in range(2):  # what one collection frees may hold others
+        gc.collect()
+        time.sleep(HANDED_ON_S)
+        spark._jvm.System.gc()
+
+
 #: Schemes of file systems that tasks can open themselves.
 KNOWN_SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
 

@@ -14,14 +14,15 @@ far too large for one suffix array, so that shards are cut in which all equal st
    first start in the least document of the run. What each segment's windows have is written to the shared folder by segment.
 4. Removal. Tasks look up the segments of their documents and cut out all windows that first start in a smaller document.
 
-Texts are read three times and never shuffled whole. An anchor with very many different segments (copies with edits everywhere)
+The files of neighbouring shards are merged before they are looked up, so that the look-ups of a part of the texts cost by its size,
+not by the number of shards. Texts are read three times and never shuffled whole. An anchor with very many different segments (copies with edits everywhere)
 is not sent to one shard; its windows are grouped by Spark one by one, with partial sums.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -32,15 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.elias_fano import Opened, encode, named, save, sequence
+from assayline.llm.elias_fano import Opened, _ranges, encode, named, save, sequence
 from assayline.llm.induced_sort import sort_suffixes
-from assayline.llm.storage import bound_batches, shared_uri, stored
+from assayline.llm.storage import bound_batches, release_shuffles, shared_uri, stored
 
 ANCHOR = 16
 #: Texts that are hashed together (fit a processor's cache), and texts that are looked up together.
 CHUNK_BYTES = 1 << 18
 PART_BYTES = 1 << 22
 SHARD_BYTES = 1 << 23
+#: Shards next to each other whose results are merged to one file: a part of the texts asks all files, and so not all shards.
+FILE_SHARDS = 64
 #: Anchors that a task collects before it sends them to their shards.
 HELD_ANCHORS = 1 << 18
 HOT_SEGMENTS = 20_000
@@ -191,13 +194,13 @@ def write_shared_anchors(found: DataFrame, folder: str) -> DataFrame:
 
 
 class _Files:
-    """The files of all shards by number, of which few are open at a time."""
+    """The files of all shards by their number, of which few are open at a time."""
 
     def __init__(self, places: dict[int, list[str]], opened: Opened):
         self.places, self.opened = places, opened
 
-    def get(self, shard: int) -> list[dict[str, np.ndarray]]:
-        return [self.opened.get(p) for p in self.places.get(shard, [])]
+    def get(self, number: int) -> list[dict[str, np.ndarray]]:
+        return [self.opened.get(p) for p in self.places.get(number, [])]
 
 
 @contextmanager
@@ -206,8 +209,12 @@ def _files(places: dict[int, list[str]]) -> Iterator[_Files]:
         yield _Files(places, opened)
 
 
+def _file_of(anchor: np.ndarray, shards: int) -> np.ndarray:
+    return _shard_of(anchor, shards) // FILE_SHARDS
+
+
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Shard, first and past of the runs of rising shard numbers: only shards that occur."""
+    """Shard or file, first and past of the runs of rising numbers: only those that occur."""
     used, begins = np.unique(shard, return_index=True)
     yield from zip(used.tolist(), begins.tolist(), np.append(begins, len(shard))[1:].tolist(), strict=True)
 
@@ -216,8 +223,8 @@ def _known(anchors: np.ndarray, files: _Files, shards: int) -> np.ndarray:
     """Which of the anchors several documents have."""
     wanted, of = np.unique(anchors, return_inverse=True)
     out = np.zeros(len(wanted), bool)
-    for s, first, past in _by_shard(_shard_of(wanted, shards)):
-        for arrays in files.get(s):
+    for number, first, past in _by_shard(_file_of(wanted, shards)):
+        for arrays in files.get(number):
             for part, _, value in _as_sequence(arrays).successors(wanted[first:past]):
                 out[first:past][part] = value == wanted[first:past][part]
     return out[of]
@@ -371,10 +378,10 @@ def _covered(
     begin, windows, own = segments.begin[kept], segments.windows[kept], order[segments.document[kept]]
     ends = begin + windows + length - 1
     marks = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], np.uint64)
-    shard = _shard_of(segments.anchor[kept], shards)
-    by = np.lexsort((marks, shard))
+    number = _file_of(segments.anchor[kept], shards)
+    by = np.lexsort((marks, number))
     froms, tos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, first, past in _by_shard(shard[by]):
+    for s, first, past in _by_shard(number[by]):
         mine = by[first:past]
         wanted, of = np.unique(marks[mine], return_inverse=True)
         for arrays in files.get(s):
@@ -455,11 +462,45 @@ def cut_repeats(
     return rows.mapInArrow(cut, schema)
 
 
-def _places(done: DataFrame, name: str) -> dict[int, list[str]]:
-    """Places by shard; as many as shards."""
+Arrays = dict[str, np.ndarray]
+
+
+def merged_anchors(parts: list[Arrays]) -> Arrays:
+    """The sequences of shards in their order, which is that of the anchors, as one."""
+    return encode(np.concatenate([_as_sequence(x).values() for x in parts]))
+
+
+def merged_starts(parts: list[Arrays]) -> Arrays:
+    """What is written of the segments of several shards, by hash as before."""
+    marks = np.concatenate([sequence("segments", x).values() for x in parts])
+    counts = np.concatenate([np.diff(sequence("pointers", x).values().astype(np.int64)) for x in parts])
+    by = np.argsort(marks, kind="stable")
+    runs = _ranges((np.cumsum(counts) - counts)[by], counts[by])
+    arrays = named("segments", encode(marks[by])) | named("pointers", encode(np.concatenate([[0], np.cumsum(counts[by])])))
+    return arrays | {k: np.concatenate([x[k] for x in parts])[runs] for k in ("from", "first")}
+
+
+def _places(done: list[DataFrame], name: str, merge: Callable[[list[Arrays]], Arrays], folder: str) -> dict[int, list[str]]:
+    """Places by file number, of rows (shard, place). The files of FILE_SHARDS shards, of which there is one if few of them have
+    any, are merged to one by a task."""
     out: dict[int, list[str]] = {}
-    for r in stored(done, name).collect():
-        out.setdefault(r.shard, []).append(r.place)
+    for r in sorted((r for x in done for r in stored(x, name).collect()), key=lambda r: (r.shard, r.place)):
+        out.setdefault(r.shard // FILE_SHARDS, []).append(r.place)
+    several = [(number, places) for number, places in out.items() if len(places) > 1]
+    if not several:
+        return out
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, places in zip(batch.column("number").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                with Opened() as opened:
+                    place = save(folder, name, merge([opened.get(x) for x in places]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([place])], names=["number", "place"])
+
+    # As many tasks as files: rows this few would all be dealt to one.
+    rows = done[0].sparkSession.createDataFrame(several, "number int, places array<string>").repartition(len(several))
+    for r in stored(rows.mapInArrow(one, "number int, place string"), f"{name}-merged").collect():
+        out[r.number] = [r.place]
     return out
 
 
@@ -496,15 +537,19 @@ def remove_repeats(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     texts = rows.select("rank", "text")
-    anchors = _places(write_shared_anchors(anchor_documents(texts, shards, length), folder), "anchors-of")
+    anchors = _places([write_shared_anchors(anchor_documents(texts, shards, length), folder)], "anchors-of", merged_anchors, folder)
+    large = total > SHARD_BYTES
+    if large:
+        release_shuffles(docs.sparkSession)
     distinct = stored(shared_segments(texts, anchors, shards, length), "segments")
+    if large:
+        release_shuffles(docs.sparkSession)
     # Few rows, one for each hot anchor; Spark knows the stored table's size.
     hot = stored(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "hot")
-    done = write_first_starts(distinct.join(hot, "anchor", "left_anti"), folder, length)
-    starts = _places(done, "starts-of")
+    done = [write_first_starts(distinct.join(hot, "anchor", "left_anti"), folder, length)]
     if not hot.isEmpty():
-        for shard, places in _places(write_hot_starts(distinct.join(hot, "anchor", "left_semi"), folder, length), "hot-of").items():
-            starts.setdefault(shard, []).extend(places)
+        done.append(write_hot_starts(distinct.join(hot, "anchor", "left_semi"), folder, length))
+    starts = _places(done, "starts-of", merged_starts, folder)
     found = cut_repeats(rows, anchors, starts, shards, length, whole_characters)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return found.select(

@@ -73,3 +73,19 @@ def test_too_many_words_for_pair_numbers_are_refused(spark):
     level = lm_scoring.Level1([], np.zeros(0, np.uint64), np.zeros(0, np.int64), 10, 4 * 10**9)
     with pytest.raises(ValueError, match="64 bits"):
         lm_scoring.shard_cuts(level, spark.range(1))
+
+
+def test_results_of_many_shards_lie_in_few_files(spark, small_docs, monkeypatch):
+    seen = []
+    plain_cut = suffix_dedup.cut_repeats
+    monkeypatch.setattr(suffix_dedup, "cut_repeats", lambda rows, *given: (seen.append(given[:3]), plain_cut(rows, *given))[1])
+    docs = small_docs.filter("doc_id < 80")
+    want = {i: (n, spans, sha) for i, n, _, spans, sha in brute.cut(plain(docs))}
+    for hot in (1, suffix_dedup.HOT_SEGMENTS):
+        found = suffix_dedup.remove_repeats(docs, shard_bytes=500, hot_segments=hot)
+        found = found.select("doc_id", "n_bytes", F.size("spans").alias("n"), F.sha2("kept", 256).alias("kept"))
+        assert {r.doc_id: (r.n_bytes, r.n, r.kept) for r in found.collect()} == want
+    for anchors, starts, shards in seen:
+        assert shards > 200
+        for places in (anchors, starts):
+            assert 1 < len(places) <= -(-shards // 64) and {len(x) for x in places.values()} == {1}
