@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from assayline.llm.storage import stored
 
-
 #: More links than that are never broadcast: Spark knows them by the size of their file only, which may be far less than that of
 #: the rows they become.
 FEW_LINKS = 1 << 17

@@ -14,8 +14,8 @@ far too large for one suffix array, so that shards are cut in which all equal st
    first start in the least document of the run. What each segment's windows have is written to the shared folder by segment.
 4. Removal. Tasks look up the segments of their documents and cut out all windows that first start in a smaller document.
 
-The files of neighbouring shards are merged before they are looked up, so that the look-ups of a part of the texts cost by its size,
-not by the number of shards. Texts are read three times and never shuffled whole. An anchor with very many different segments (copies with edits everywhere)
+The files of neighbouring shards are merged before they are looked up, so that a part of the texts does not look into a file of each
+shard. Texts are read three times and never shuffled whole. An anchor with very many different segments (copies with edits everywhere)
 is not sent to one shard; its windows are grouped by Spark one by one, with partial sums.
 """
 
